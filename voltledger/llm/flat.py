@@ -94,6 +94,18 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number in its text, byte start and end of all \\n-split lines; an empty text has one empty line."""
+    breaks = np.flatnonzero(data == 10)
+    of = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
+    starts = np.concatenate((offsets[:-1], breaks + 1))
+    order = np.lexsort((starts, of))
+    of, starts = of[order], starts[order]
+    last = np.append(of[1:] != of[:-1], True)
+    ends = np.where(last, offsets[of + 1], np.append(starts[1:], 0) - 1)
+    return of, np.arange(len(of)) - np.searchsorted(of, of), starts, ends
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z."""
     return _LOWER[data]

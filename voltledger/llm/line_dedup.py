@@ -30,15 +30,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 
 def _keys(data: np.ndarray, offsets: np.ndarray, min_chars: int):
     """(text, line number, hash of the key) of every line whose key has min_chars code points."""
-    breaks = np.flatnonzero(data == 10)
-    text = np.searchsorted(offsets, breaks, "right") - 1
-    starts = np.concatenate((offsets[:-1], breaks + 1))
-    of = np.concatenate((np.arange(len(offsets) - 1), text))
-    order = np.lexsort((starts, of))
-    of, starts = of[order], starts[order]
-    last = np.append(of[1:] != of[:-1], True)
-    ends = np.where(last, offsets[of + 1], np.append(starts[1:], 0) - 1)
-    number = np.arange(len(of)) - np.searchsorted(of, of)
+    of, number, starts, ends = flat.lines(data, offsets)
     solid = np.flatnonzero(~flat._BREAK[data])
     a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     full = a < b

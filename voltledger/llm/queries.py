@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltledger.llm.line_crf import quality
 from voltledger.llm.line_dedup import remove_lines
 from voltledger.llm.ngram_join import near_duplicates
+from voltledger.llm.piece_bpe import encode_decode
 from voltledger.llm.substring_dedup import remove_repeated_windows
 
 
@@ -14,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -28,5 +40,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op8_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op6_sentencepiece, op8_substring_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
