@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93 | 1)
@@ -38,7 +38,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max(1 << 20, n)
+        size = max((1 << 20) + (1 << 18), n)
         inverse = np.uint64(pow(int(base), -1, 1 << 64))
         tables = []
         for b in (base, inverse):

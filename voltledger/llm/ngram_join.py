@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ from voltledger.llm.shared import saved
 
 N = 5
 BITS = 28
-FRAGMENTS = 8
-STAR_ROUNDS = 6
+FRAGMENTS = 4
+STAR_ROUNDS = 5
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -93,12 +94,31 @@ def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS) -> DataFrame:
     return texts.mapInArrow(emit, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, grams array<bigint>")
 
 
+def _shared(reps: DataFrame, bits: int) -> DataFrame:
+    """reps without the n-grams that a sketch of the representatives alone calls single, and without sets that lost too many."""
+    arrays = lambda b: b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    seen = reps.sparkSession.sparkContext.broadcast(sketch.repeated(reps, lambda b: iter([flat.mix(arrays(b), 3)]), bits))
+
+    def keep(batches):
+        for batch in batches:
+            h = arrays(batch)
+            ok = sketch.maybe(seen.value, flat.mix(h, 3), bits)
+            lists = batch.column(2)
+            at = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
+            left = np.concatenate(([0], np.cumsum(ok)))[at]
+            out = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(h[ok].view(np.int64)))
+            use = 100 * np.diff(left) >= 75 * batch.column(1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["id", "n", "grams"]).filter(pa.array(use))
+
+    return reps.mapInArrow(keep, "id bigint, n bigint, grams array<bigint>")
+
+
 def _ordered(reps: DataFrame) -> DataFrame:
     """id, n, toks array<struct<df, h>>: the shared n-grams of each representative in the global order."""
-    tokens = reps.select("id", "n", F.explode("grams").alias("h"))
+    tokens = reps.select("id", F.explode("grams").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    toks = F.sort_array(F.collect_list(F.struct("df", "h"))).alias("toks")
-    return tokens.join(df, "h").groupBy("id", "n").agg(toks).where("100 * size(toks) >= 75 * n")
+    toks = F.sort_array(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "h"))).alias("toks")
+    return tokens.join(df, "h").groupBy("id").agg(toks).join(reps.select("id", "n"), "id").where("100 * size(toks) >= 75 * n").select("id", "n", "toks")
 
 
 def _segments(sets: DataFrame, fragments: int) -> DataFrame:
@@ -113,62 +133,66 @@ def _segments(sets: DataFrame, fragments: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (x, nx, y, ny) that link: partial overlaps of the fragments, summed per pair."""
+    """The pairs (x, nx, cx, y, ny, cy) that link, by components: partial overlaps of the fragments, summed per pair."""
     a = segments.select(F.col("id").alias("x"), "frag", F.col("hs").alias("a"))
     b = segments.select(F.col("id").alias("y"), "frag", F.col("hs").alias("b"))
-    partial = pairs.join(a, "x").join(b, ["y", "frag"]).select("x", "nx", "y", "ny", F.size(F.array_intersect("a", "b")).alias("part"))
-    whole = partial.groupBy("x", "nx", "y", "ny").agg(F.sum("part").alias("both"))
-    return whole.where("100 * both >= 75 * (nx + ny - both)").select("x", "y")
+    pair = ["x", "nx", "cx", "y", "ny", "cy"]
+    partial = pairs.join(a, "x").join(b, ["y", "frag"]).select(*pair, F.size(F.array_intersect("a", "b")).alias("part"))
+    whole = partial.groupBy(*pair).agg(F.sum("part").alias("both"))
+    return whole.where("100 * both >= 75 * (nx + ny - both)").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
-#: Whether two sets that meet in a prefix n-gram, at positions px and py, can still link.
-_HOPE = "4 * least(nx, ny) >= 3 * greatest(nx, ny) and 175 * (1 + least(nx - px - 1, ny - py - 1)) >= 75 * (nx + ny)"
+#: Two sets that meet in a prefix n-gram at places px and py, in different components, and can still link by length and place.
+_HOPE = "hx = hy and cx <> cy and 4 * least(nx, ny) >= 3 * greatest(nx, ny) and 175 * (1 + least(nx - px - 1, ny - py - 1)) >= 75 * (nx + ny)"
 
 
-def _entries(postings: DataFrame, labels: DataFrame, side: str) -> DataFrame:
-    return postings.join(labels, "id").select("h", F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("pos").alias(f"p{side}"), F.col("comp").alias(f"c{side}"))
+def _side(postings: DataFrame, side: str) -> DataFrame:
+    return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), ("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))))
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    met = met.where(f"cx <> cy and {_HOPE}")
+def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    met = left.join(right, F.expr(_HOPE))
     swap = F.col("x") > F.col("y")
-    return met.select(F.least("x", "y").alias("x"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("nx"), F.greatest("x", "y").alias("y"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("ny")).distinct()
+    either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a)
+    return met.select(*(either(k + "x", k + "y") for k in ("", "n", "c")), *(either(k + "y", k + "x") for k in ("", "n", "c"))).distinct()
 
 
 def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """node, root over the representatives that link with another one."""
+    """node, root over all representatives.
+
+    Star rounds go on while one finds links for more than a hundredth of the representatives; then come all other pairs.
+    """
     segments = saved(_segments(sets, fragments))
     prefix = F.expr("slice(toks, 1, cast(n - ceil(0.75D * n) + 1 - (n - size(toks)) as int))")
-    postings = sets.where("ceil(0.75D * n) <= size(toks)").select("id", "n", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode(prefix).alias("i", "t"))
-    postings = saved(postings.select("id", "n", F.col("t.h").alias("h"), (F.col("alone") + F.col("i")).alias("pos")))
-    labels, edges, tried = sets.select("id", F.col("id").alias("comp")), None, None
+    rare = sets.select("id", "n", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode(prefix).alias("i", "t"))
+    postings = saved(rare.select("id", "n", F.col("t.h").alias("h"), (F.col("alone") + F.col("i")).alias("pos"), F.col("id").alias("comp")))
+    labels, total = sets.select(F.col("id").alias("node"), F.col("id").alias("root")), sets.count()
+    stars = star_rounds
     for r in range(star_rounds + 1):
-        x, y = _entries(postings, labels, "x"), _entries(postings, labels, "y")
-        groups = x.groupBy("h", "cx").agg(F.count(F.lit(1)).alias("k"))
-        split = groups.groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "cx")).alias("top")).where("comps > 1")
-        split = saved(split.select("h", F.col("top.cx").alias("top"), (F.col("all") * (F.col("all") - F.col("top.k"))).alias("meetings"), "all"))
-        meetings, held = split.agg(F.sum("meetings"), F.sum("all")).first()
-        if not held:
-            break
-        last = r == star_rounds or (r > 0 and meetings <= 8 * held + 100_000)
+        last = r == stars
+        x = _side(postings, "x")
         if last:
-            pairs = _pairs(x.join(split.select("h", "top"), "h").where("cx <> top").join(y, "h"))
+            groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
+            split = groups.where("comps > 1").select(F.col("h").alias("hx"), F.col("top.comp").alias("top"))
+            pairs = saved(_pairs(x.join(split, "hx").where("cx <> top").drop("top"), _side(postings, "y")))
         else:
-            hub = x.join(split.select("h"), "h", "left_semi").groupBy("h").agg(F.min(F.struct(F.xxhash64("x", F.lit(r)).alias("o"), "x", "nx", "px", "cx")).alias("hub"))
-            pairs = _pairs(hub.select("h", "hub.*").join(y, "h"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = saved(pairs)
+            order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), "x", "nx", "px", "cx")
+            hub = x.groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
+            pairs = saved(_pairs(hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx"), _side(postings, "y")))
         found = saved(_verified(pairs, segments))
-        edges = found if edges is None else edges.union(found)
-        if not found.isEmpty():
-            known = components(edges)
-            labels = saved(sets.select("id").join(known.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("comp")))
+        n = found.count()
+        if n:
+            known = components(found)
+            up = known.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            labels = saved(labels.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
         if last:
-            break
-        done = pairs.select("x", "y")
-        tried = done if tried is None else tried.union(done)
-    return labels.select(F.col("id").alias("node"), F.col("comp").alias("root"))
+            return labels
+        if n <= total // 100:
+            stars = r + 1
+        if n:
+            comp = labels.select(F.col("node").alias("id"), F.col("root").alias("comp"))
+            postings = saved(postings.drop("comp").join(comp, "id"))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -177,8 +201,8 @@ def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, fragments: in
     same = ["n_shingles", "fp1", "fp2"]
     held = sets.where("grams is not null")
     classes = saved(held.groupBy(*same).agg(F.min("doc_id").alias("id")))
-    reps = held.withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams")
-    roots = links_by_rounds(saved(_ordered(reps)), fragments, star_rounds)
+    reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams"))
+    roots = links_by_rounds(saved(_ordered(saved(_shared(reps, bits)))), fragments, star_rounds)
     known = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("root"))
     held = sets.where("grams is not null").drop("grams").join(known, same)
     rest = sets.where("grams is null").select("doc_id", *same, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("root"))
