@@ -12,6 +12,7 @@ from voltledger.llm.line_dedup import remove_lines
 from voltledger.llm.ngram_join import near_duplicates
 from voltledger.llm.piece_bpe import encode_decode
 from voltledger.llm.substring_dedup import remove_repeated_windows
+from voltledger.llm.suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -51,5 +57,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op8_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
