@@ -47,39 +47,44 @@ def _pairs(w: np.ndarray) -> np.ndarray:
 
 
 def _walks(m: np.ndarray, embeddings: int, samples: int, width: int) -> np.ndarray:
-    """Keys (rows, tables) of word matrices (rows, n)."""
-    rows, n = m.shape
-    m = np.concatenate((m, np.zeros((rows, 1), np.uint64)), 1)
-    keys, every = [], np.arange(rows)
-    for e in range(embeddings):
-        rng = np.random.default_rng((e, n))
-        places = [np.sort(rng.choice(3 * n, min(width, 3 * n), replace=False)) for _ in range(samples)]
-        table = [np.full(rows, e * samples + s + 1, np.uint64) for s in range(samples)]
-        at = np.zeros(rows, np.int64)
-        for j in range(max(int(p[-1]) for p in places) + 1):
-            word = m[every, at]
-            for s in range(samples):
-                if j in places[s]:
-                    table[s] = flat.mix(table[s] * np.uint64(5) + word, 23)
-            at = np.minimum(at + (flat.mix(word, 1000 * (e + 1) + j) & np.uint64(1)).astype(np.int64), n)
-        keys += table
-    return np.stack(keys, 1) if keys else np.zeros((rows, 0), np.uint64)
-
-
-def _distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Fewest edits between the item and any passage of text, and that passage (start, end), the first of equals."""
-    n = len(text)
-    row, begin, idx = np.zeros(n + 1, np.int64), np.arange(n + 1), np.arange(n + 1)
-    for w in item:
-        put, take = row + 1, np.append(1 << 30, row[:-1] + (text != w))
-        best = np.minimum(put, take)
-        source = np.where(take <= put, np.append(0, begin[:-1]), begin)
+    """Keys (rows, tables) of word matrices (rows, n): the CGK walks of all embeddings side by side, then the sampled places."""
+    n = m.shape[1]
+    if len(m) > 2000:
+        return np.concatenate([_walks(m[c : c + 2000], embeddings, samples, width) for c in range(0, len(m), 2000)])
+    m = np.concatenate((m, np.zeros((len(m), 1), np.uint64)), 1)
+    rng = np.random.default_rng(n)
+    places = np.stack([np.stack([rng.choice(3 * n, width, replace=False) for _ in range(samples)]) for _ in range(embeddings)])
+    seed = flat.mix(np.arange(embeddings * 3 * n, dtype=np.uint64), 41).reshape(3 * n, embeddings, 1)
+    walk = np.empty((3 * n, embeddings, len(m)), np.uint64)
+    at, every = np.zeros((embeddings, len(m)), np.int64), np.arange(len(m))
+    for j in range(3 * n):
+        word = walk[j] = m[every, at]
+        at += ((((word ^ seed[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)) & (at < n)
+    table = np.broadcast_to(np.arange(1, embeddings * samples + 1, dtype=np.uint64).reshape(embeddings, samples, 1), (embeddings, samples, len(m)))
+    for k in range(width):
+        table = flat.mix(table * np.uint64(5) + walk[places[:, :, k], np.arange(embeddings)[:, None]], 23)
+    return table.reshape(embeddings * samples, len(m)).T
+
+
+def _distances(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row: fewest edits between an item and any passage of its text (``sizes`` words of it), and that passage's start and end; the first of equals."""
+    rows, m = texts.shape
+    idx = np.arange(m + 1)
+    row, begin = np.zeros((rows, m + 1), np.int64), np.tile(idx, (rows, 1))
+    for j in range(items.shape[1]):
+        best, source = row + 1, begin.copy()
+        take = row[:, :-1] + (texts != items[:, j : j + 1])
+        better = take <= best[:, 1:]
+        best[:, 1:] = np.where(better, take, best[:, 1:])
+        source[:, 1:] = np.where(better, begin[:, :-1], source[:, 1:])
         spread = best - idx
-        low = np.minimum.accumulate(spread)
-        from_ = np.maximum.accumulate(np.where(spread == low, idx, 0))
-        row, begin = low + idx, source[from_]
-    end = int(np.argmin(row))
-    return int(row[end]), int(begin[end]), end
+        low = np.minimum.accumulate(spread, 1)
+        at = np.maximum.accumulate(np.where(spread == low, idx, 0), 1)
+        row, begin = low + idx, np.take_along_axis(source, at, 1)
+    row = np.where(idx <= sizes[:, None], row, 1 << 30)
+    end = row.argmin(1)
+    every = np.arange(rows)
+    return row[every, end], begin[every, end], end
 
 
 class Items:
@@ -124,11 +129,21 @@ class Items:
         start = at - place
         size, k = self.size[item], self.edits[item]
         span = np.int64(len(w) + 1)
-        key = np.sort(item * span + at)
+        order = np.lexsort((place, at, item))
+        key, places = (item * span + at)[order], place[order]
         low = np.maximum(start - k, firsts[text])
         high = np.minimum(start + size + k - 1, firsts[text + 1])
-        count = np.searchsorted(key, item * span + high) - np.searchsorted(key, item * span + low)
-        ok = count >= self.least[item]
+        lo, hi = np.searchsorted(key, item * span + low), np.searchsorted(key, item * span + high)
+        ok = np.flatnonzero(hi - lo >= self.least[item])
+        # one pair repeated over and over is one place of the item: count the places
+        good = np.zeros(len(at), bool)
+        for c in np.array_split(ok, max(1, int((hi - lo)[ok].sum()) >> 20)):
+            n = (hi - lo)[c]
+            mark = np.repeat(lo[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            width = np.int64(places.max() + 1) if len(places) else 1
+            seen = np.unique(np.repeat(np.arange(len(c)), n) * width + places[mark]) // width
+            good[c] = np.bincount(seen, minlength=len(c)) >= self.least[item[c]]
+        ok = good
         found = np.stack((text[ok], np.maximum(start[ok], firsts[text[ok]]), size[ok]), 1)
         return np.unique(found, axis=0)
 
@@ -150,16 +165,19 @@ class Items:
                     a, b = np.searchsorted(keys[order, t], mine[:, t], "left"), np.searchsorted(keys[order, t], mine[:, t], "right")
                     for r in np.flatnonzero(b > a).tolist():
                         seen.update((r, int(own[i])) for i in order[a[r] : b[r]])
-                for r, i in sorted(seen):
-                    text, start = int(part[r, 0]), int(part[r, 1])
-                    k = int(self.edits[i])
-                    low_w, high_w = max(start - k, int(firsts[text])), min(start + n + k, int(firsts[text + 1]))
-                    if start + n <= high_w and np.array_equal(w[start : start + n], self.words[i]):
-                        yield text, i, start, start + n, 0
-                        continue
-                    edits, a, b = _distance(self.words[i], w[low_w:high_w])
-                    if edits <= k:
-                        yield text, i, low_w + a, low_w + b, edits
+                if not seen:
+                    continue
+                r, i = np.array(sorted(seen)).T
+                text, k = part[r, 0], int(self.edits[i[0]])
+                low_w = np.maximum(part[r, 1] - k, firsts[text])
+                size = np.minimum(part[r, 1] + n + k, firsts[text + 1]) - low_w
+                for c in range(0, len(r), 5000):
+                    c = slice(c, c + 5000)
+                    reach = low_w[c][:, None] + np.arange(n + 2 * k)
+                    passage = np.where(np.arange(n + 2 * k) < size[c][:, None], w[np.minimum(reach, len(w) - 1)], np.uint64(0))
+                    edits, a, b = _distances(np.stack([self.words[x] for x in i[c]]), passage, size[c])
+                    for x in np.flatnonzero(edits <= k).tolist():
+                        yield int(text[c][x]), int(i[c][x]), int(low_w[c][x] + a[x]), int(low_w[c][x] + b[x]), int(edits[x])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, embeddings: int = EMBEDDINGS, samples: int = SAMPLES, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
