@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltledger.llm import personal_data, secrets
 from voltledger.llm.decontaminate import contamination
 from voltledger.llm.language_id import predict
 from voltledger.llm.line_crf import quality
 from voltledger.llm.line_dedup import remove_lines
 from voltledger.llm.ngram_join import near_duplicates
 from voltledger.llm.piece_bpe import encode_decode
+from voltledger.llm.spans import of_kind, rendered
 from voltledger.llm.substring_dedup import remove_repeated_windows
 from voltledger.llm.suffix_dedup import remove_repeats
 
@@ -19,6 +21,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans(found: DataFrame, kinds: list[str], base: int) -> DataFrame:
+    """Counts of the base kinds, the digest of the base spans, and all spans."""
+    counts = [of_kind(F.col("spans"), k).alias(f"n_{kinds[k]}") for k in range(base)]
+    own = F.filter("spans", lambda s: s["kind"] < base)
+    return found.select("doc_id", *counts, F.sha2(rendered(own, kinds), 256).alias("base_sha256"), rendered(F.col("spans"), kinds).alias("spans"))
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(secrets.scan(_table(spark, sf_dir, "documents")), [r.kind for r in secrets.RULES], len(secrets.BASE))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
@@ -52,10 +65,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(personal_data.find(_table(spark, sf_dir, "documents")), list(personal_data.KINDS), 4)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_lines(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op9_personal_data, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {}
