@@ -12,7 +12,7 @@ place for every byte of text (20 times the input's disk), so the rounds below ke
 * Round 2. Of the other runs (those at the ends of repeated passages) all windows are named and sorted alike. They are met by
   witnesses, one per map task and distinct window, from all runs with such a run's core.
 
-Halves are named by 64-bit hashes, so that pairs are 128 bits. A map task sends one witness of a pair it saw often and reports its
+Halves are named by hashes of 64 and 32 bits, so that pairs are 96 bits. A map task sends one witness of a pair it saw often and reports its
 occurrences as decided, so a hot pair costs a reducer no more rows than there are map tasks.
 
 Defined results: a null or empty text has 0 bytes and loses nothing, like any text shorter than ``length``; a null doc_id takes no part
@@ -86,11 +86,11 @@ def _pairs(held: list[tuple]) -> pa.RecordBatch:
     use = lead | (pos >= 0)
     decided = often & ~lead
     key = np.where(decided, flat.mix(doc.view(np.uint64)), a)
-    columns = [pa.array(decided), pa.array(key.view(np.int64)), pa.array(b.view(np.int64)), pa.array(often), pa.array(doc), pa.array(pos), pa.array(core.view(np.int64), mask=often)]
+    columns = [pa.array(decided), pa.array(key.view(np.int64)), pa.array(np.where(decided, 0, b)), pa.array(often), pa.array(doc), pa.array(pos), pa.array(core, mask=often)]
     return pa.RecordBatch.from_arrays(columns, ["decided", "a", "b", "often", "doc_id", "pos", "core"]).filter(pa.array(use))
 
 
-_PAIR = "decided boolean, a bigint, b bigint, often boolean, doc_id bigint, pos bigint, core bigint"
+_PAIR = "decided boolean, a bigint, b int, often boolean, doc_id bigint, pos bigint, core int"
 
 
 def _decide(batches):
@@ -127,7 +127,7 @@ def _decide(batches):
 
 def _ruled(named: DataFrame) -> DataFrame:
     """doc_id, pos of the rows whose pair occurs twice or more; null pos and the run's core for the other rows."""
-    return named.repartition("a", "b").sortWithinPartitions("decided", "a", "b").mapInArrow(_decide, "doc_id bigint, pos bigint, core bigint")
+    return named.repartition("a", "b").sortWithinPartitions("decided", "a", "b").mapInArrow(_decide, "doc_id bigint, pos bigint, core int")
 
 
 def _starts(ruled: DataFrame) -> DataFrame:
@@ -158,12 +158,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
     def name(batches, windows):
         held, n = [], 0
         for batch in batches:
+            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for rows, found, zero, ok in alive(batch):
                 for run, start, wanted in windows(batch, rows, found, zero, ok):
                     if len(start):
                         place = start - zero[run] if wanted else np.full(len(start), -1)
-                        held.append((found.roll(start, start + half), found.roll(start + half, start + length, 9), ids[rows][found.text[run]], place, found.core[run]))
+                        held.append((found.roll(start, start + half), high(found.roll(start + half, start + length, 9)), ids[rows][found.text[run]], place, high(found.core[run])))
                         n += len(start)
                 if n > _GATHER:
                     yield _pairs(held)
@@ -171,6 +172,12 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
         if n:
             yield _pairs(held)
 
+    def high(h):
+        return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def core_key(core):
+        return flat.mix(core.astype(np.int64).view(np.uint64), 6)
+
     def ends(batch, rows, found, zero, ok):
         wide = ok[found.last[ok] > found.first[ok]]
         yield np.concatenate((ok, wide)), np.concatenate((found.first[ok], found.last[wide])), True
@@ -181,11 +188,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
         return of, np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
     at_ends = saved(_ruled(texts.mapInArrow(lambda batches: name(batches, ends), _PAIR)))
-    cores_left = lambda batch: iter([np.repeat(flat.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 6), 2)])
+    cores_left = lambda batch: iter([np.repeat(core_key(batch.column(0).to_numpy(zero_copy_only=False)), 2)])
     left = sc.broadcast(sketch.repeated(at_ends.where("pos is null").select("core"), cores_left, second_bits))
 
     def inner(batch, rows, found, zero, ok):
-        ok = ok[sketch.maybe(left.value, flat.mix(found.core[ok], 6), second_bits)]
+        ok = ok[sketch.maybe(left.value, core_key(high(found.core[ok])), second_bits)]
         if not len(ok):
             return
         starts = batch.column(2).slice(rows.start, rows.stop - rows.start)
@@ -202,7 +209,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
         yield *between(done, found.first[done], found.last[done] + 1), False
 
     # the same columns and join key as in remove_repeats, so that the texts' exchange is made once
-    joined = docs.select("doc_id", "text").join(_starts(at_ends), "doc_id", "left").select("doc_id", "text", "starts").where("doc_id is not null and text is not null")
+    joined = docs.select("doc_id", "text").join(_starts(at_ends), "doc_id", "left").select("doc_id", "text", "starts")
     at_inner = _ruled(joined.mapInArrow(lambda batches: name(batches, inner), _PAIR))
     return _starts(at_ends.union(at_inner))
 
