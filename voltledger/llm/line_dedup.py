@@ -130,24 +130,39 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return gone.mapInArrow(pack, "doc_id bigint, dropped binary")
 
 
+def _stay(text: str | None, bits) -> tuple[list[str], int]:
+    """The lines that stay, and how many there were."""
+    lines = (text or "").split("\n")
+    if not bits.is_valid:
+        return lines, len(lines)
+    mask = np.unpackbits(np.frombuffer(zlib.decompress(bits.as_py()), np.uint8), bitorder="little").tolist()
+    return [x for i, x in enumerate(lines) if i >= len(mask) or not mask[i]], len(lines)
+
+
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, kept string (lines that stay, joined by \\n), n_lines, n_dropped: one row per input row."""
 
     def apply(batches):
         for batch in batches:
-            kept, n_lines, n_dropped = [], [], []
-            for text, bits in zip(batch.column(1), batch.column(2), strict=True):
-                lines = (text.as_py() or "").split("\n")
-                n_lines.append(len(lines))
-                if bits.is_valid:
-                    mask = np.unpackbits(np.frombuffer(zlib.decompress(bits.as_py()), np.uint8), bitorder="little").tolist()
-                    stay = [x for i, x in enumerate(lines) if i >= len(mask) or not mask[i]]
-                    n_dropped.append(len(lines) - len(stay))
-                    lines = stay
-                else:
-                    n_dropped.append(0)
-                kept.append("\n".join(lines))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
+            done = [_stay(text.as_py(), bits) for text, bits in zip(batch.column(1), batch.column(2), strict=True)]
+            columns = [pa.array(["\n".join(x) for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64()), pa.array([n - len(x) for x, n in done], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "kept", "n_lines", "n_dropped"])
 
     joined = docs.select("doc_id", "text").join(dropped_lines(docs, min_chars, min_docs), "doc_id", "left").select("doc_id", "text", "dropped")
     return joined.mapInArrow(apply, "doc_id bigint, kept string, n_lines bigint, n_dropped bigint")
+
+
+def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The rows of docs, all columns, with the dropped lines gone from text; a null text stays null."""
+    at = docs.columns.index("text")
+    bits = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped"))
+
+    def apply(batches):
+        for batch in batches:
+            text = pa.array(["\n".join(_stay(t.as_py(), b)[0]) if b.is_valid else t.as_py() for t, b in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)], pa.string())
+            columns = batch.columns[:-1]
+            columns[at] = text
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    joined = docs.join(bits, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    return joined.mapInArrow(apply, docs.schema)

@@ -40,6 +40,7 @@ N = 5
 BITS = 28
 FRAGMENTS = 4
 STAR_ROUNDS = 5
+BLOCK = 256
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -143,18 +144,35 @@ def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 #: Two sets that meet in a prefix n-gram at places px and py, in different components, and can still link by length and place.
-_HOPE = "hx = hy and cx <> cy and 4 * least(nx, ny) >= 3 * greatest(nx, ny) and 175 * (1 + least(nx - px - 1, ny - py - 1)) >= 75 * (nx + ny)"
+_HOPE = "{cx} <> cy and 4 * least({nx}, ny) >= 3 * greatest({nx}, ny) and 175 * (1 + least({nx} - {px} - 1, ny - py - 1)) >= 75 * ({nx} + ny)"
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
     return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), ("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))))
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    met = left.join(right, F.expr(_HOPE))
+def _once(pairs: DataFrame) -> DataFrame:
+    """Pairs with the smaller side as x, each once."""
     swap = F.col("x") > F.col("y")
     either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a)
-    return met.select(*(either(k + "x", k + "y") for k in ("", "n", "c")), *(either(k + "y", k + "x") for k in ("", "n", "c"))).distinct()
+    return pairs.select(*(either(k + "x", k + "y") for k in ("", "n", "c")), *(either(k + "y", k + "x") for k in ("", "n", "c"))).distinct()
+
+
+def _all_pairs(postings: DataFrame) -> DataFrame:
+    """All pairs across components that can link.
+
+    Of an n-gram only the entries outside its largest component look for partners. They travel as arrays, in blocks by hash of about ``BLOCK``
+    documents, so that a pair that meets in many n-grams is one element of its partner's array before it becomes a row.
+    """
+    groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
+    split = saved(groups.where("comps > 1").select(F.col("h").alias("hx"), F.col("top.comp").alias("top"), (F.col("all") - F.col("top.k")).alias("outside")))
+    blocks = 1 + (split.agg(F.max("outside")).first()[0] or 0) // BLOCK
+    x = _side(postings, "x").join(split, "hx").where("cx <> top")
+    lists = x.groupBy("hx", F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("x", "nx", "px", "cx")).alias("xs"))
+    met = lists.join(_side(postings, "y"), F.expr("hx = hy"))
+    can = F.expr(f"transform(filter(xs, e -> {_HOPE.format(nx='e.nx', px='e.px', cx='e.cx')}), e -> struct(e.x, e.nx, e.cx))")
+    per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
+    return _once(per_y.select("y", "ny", "cy", F.inline("xs")))
 
 
 def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -170,15 +188,13 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
     stars = star_rounds
     for r in range(star_rounds + 1):
         last = r == stars
-        x = _side(postings, "x")
         if last:
-            groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
-            split = groups.where("comps > 1").select(F.col("h").alias("hx"), F.col("top.comp").alias("top"))
-            pairs = saved(_pairs(x.join(split, "hx").where("cx <> top").drop("top"), _side(postings, "y")))
+            pairs = saved(_all_pairs(postings))
         else:
             order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), "x", "nx", "px", "cx")
-            hub = x.groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
-            pairs = saved(_pairs(hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx"), _side(postings, "y")))
+            hub = _side(postings, "x").groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
+            met = hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx").join(_side(postings, "y"), F.expr("hx = hy and " + _HOPE.format(nx="nx", px="px", cx="cx")))
+            pairs = saved(_once(met))
         found = saved(_verified(pairs, segments))
         n = found.count()
         if n:
