@@ -12,8 +12,8 @@ pair the n-grams that both sides have within a fragment are counted fragment by
    order (unshared ones, which come first, included). Length and position bounds drop hopeless pairs before they exist.
 5. What is asked for are components, so only pairs across components are ever made. First each prefix n-gram links its
    documents to one hub (as many pairs as entries); the pairs are verified and linked documents join. This is repeated
-   with other hubs while many entries still meet across components; then all remaining pairs across components are
-   verified. A group of thousands of near copies so collapses after pairs in proportion to its size, and no link
+   with other hubs while that finds many links; then come all remaining pairs across components, each document's best partner
+   first. A group of thousands of near copies so collapses after pairs in proportion to its size, and no link
    between different components is skipped.
 
 Two sets link when 100 * intersection >= 75 * union. N-grams are compared by 64-bit hashes.
@@ -37,7 +37,7 @@ from voltledger.llm.components import components
 from voltledger.llm.shared import saved
 
 N = 5
-BITS = 28
+BITS = 29
 FRAGMENTS = 4
 STAR_ROUNDS = 5
 BLOCK = 256
@@ -159,7 +159,7 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 
 def _all_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs across components that can link.
+    """All pairs across components that can link, and in how many prefix n-grams (k) they meet.
 
     Of an n-gram only the entries outside its largest component look for partners. They travel as arrays, in blocks by hash of about ``BLOCK``
     documents, so that a pair that meets in many n-grams is one element of its partner's array before it becomes a row.
@@ -171,8 +171,30 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     lists = x.groupBy("hx", F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("x", "nx", "px", "cx")).alias("xs"))
     met = lists.join(_side(postings, "y"), F.expr("hx = hy"))
     can = F.expr(f"transform(filter(xs, e -> {_HOPE.format(nx='e.nx', px='e.px', cx='e.cx')}), e -> struct(e.x, e.nx, e.cx))")
-    per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
-    return _once(per_y.select("y", "ny", "cy", F.inline("xs")))
+    per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.flatten(F.collect_list("xs")).alias("met"))
+    often = F.transform(F.array_distinct("met"), lambda e: F.struct(e["x"].alias("x"), e["nx"].alias("nx"), e["cx"].alias("cx"), F.size(F.filter("met", lambda m: m["x"] == e["x"])).alias("k")))
+    per_y = per_y.select("y", "ny", "cy", often.alias("xs"))
+    return per_y.select("y", "ny", "cy", F.inline("xs"))
+
+
+def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels after the found links between components."""
+    up = components(found).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    return saved(labels.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
+
+
+def _rest(pairs: DataFrame, segments: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after all pairs. As long as that finds links, each document's best partner goes first, and pairs inside a component drop out."""
+    while not pairs.isEmpty():
+        best = pairs.groupBy("x").agg(F.max(F.struct("k", "y", "nx", "cx", "ny", "cy")).alias("p")).select("x", "p.nx", "p.cx", "p.y", "p.ny", "p.cy")
+        found = saved(_verified(_once(best), segments))
+        if found.isEmpty():
+            found = saved(_verified(_once(pairs), segments))
+            return labels if found.isEmpty() else _joined(labels, found)
+        labels = _joined(labels, found)
+        cx, cy = (labels.select(F.col("node").alias(s), F.col("root").alias("c" + s)) for s in "xy")
+        pairs = saved(pairs.drop("cx", "cy").join(cx, "x").join(cy, "y").where("cx <> cy"))
+    return labels
 
 
 def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -189,7 +211,7 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
     for r in range(star_rounds + 1):
         last = r == stars
         if last:
-            pairs = saved(_all_pairs(postings))
+            return _rest(saved(_all_pairs(postings)), segments, labels)
         else:
             order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), "x", "nx", "px", "cx")
             hub = _side(postings, "x").groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
@@ -198,11 +220,7 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
         found = saved(_verified(pairs, segments))
         n = found.count()
         if n:
-            known = components(found)
-            up = known.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-            labels = saved(labels.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root")))
-        if last:
-            return labels
+            labels = _joined(labels, found)
         if n <= total // 100:
             stars = r + 1
         if n:
