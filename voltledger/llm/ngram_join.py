@@ -4,7 +4,8 @@ The n-grams of the corpus have one global order, rare ones first. The order is c
 pair the n-grams that both sides have within a fragment are counted fragment by fragment, and the partial overlaps are summed per pair.
 
 1. A sketch of all (document, n-gram) entries says which n-grams may occur in two documents. A document linked to
-   another one shares three quarters of its n-grams at least, so documents with fewer possibly shared n-grams are done.
+   another one shares three quarters of its n-grams at least, so documents with fewer possibly shared n-grams are done. A
+   second sketch repeats this on what is left.
 2. Documents with the same n-gram set are one class, represented by the smallest doc_id.
 3. The representatives' n-grams are counted exactly; those in one representative only never match, and documents
    left with less than three quarters of their set are done.
@@ -37,7 +38,7 @@ from voltledger.llm.components import components
 from voltledger.llm.shared import saved
 
 N = 5
-BITS = 29
+BITS, SECOND_BITS = 28, 27
 FRAGMENTS = 4
 STAR_ROUNDS = 5
 BLOCK = 256
@@ -63,11 +64,26 @@ def _sets(batch: pa.RecordBatch, n: int):
         yield rows, doc[new], h[new]
 
 
-def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS) -> DataFrame:
-    """doc_id, n_shingles, fp1, fp2 (identity of the set), grams array<long>: n-grams that may be shared, null if too few."""
+def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+    """doc_id, n_shingles, fp1, fp2 (identity of the set), grams array<long>: n-grams that may be shared, null if too few.
+
+    A second sketch counts only what the first one let through of documents that are still candidates.
+    """
     texts = docs.select("doc_id", "text")
     known = texts.where("doc_id is not null and text is not null")
-    seen = docs.sparkSession.sparkContext.broadcast(sketch.repeated(known, lambda b: (h for _, _, h in _sets(b, n)), bits))
+    sc = docs.sparkSession.sparkContext
+    seen = sc.broadcast(sketch.repeated(known, lambda b: (h for _, _, h in _sets(b, n)), bits))
+
+    def enough(doc, ok):
+        """Entries that pass, of texts of which three quarters pass."""
+        total = np.bincount(doc)
+        return ok & (100 * np.bincount(doc, weights=ok, minlength=len(total)) >= 75 * total)[doc] if len(doc) else ok
+
+    def passed(batch):
+        for _, doc, h in _sets(batch, n):
+            yield flat.mix(h[enough(doc, sketch.maybe(seen.value, h, bits))], 4)
+
+    again = sc.broadcast(sketch.repeated(known, passed, second_bits))
 
     def emit(batches):
         for batch in batches:
@@ -85,7 +101,8 @@ def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS) -> DataFrame:
                 of = doc[cuts[:-1]]
                 for k in range(2):
                     fp[k, of] = np.add.reduceat(flat.mix(h, 31 + k), cuts[:-1])
-                shared = sketch.maybe(seen.value, h, bits)
+                shared = enough(doc, sketch.maybe(seen.value, h, bits))
+                shared[shared] = sketch.maybe(again.value, flat.mix(h[shared], 4), second_bits)
                 n_shared = np.add.reduceat(shared.astype(np.int64), cuts[:-1])
                 for i in np.flatnonzero((100 * n_shared >= 75 * size[of]) & ~nameless[of]):
                     part = slice(cuts[i], cuts[i + 1])
@@ -229,14 +246,14 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
     return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int = SECOND_BITS, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same set)."""
-    sets = saved(shingle_sets(docs, n, bits))
+    sets = saved(shingle_sets(docs, n, bits, second_bits))
     same = ["n_shingles", "fp1", "fp2"]
     held = sets.where("grams is not null")
     classes = saved(held.groupBy(*same).agg(F.min("doc_id").alias("id")))
     reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams"))
-    roots = links_by_rounds(saved(_ordered(saved(_shared(reps, bits)))), fragments, star_rounds)
+    roots = links_by_rounds(saved(_ordered(saved(_shared(reps, second_bits)))), fragments, star_rounds)
     known = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("root"))
     held = sets.where("grams is not null").drop("grams").join(known, same)
     rest = sets.where("grams is null").select("doc_id", *same, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("root"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from voltledger.llm import flat, sketch
 
 WINDOW = 20
-FIRST_BITS, SECOND_BITS = 29, 28
+FIRST_BITS, SECOND_BITS = 28, 28
 _GATHER = 1 << 20
 
 
