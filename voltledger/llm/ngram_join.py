@@ -46,7 +46,7 @@ BLOCK = 256
 
 def _sets(batch: pa.RecordBatch, n: int):
     """(rows, text of each entry, n-gram hash of each entry): distinct entries, by text and hash."""
-    for rows, data, offsets in flat.text_slices(batch):
+    for rows, data, offsets in flat.text_slices(batch, limit=1 << 19):
         data = flat.lower(data)
         starts, ends, firsts = flat.words(data, offsets)
         w = flat.Rolling(data)(starts, ends)
@@ -155,11 +155,13 @@ def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     a = segments.select(F.col("id").alias("x"), "frag", F.col("hs").alias("a"))
     b = segments.select(F.col("id").alias("y"), "frag", F.col("hs").alias("b"))
     pair = ["x", "nx", "cx", "y", "ny", "cy"]
-    partial = pairs.join(a, "x").join(b, ["y", "frag"]).select(*pair, F.size(F.array_intersect("a", "b")).alias("part"))
+    partial = pairs.join(a.hint("merge"), "x").join(b.hint("merge"), ["y", "frag"]).select(*pair, F.size(F.array_intersect("a", "b")).alias("part"))
     whole = partial.groupBy(*pair).agg(F.sum("part").alias("both"))
     return whole.where("100 * both >= 75 * (nx + ny - both)").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
+# Joins with tables that grow with the corpus ask for a sort-merge join, so that the plan is the same at every size.
+
 #: Two sets that meet in a prefix n-gram at places px and py, in different components, and can still link by length and place.
 _HOPE = "{cx} <> cy and 4 * least({nx}, ny) >= 3 * greatest({nx}, ny) and 175 * (1 + least({nx} - {px} - 1, ny - py - 1)) >= 75 * ({nx} + ny)"
 
@@ -184,9 +186,9 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
     split = saved(groups.where("comps > 1").select(F.col("h").alias("hx"), F.col("top.comp").alias("top"), (F.col("all") - F.col("top.k")).alias("outside")))
     blocks = 1 + (split.agg(F.max("outside")).first()[0] or 0) // BLOCK
-    x = _side(postings, "x").join(split, "hx").where("cx <> top")
+    x = _side(postings, "x").join(split.hint("merge"), "hx").where("cx <> top")
     lists = x.groupBy("hx", F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("x", "nx", "px", "cx")).alias("xs"))
-    met = lists.join(_side(postings, "y"), F.expr("hx = hy"))
+    met = lists.join(_side(postings, "y").hint("merge"), F.expr("hx = hy"))
     can = F.expr(f"transform(filter(xs, e -> {_HOPE.format(nx='e.nx', px='e.px', cx='e.cx')}), e -> struct(e.x, e.nx, e.cx))")
     per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.flatten(F.collect_list("xs")).alias("met"))
     often = F.transform(F.array_distinct("met"), lambda e: F.struct(e["x"].alias("x"), e["nx"].alias("nx"), e["cx"].alias("cx"), F.size(F.filter("met", lambda m: m["x"] == e["x"])).alias("k")))
@@ -230,9 +232,9 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
         if last:
             return _rest(saved(_all_pairs(postings)), segments, labels)
         else:
-            order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), "x", "nx", "px", "cx")
+            order = F.struct((F.xxhash64("x", F.lit(r)) if r else F.lit(0)).alias("o"), "x", "nx", "px", "cx")
             hub = _side(postings, "x").groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
-            met = hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx").join(_side(postings, "y"), F.expr("hx = hy and " + _HOPE.format(nx="nx", px="px", cx="cx")))
+            met = hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx").join(_side(postings, "y").hint("merge"), F.expr("hx = hy and " + _HOPE.format(nx="nx", px="px", cx="cx")))
             pairs = saved(_once(met))
         found = saved(_verified(pairs, segments))
         n = found.count()
@@ -242,7 +244,7 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
             stars = r + 1
         if n:
             comp = labels.select(F.col("node").alias("id"), F.col("root").alias("comp"))
-            postings = saved(postings.drop("comp").join(comp, "id"))
+            postings = saved(postings.drop("comp").join(comp.hint("merge"), "id"))
     return labels
 
 
@@ -252,7 +254,7 @@ def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, second_bits:
     same = ["n_shingles", "fp1", "fp2"]
     held = sets.where("grams is not null")
     classes = saved(held.groupBy(*same).agg(F.min("doc_id").alias("id")))
-    reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams"))
+    reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id").hint("merge"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams"))
     roots = links_by_rounds(saved(_ordered(saved(_shared(reps, second_bits)))), fragments, star_rounds)
     known = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("root"))
     held = sets.where("grams is not null").drop("grams").join(known, same)
