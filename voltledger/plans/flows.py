@@ -34,10 +34,18 @@ def extract(texts: DataFrame, suppliers: list[str]) -> tuple[DataFrame, DataFram
     for n, s in enumerate(dict.fromkeys(suppliers)):
         found = EXTRACTORS[s](texts.where(F.col("fornecedor") == s).select("path", "text"))
         parts.append(found.withColumn("job", F.lit(n)))
-    good, bad = sheets.readable(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    every = _once(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    good, bad = sheets.readable(every)
     return sheets.first_wins(good, ["job", "path"]), bad
 
 
+def _once(extracted: DataFrame) -> DataFrame:
+    """The texts are parsed once for all sheets: a reliable checkpoint where the session has a folder for it, else a cache."""
+    if extracted.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return extracted.persist()
+    return extracted.checkpoint()
+
+
 def base_sheets(extracted: DataFrame) -> dict[str, DataFrame]:
     """The five base sheets with the corrections that come with the package."""
     spark = extracted.sparkSession

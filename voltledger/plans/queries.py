@@ -409,8 +409,8 @@ def ocr_value_repair(spark, sf):
 def ocr_tax_repair(spark, sf):
     b = F.col("o_totalprice").cast("decimal(18,0)").cast("double")
     odd = F.col("o_orderkey") % 2 == 1
-    pis, cofins = repair.tax_pair((F.when(odd, b * 100).otherwise(b), F.lit(1.0), b / 100), (b, F.lit(500.0), F.when(odd, b * 5).otherwise(b * 5 / 100)))
-    return table(spark, sf, "orders").select("o_orderkey", pis[0].alias("base"), pis[1].alias("aliquota"), pis[2].alias("valor"), cofins[1].alias("cofins_aliquota"), cofins[2].alias("cofins_valor"))
+    row = repair.tax_pair((F.when(odd, b * 100).otherwise(b), F.lit(1.0), b / 100), (b, F.lit(500.0), F.when(odd, b * 5).otherwise(b * 5 / 100)))
+    return table(spark, sf, "orders").select("o_orderkey", row.alias("r")).select("o_orderkey", *(F.col(f"r.{k}").alias(n) for k, n in (("pb", "base"), ("pr", "aliquota"), ("pv", "valor"), ("cr", "cofins_aliquota"), ("cv", "cofins_valor"))))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey AS DOUBLE) / pow(10, length(CAST(l_partkey AS VARCHAR))) ELSE CAST(l_partkey AS DOUBLE) END tarifa FROM lineitem")
