@@ -87,27 +87,21 @@ def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int
 
     def emit(batches):
         for batch in batches:
-            size = np.zeros(batch.num_rows, np.int64)
-            fp = np.zeros((2, batch.num_rows), np.uint64)
-            ids = batch.column(0)
-            nameless = ids.is_null().to_numpy(zero_copy_only=False)
-            grams: list = [None] * batch.num_rows
+            nameless = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for rows, doc, h in _sets(batch, n):
-                doc = doc + rows.start
-                size += np.bincount(doc, minlength=len(size))
-                cuts = np.concatenate(([0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)])) if len(doc) else np.zeros(1, np.int64)
-                if not len(doc):
-                    continue
-                of = doc[cuts[:-1]]
-                for k in range(2):
-                    fp[k, of] = np.add.reduceat(flat.mix(h, 31 + k), cuts[:-1])
+                k = rows.stop - rows.start
+                size = np.bincount(doc, minlength=k)
+                cuts = np.concatenate(([0], np.cumsum(size)))
+                # sums of a slice's entries by text, wrapping, also where a text has none
+                fp = [np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat.mix(h, 31 + i))))[cuts]).view(np.int64) for i in range(2)]
                 shared = enough(doc, sketch.maybe(seen.value, h, bits))
                 shared[shared] = sketch.maybe(again.value, flat.mix(h[shared], 4), second_bits)
-                n_shared = np.add.reduceat(shared.astype(np.int64), cuts[:-1])
-                for i in np.flatnonzero((100 * n_shared >= 75 * size[of]) & ~nameless[of]):
-                    part = slice(cuts[i], cuts[i + 1])
-                    grams[of[i]] = h[part][shared[part]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size), *(pa.array(x.view(np.int64)) for x in fp), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "fp1", "fp2", "grams"])
+                n_shared = np.bincount(doc, weights=shared, minlength=k)
+                use = (size > 0) & (100 * n_shared >= 75 * size) & ~nameless[rows]
+                shared &= use[doc]
+                at = np.concatenate(([0], np.cumsum(np.where(use, n_shared, 0)))).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(at), pa.array(h[shared].view(np.int64)), mask=pa.array(~use))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, k), pa.array(size.astype(np.int64)), *map(pa.array, fp), grams], ["doc_id", "n_shingles", "fp1", "fp2", "grams"])
 
     return texts.mapInArrow(emit, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, grams array<bigint>")
 
@@ -115,7 +109,8 @@ def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int
 def _shared(reps: DataFrame, bits: int) -> DataFrame:
     """reps without the n-grams that a sketch of the representatives alone calls single, and without sets that lost too many."""
     arrays = lambda b: b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    seen = reps.sparkSession.sparkContext.broadcast(sketch.repeated(reps, lambda b: iter([flat.mix(arrays(b), 3)]), bits))
+    parts = lambda b: (flat.mix(x, 3) for h in [arrays(b)] for x in np.array_split(h, 1 + (len(h) >> 18)))
+    seen = reps.sparkSession.sparkContext.broadcast(sketch.repeated(reps, parts, bits))
 
     def keep(batches):
         for batch in batches:

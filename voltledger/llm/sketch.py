@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from voltledger.llm.flat import mix
 
 _BLOCK = 1 << 16
-_FLUSH = 2 << 20
+_FLUSH = 1 << 20
 
 
 def cells(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
