@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voltledger.functions.text import let
+
 
 def unit(c: Column) -> Column:
     low = F.lower(c)
@@ -19,12 +21,16 @@ def tariff(token: Column, value: Column) -> Column:
 
 def item_value(quantity: Column, price: Column, value: Column, token: Column, rate: Column) -> Column:
     """Value = quantity x price where the printed one is suspect and the price is credible; else a lost comma is put back."""
-    expected = F.round(quantity * price, 2)
-    bare = ~F.contains(token, F.lit(","))
-    suspect = bare | (F.abs(value - expected) > 1.0)
-    credible = rate.isNull() | ((rate > 0) & (price / rate).between(0.98, 1.30))
-    use = F.coalesce((quantity > 0) & (price > 0) & suspect & credible, F.lit(False))
-    return F.when(value.isNotNull() & use, expected).when(bare & (value >= 100), F.round(value / 100, 2)).otherwise(value)
+    given = F.struct(quantity.alias("q"), price.alias("p"), value.alias("v"), token.alias("t"), rate.alias("r"), F.round(quantity * price, 2).alias("e"))
+
+    def ruled(x: Column) -> Column:
+        bare = ~F.contains(x["t"], F.lit(","))
+        suspect = bare | (F.abs(x["v"] - x["e"]) > 1.0)
+        credible = x["r"].isNull() | ((x["r"] > 0) & (x["p"] / x["r"]).between(0.98, 1.30))
+        use = F.coalesce((x["q"] > 0) & (x["p"] > 0) & suspect & credible, F.lit(False))
+        return F.when(x["v"].isNotNull() & use, x["e"]).when(bare & (x["v"] >= 100), F.round(x["v"] / 100, 2)).otherwise(x["v"])
+
+    return let(given, ruled)
 
 
 def item_tax(token: Column, value: Column, item: Column) -> Column:
@@ -50,23 +56,33 @@ def near_hundred(ratio: Column, width: float) -> Column:
     return F.coalesce(F.abs(ratio - 100) < width, F.lit(False))
 
 
-def tax_pair(pis: tuple[Column, Column, Column], cofins: tuple[Column, Column, Column]) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
-    """(base, rate, value) of both taxes after repair; each step sees the ones before, and the second tax is anchored on the first."""
-    base, rate, value = pis
-    rate = F.when(rate > 2, rate / 100).otherwise(rate)
-    full = (base != 0) & (value != 0) & (rate > 0)
-    due = base * rate / 100
-    base_off = F.coalesce(full, F.lit(False)) & near_hundred(due / value, 10)
-    base, due = F.when(base_off, base / 100).otherwise(base), F.when(base_off, due / 100).otherwise(due)
-    value = F.when(F.coalesce(full & (due > 0), F.lit(False)) & near_hundred(value / due, 10), value / 100).otherwise(value)
-    pis = (tax_base(base, rate, value), rate, value)
-
-    base, rate2, value2 = cofins
-    rate2 = F.when(rate2 > 10, rate2 / 100).otherwise(rate2)
-    base = hundredfold(base, pis[0])
-    due = base * rate2 / 100
-    full = (base != 0) & (value2 != 0) & (rate2 > 0) & (due > 0)
-    value2 = F.when(F.coalesce(full, F.lit(False)) & near_hundred(value2 / due, 10), value2 / 100).otherwise(value2)
-    due = pis[2] * rate2 / pis[1]
-    value2 = F.when(F.coalesce((pis[1] > 0) & (value2 != 0) & (due > 0), F.lit(False)) & near_hundred(value2 / due, 15), value2 / 100).otherwise(value2)
-    return pis, (tax_base(base, rate2, value2), rate2, value2)
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def _steps():
+    """The repair of both taxes, step by step: (field, new value of it from the row so far)."""
+    down = lambda x, k, when: (k, F.when(_sure(when), x[k] / 100).otherwise(x[k]))
+    due = lambda x, t: x[f"{t}b"] * x[f"{t}r"] / 100
+    full = lambda x, t: (x[f"{t}b"] != 0) & (x[f"{t}v"] != 0) & (x[f"{t}r"] > 0)
+    yield lambda x: down(x, "pr", x["pr"] > 2)
+    yield lambda x: down(x, "pb", full(x, "p") & near_hundred(due(x, "p") / x["pv"], 10))
+    yield lambda x: down(x, "pv", full(x, "p") & (due(x, "p") > 0) & near_hundred(x["pv"] / due(x, "p"), 10))
+    yield lambda x: ("pb", tax_base(x["pb"], x["pr"], x["pv"]))
+    yield lambda x: down(x, "cr", x["cr"] > 10)
+    yield lambda x: ("cb", hundredfold(x["cb"], x["pb"]))
+    yield lambda x: down(x, "cv", full(x, "c") & (due(x, "c") > 0) & near_hundred(x["cv"] / due(x, "c"), 10))
+    yield lambda x: down(x, "cv", (x["pr"] > 0) & (x["cv"] != 0) & (x["pv"] * x["cr"] > 0) & near_hundred(x["cv"] / (x["pv"] * x["cr"] / x["pr"]), 15))
+    yield lambda x: ("cb", tax_base(x["cb"], x["cr"], x["cv"]))
+
+
+def tax_pair(pis: tuple[Column, Column, Column], cofins: tuple[Column, Column, Column]) -> Column:
+    """struct<pb, pr, pv, cb, cr, cv>: base, rate, value of both taxes after repair; each step sees the ones before, and the second tax is anchored on the first."""
+    row = F.struct(*(c.cast("double").alias(n) for n, c in zip(("pb", "pr", "pv", "cb", "cr", "cv"), (*pis, *cofins), strict=True)))
+    for step in _steps():
+        row = _applied(row, step)
+    return row
+
+
+def _applied(row: Column, step) -> Column:
+    return let(row, lambda x: x.withField(*step(x)))

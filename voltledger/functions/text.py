@@ -121,6 +121,17 @@ def last(text: Column, pattern: str, group: int = 1) -> Column:
     return F.trim(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once and named, so that an expression that uses it often stays small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def shapes(text: Column, *kinds) -> Column:
+    """The row of the first pattern that matches. kinds: (pattern, number of groups, body from the groups to a row that is not null)."""
+    one = lambda p, n, body: let(groups(text, p, n), lambda g: F.when(g.isNotNull(), body(g)))
+    return F.coalesce(*(one(*k) for k in kinds))
+
+
 def groups(text: Column, pattern: str, n: int) -> Column:
     """All n groups of the first match at once, null without a match; groups that took no part are empty."""
     row = "\x01".join(f"${i}" for i in range(1, n + 1))

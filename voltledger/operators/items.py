@@ -13,8 +13,8 @@ READING = "struct<Grandezas:string,posto:string,anterior:bigint,atual:bigint,con
 SUPPLY, FINANCIAL = "FORNECIMENTO", "ITENS FINANCEIROS"
 
 
-def item(name: Column, kind: str, unidade=None, quantidade=None, preco=None, valor=None, pis_cofins=None, base=None, aliquota=None, icms=None, tarifa=None) -> Column:
-    values = dict(item=name, tipo=F.lit(kind), unidade=unidade, quantidade=quantidade, preco=preco, valor=valor, pis_cofins=pis_cofins, base=base, aliquota=aliquota, icms=icms, tarifa=tarifa)
+def item(name: Column, kind: str | Column, unidade=None, quantidade=None, preco=None, valor=None, pis_cofins=None, base=None, aliquota=None, icms=None, tarifa=None) -> Column:
+    values = dict(item=name, tipo=F.lit(kind) if isinstance(kind, str) else kind, unidade=unidade, quantidade=quantidade, preco=preco, valor=valor, pis_cofins=pis_cofins, base=base, aliquota=aliquota, icms=icms, tarifa=tarifa)
     return F.struct(*((F.lit(None) if v is None else v).alias(k) for k, v in values.items())).cast(ITEM)
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions.text import MONTHS_SHORT, all_groups, blank_to_null, br_date, br_number, file_name, file_stem, first, groups, last, month_number, sorted_letters
+from voltledger.functions.text import MONTHS_SHORT, all_groups, blank_to_null, br_date, br_number, file_name, file_stem, first, groups, last, let, month_number, shapes, sorted_letters
 from voltledger.operators.items import FINANCIAL, ITEM, READING, SUPPLY, TAX, cut_before, empty, integer, item, num, rate, upper_name
 
 SUPPLIER = "EQUATORIAL"
@@ -175,8 +175,8 @@ def header(text: Column, path: Column, forced: Column) -> dict[str, Column]:
 
 def customer(text: Column) -> dict[str, Column]:
     def place(block: Column) -> Column:
-        full, bare = groups(block, PLACE, 3), groups(block, PLACE_BARE, 2)
-        return F.when(full.isNotNull(), F.struct(full[0].alias("cep"), F.trim(full[1]).alias("municipio"), F.upper(full[2]).alias("uf"))).when(bare.isNotNull(), F.struct(F.lit(None).cast("string").alias("cep"), F.trim(bare[0]).alias("municipio"), F.upper(bare[1]).alias("uf")))
+        row = lambda cep, town, state: F.struct(cep.alias("cep"), F.trim(town).alias("municipio"), F.upper(state).alias("uf"))
+        return let(block, lambda b: shapes(b, (PLACE, 3, lambda g: row(g[0], g[1], g[2])), (PLACE_BARE, 2, lambda g: row(F.lit(None).cast("string"), g[0], g[1]))))
 
     at = F.coalesce(place(F.concat(first(text, DELIVERY), F.lit("\n"))), place(first(text, AFTER_TAX_ID)), place(text))
     return {"razao_social": _any(text, OWNER), "cnpj": first(text, r"(?iusd)CNPJ/CPF:\s*([\d./-]+)"), "cep": at["cep"], "municipio": at["municipio"], "uf": at["uf"]}
@@ -192,39 +192,44 @@ def _letters(c: Column) -> Column:
 def unscrambled(name: Column) -> Column:
     """The known name of the same letters; or, for a visibly scrambled name, the longest known one whose letters it holds and that is half of it."""
     exact = F.create_map(*(F.lit(x) for n in OLD_NAMES for x in ("".join(sorted(n.replace(" ", ""))), n)))
-    scrambled = F.size(F.regexp_extract_all(name, F.lit(r"(?<![A-Za-zÀ-ÿ])[A-ZÀ-Þ](?![A-Za-zÀ-ÿ])"), F.lit(0))) >= 3
-    hint = F.coalesce(first(name, r"\b(FP|HR|P)\s*-\s*PARC"), first(name, r"\b(FP|HR|P)\s*\.?\s*$"))
-    size = F.length(F.replace(name, F.lit(" "), F.lit("")))
+    letters = sorted(set("".join(OLD_NAMES)) - {" "})
+    count = lambda n, c: F.length(n) - F.length(F.replace(n, F.lit(c), F.lit("")))
 
-    def holds(known: str) -> Column:
-        bare = known.replace(" ", "")
-        post = known.removesuffix(" - PARC. TE").rsplit(" ", 1)[-1]
-        agrees = hint.isNull() | (hint == post) if post in ("FP", "HR", "P") else F.lit(True)
-        enough = reduce(lambda a, b: a & b, (F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))) >= bare.count(c) for c in sorted(set(bare))))
-        return F.when(agrees & (2 * len(bare) >= size) & enough, F.lit(known))
+    def contained(n: Column) -> Column:
+        hint = F.coalesce(first(n, r"\b(FP|HR|P)\s*-\s*PARC"), first(n, r"\b(FP|HR|P)\s*\.?\s*$"))
+        found = F.struct(hint.alias("hint"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("size"), F.array(*(count(n, c) for c in letters)).alias("has"))
 
-    longest = sorted(OLD_NAMES, key=lambda n: -len(n.replace(" ", "")))
-    contained = F.when(scrambled, F.coalesce(*(holds(n) for n in longest)))
-    return F.coalesce(F.try_element_at(exact, sorted_letters(name)), contained, name)
+        def holds(x: Column, known: str) -> Column:
+            bare = known.replace(" ", "")
+            post = known.removesuffix(" - PARC. TE").rsplit(" ", 1)[-1]
+            agrees = x["hint"].isNull() | (x["hint"] == post) if post in ("FP", "HR", "P") else F.lit(True)
+            enough = reduce(lambda a, b: a & b, (x["has"][letters.index(c)] >= bare.count(c) for c in sorted(set(bare))))
+            return F.when(agrees & (2 * len(bare) >= x["size"]) & enough, F.lit(known))
+
+        longest = sorted(OLD_NAMES, key=lambda k: -len(k.replace(" ", "")))
+        return let(found, lambda x: F.coalesce(*(holds(x, k) for k in longest)))
+
+    scrambled = lambda n: F.size(F.regexp_extract_all(n, F.lit(r"(?<![A-Za-zÀ-ÿ])[A-ZÀ-Þ](?![A-Za-zÀ-ÿ])"), F.lit(0))) >= 3
+    return let(name, lambda n: F.coalesce(F.try_element_at(exact, sorted_letters(n)), F.when(scrambled(n), contained(n)), n))
 
 
 def old_name(name: Column) -> Column:
     """Name of an old-layout item: without unit and merged meter words, unscrambled."""
     bare = F.upper(F.trim(F.regexp_replace(F.trim(name), r"\s*-\s*k(?:Wh|W|VArh|Var)\s*$", "")))
-    return unscrambled(F.coalesce(blank_to_null(F.regexp_replace(bare, _METER_PREFIX, "")), bare))
+    return unscrambled(let(bare, lambda b: F.coalesce(blank_to_null(F.regexp_replace(b, _METER_PREFIX, "")), b)))
 
 
 def financial_of(line: Column) -> Column:
     """The item in a line, or in what a supply item left of it: with quantity and price, or with a value only."""
-    rest = F.trim(F.regexp_replace(line, HISTORY, ""))
-    counted, plain = groups(rest, OLD_COUNTED, 4), groups(rest, OLD_AMOUNT, 2)
-    unit = first(counted[0], r"-?\s*(kWh|kW|kVArh|kVar)\s*$")
-    named = lambda g: (upper_name(g[0]) != "") & ~g[0].rlike(OLD_TAX_WORD)
-    return (
-        F.when(counted.isNotNull() & named(counted) & num(counted, 4).isNotNull() & unit.isNotNull(), item(old_name(counted[0]), SUPPLY, unit, num(counted, 2), num(counted, 3), num(counted, 4)))
-        .when(counted.isNotNull() & named(counted) & num(counted, 4).isNotNull(), item(upper_name(counted[0]), FINANCIAL, None, num(counted, 2), num(counted, 3), num(counted, 4)))
-        .when(plain.isNotNull() & named(plain) & num(plain, 2).isNotNull(), item(upper_name(plain[0]), FINANCIAL, valor=num(plain, 2)))
-    )
+    ok = lambda g, value: (upper_name(g[0]) != "") & ~g[0].rlike(OLD_TAX_WORD) & value.isNotNull()
+
+    def counted(g: Column) -> Column:
+        unit = first(g[0], r"-?\s*(kWh|kW|kVArh|kVar)\s*$")
+        name, kind = F.when(unit.isNull(), upper_name(g[0])).otherwise(old_name(g[0])), F.when(unit.isNull(), FINANCIAL).otherwise(SUPPLY)
+        return F.when(ok(g, num(g, 4)), item(name, kind, unit, num(g, 2), num(g, 3), num(g, 4)))
+
+    plain = lambda g: F.when(ok(g, num(g, 2)), item(upper_name(g[0]), FINANCIAL, valor=num(g, 2)))
+    return let(F.trim(F.regexp_replace(line, HISTORY, "")), lambda rest: shapes(rest, (OLD_COUNTED, 4, counted), (OLD_AMOUNT, 2, plain)))
 
 
 def _lines(text: Column) -> Column:
@@ -236,10 +241,12 @@ def _present(array: Column) -> Column:
 
 
 def old_items(text: Column) -> Column:
+    def full(g: Column) -> Column:
+        return item(old_name(g[0]), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), num(g, 9), num(g, 10))
+
     def of_line(line: Column) -> Column:
-        g = groups(line, OLD_ITEM, 10)
-        supply = F.when(g.isNotNull(), item(old_name(g[0]), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), num(g, 9), num(g, 10)))
-        rest = F.when(g.isNull(), line).otherwise(F.element_at(F.split(line, OLD_ITEM, 2), -1))
+        supply = shapes(line, (OLD_ITEM, 10, full))
+        rest = F.when(line.rlike(OLD_ITEM), F.element_at(F.split(line, OLD_ITEM, 2), -1)).otherwise(line)
         return F.array(supply, financial_of(rest))
 
     windows = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(OLD_WINDOW), F.lit(1)), _lines))
@@ -251,18 +258,16 @@ def supply_items(text: Column, sectioned: Column) -> Column:
     end = F.when(sectioned, first(text, r"(?iusd)FORNECIMENTO[^\n]*\n(.+?)ITENS FINANCEIROS")).otherwise(first(text, r"(?iusdm)FORNECIMENTO[^\n]*\n(.+?)^\s*TOTAL\b"))
     clean = F.transform(_lines(end), lambda x: reduce(lambda c, p: F.regexp_replace(c, p, ""), RIGHT_NEIGHBOURS, x))
 
+    name = lambda g: F.upper(F.trim(g[0]))
+    full = lambda g: item(F.regexp_replace(name(g), _METER_PREFIX, ""), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), num(g, 9), num(g, 10))
+    exempt = lambda g: item(name(g), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), None, num(g, 9))
+    short = lambda g: item(name(g), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), tarifa=num(g, 7))
+    benefit = lambda g: item(name(g), SUPPLY, valor=num(g, 2))
+
     def of_line(line: Column) -> Column:
-        full, exempt, short, benefit = groups(line, FULL_ITEM, 10), groups(line, EXEMPT_ITEM, 9), groups(line, SHORT_ITEM, 7), groups(line, BENEFIT_ITEM, 2)
-        name = lambda g: F.upper(F.trim(g[0]))
-        extra = financial_of(line)
-        usable = ~sectioned & ~line.rlike(SKIP_LINE) & ~line.rlike(KNOWN_PREFIX) & ~extra["item"].rlike(KNOWN_PREFIX)
-        return (
-            F.when(full.isNotNull(), item(F.regexp_replace(name(full), _METER_PREFIX, ""), SUPPLY, full[1], num(full, 3), num(full, 4), num(full, 5), num(full, 6), num(full, 7), F.concat(full[7], F.lit("%")), num(full, 9), num(full, 10)))
-            .when(exempt.isNotNull(), item(name(exempt), SUPPLY, exempt[1], num(exempt, 3), num(exempt, 4), num(exempt, 5), num(exempt, 6), num(exempt, 7), F.concat(exempt[7], F.lit("%")), None, num(exempt, 9)))
-            .when(short.isNotNull(), item(name(short), SUPPLY, short[1], num(short, 3), num(short, 4), num(short, 5), num(short, 6), tarifa=num(short, 7)))
-            .when(benefit.isNotNull(), item(name(benefit), SUPPLY, valor=num(benefit, 2)))
-            .when(usable, extra)
-        )
+        shaped = shapes(line, (FULL_ITEM, 10, full), (EXEMPT_ITEM, 9, exempt), (SHORT_ITEM, 7, short), (BENEFIT_ITEM, 2, benefit))
+        extra = let(financial_of(line), lambda x: F.when(~x["item"].rlike(KNOWN_PREFIX), x))
+        return F.coalesce(shaped, F.when(~sectioned & ~line.rlike(SKIP_LINE) & ~line.rlike(KNOWN_PREFIX), extra))
 
     return F.coalesce(_present(F.transform(clean, of_line)), empty(ITEM))
 
@@ -274,29 +279,27 @@ def section_items(text: Column) -> Column:
     clean = F.transform(F.filter(section, lambda x: ~x.rlike(SKIP_LINE)), lambda x: F.regexp_replace(F.regexp_replace(x, RIGHT_NEIGHBOURS[2], ""), HISTORY, ""))
 
     def of_line(line: Column) -> Column:
-        counted = groups(line, COUNTED_FINANCIAL, 4)
-        name = upper_name(F.split(line, AMOUNT, 2)[0])
-        value = br_number(first(line, rf"({AMOUNT})"))
-        ok = (name != "") & ~F.startswith(name, F.lit("TOTAL")) & value.isNotNull()
-        return F.when(counted.isNotNull(), F.when(num(counted, 4).isNotNull(), item(F.upper(F.trim(counted[0])), FINANCIAL, None, num(counted, 2), num(counted, 3), num(counted, 4)))).when(ok, item(name, FINANCIAL, valor=value))
+        counted = shapes(line, (COUNTED_FINANCIAL, 4, lambda g: item(F.when(num(g, 4).isNotNull(), F.upper(F.trim(g[0]))), FINANCIAL, None, num(g, 2), num(g, 3), num(g, 4))))
+        plain = F.struct(upper_name(F.split(line, AMOUNT, 2)[0]).alias("name"), br_number(first(line, rf"({AMOUNT})")).alias("value"))
+        ok = lambda x: (x["name"] != "") & ~F.startswith(x["name"], F.lit("TOTAL")) & x["value"].isNotNull()
+        row = F.coalesce(counted, let(plain, lambda x: F.when(ok(x), item(x["name"], FINANCIAL, valor=x["value"]))))
+        return let(row, lambda x: F.when(x["item"].isNotNull(), x))
 
     useful = F.filter(clean, lambda x: x.rlike("^[A-Za-zÀ-ÿ]") & ~x.rlike(KNOWN_PREFIX))
     return F.coalesce(_present(F.transform(useful, of_line)), empty(ITEM))
 
 
 def items(text: Column) -> Column:
-    sectioned = text.rlike("(?iud)ITENS FINANCEIROS")
     known = _present(F.array(*(F.when(text.rlike(p), item(F.lit(n), FINANCIAL, valor=br_number(first(text, p)))) for n, p in KNOWN_FINANCIAL)))
-    found = F.concat(supply_items(text, sectioned), known, section_items(text))
     leaks = F.filter(F.transform(all_groups(text, LEAKED, 2), lambda g: item(upper_name(g[0]), FINANCIAL, valor=num(g, 2))), lambda x: x["valor"].isNotNull())
-    fresh = F.filter(F.array_distinct(leaks), lambda x: ~F.exists(found, lambda y: (y["item"] == x["item"]) & (y["valor"] == x["valor"])))
-    return F.when(~sectioned & text.rlike("(?iud)Itens da Fatura"), old_items(text)).otherwise(F.concat(found, fresh))
+    fresh = lambda found: F.filter(F.array_distinct(leaks), lambda x: ~F.exists(found, lambda y: (y["item"] == x["item"]) & (y["valor"] == x["valor"])))
+    modern = lambda sectioned: let(F.concat(supply_items(text, sectioned), known, section_items(text)), lambda found: F.concat(found, fresh(found)))
+    return let(text.rlike("(?iud)ITENS FINANCEIROS"), lambda s: F.when(~s & text.rlike("(?iud)Itens da Fatura"), old_items(text)).otherwise(modern(s)))
 
 
 def taxes(text: Column) -> Column:
     def of(name: str) -> Column:
-        g = groups(text, rf"(?iud){name}\s+{_M}\s+{_M}%\s+{_M}", 3)
-        row = F.when(g.isNotNull(), F.struct(F.lit(name).alias("Tributo"), num(g, 1).alias("base"), rate(num(g, 2)).alias("aliquota"), num(g, 3).alias("valor")).cast(TAX))
+        row = shapes(text, (rf"(?iud){name}\s+{_M}\s+{_M}%\s+{_M}", 3, lambda g: F.struct(F.lit(name).alias("Tributo"), num(g, 1).alias("base"), rate(num(g, 2)).alias("aliquota"), num(g, 3).alias("valor")).cast(TAX)))
         zero = F.struct(F.lit(name).alias("Tributo"), F.lit(None).alias("base"), F.lit("0%").alias("aliquota"), F.lit(0.0).alias("valor")).cast(TAX)
         return F.coalesce(row, zero) if name == "ICMS" else row
 
@@ -315,8 +318,8 @@ def readings(text: Column) -> Column:
     full = F.array_distinct(F.concat(late, early))
     cut = F.transform(all_groups(text, METER_CUT, 5), lambda g: _reading(g[1], g[2], F.lit(None), integer(g[3]), num(g, 5), F.lit(None), g[0]))
     same = lambda a, b: (a["Grandezas"] == b["Grandezas"]) & (a["posto"] == b["posto"]) & (a["Medidor"] == b["Medidor"])
-    rest = F.aggregate(F.filter(cut, lambda c: ~F.exists(full, lambda f: same(c, f))), empty(READING), lambda acc, c: F.when(F.exists(acc, lambda f: same(c, f)), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.concat(full, rest)
+    add = lambda acc, c: F.when(F.exists(acc, lambda f: same(c, f)), acc).otherwise(F.concat(acc, F.array(c)))
+    return let(full, lambda rows: F.aggregate(cut, rows, add))
 
 
 def allocated(items: Column, taxes: Column) -> Column:

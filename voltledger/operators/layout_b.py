@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions import repair
-from voltledger.functions.text import all_groups, br_date, br_number, date_days, file_name, file_stem, first, groups, last, month_from_name
-from voltledger.operators.items import FINANCIAL, ITEM, READING, SUPPLY, TAX, empty, integer, item, num, rate
+from voltledger.functions.text import all_groups, br_date, br_number, date_days, file_name, file_stem, first, groups, last, let, month_from_name, shapes
+from voltledger.operators.items import FINANCIAL, READING, SUPPLY, TAX, integer, item, num, rate
 
 SUPPLIER = "CHESP"
 
@@ -138,20 +138,23 @@ def table_items(lines: Column, in_block: Column) -> Column:
     def repaired(g: Column, k: int, unit: Column | None) -> Column:
         """k: the group of the quantity."""
         quantity = F.when(g[k - 1].rlike(r"^[\d.,]"), num(g, k))
-        price, token = num(g, k + 1), g[k + 1]
-        tariff = repair.tariff(g[k + 3], num(g, k + 4))
-        value = repair.item_value(quantity, price, num(g, k + 2), token, tariff)
-        return item(_name(g[0]), SUPPLY, unit, quantity, price, value, repair.item_tax(g[k + 2], num(g, k + 3), value), tarifa=tariff)
+        read = F.struct(quantity.alias("q"), num(g, k + 1).alias("p"), num(g, k + 2).alias("v"), repair.tariff(g[k + 3], num(g, k + 4)).alias("t"))
+
+        def row(x: Column) -> Column:
+            value = repair.item_value(x["q"], x["p"], x["v"], g[k + 1], x["t"])
+            return let(value, lambda v: item(_name(g[0]), SUPPLY, unit, x["q"], x["p"], v, repair.item_tax(g[k + 2], num(g, k + 3), v), tarifa=x["t"]))
+
+        return let(read, row)
 
     def of_line(line: Column) -> Column:
-        unit, flag, held, light, other = groups(line, UNIT_ITEM, 7), groups(line, FLAG_ITEM, 6), groups(line, WITHHELD_ITEM, 3), groups(line, LIGHTING_ITEM, 3), groups(line, COUNTED_ITEM, 4)
-        return (
-            F.when(unit.isNotNull(), repaired(unit, 3, repair.unit(unit[1])))
-            .when(flag.isNotNull(), repaired(flag, 2, None))
-            .when(held.isNotNull(), item(_name(held[0]), FINANCIAL, None, F.lit(-1.0), num(held, 2), num(held, 3)))
-            .when(light.isNotNull(), item(_name(light[0]), FINANCIAL, None, F.lit(1.0), num(light, 2), num(light, 3)))
-            .when(in_block & other.isNotNull(), item(_name(other[0]), FINANCIAL, None, num(other, 2), num(other, 3), num(other, 4)))
+        fixed = shapes(
+            line,
+            (UNIT_ITEM, 7, lambda g: repaired(g, 3, repair.unit(g[1]))),
+            (FLAG_ITEM, 6, lambda g: repaired(g, 2, None)),
+            (WITHHELD_ITEM, 3, lambda g: item(_name(g[0]), FINANCIAL, None, F.lit(-1.0), num(g, 2), num(g, 3))),
+            (LIGHTING_ITEM, 3, lambda g: item(_name(g[0]), FINANCIAL, None, F.lit(1.0), num(g, 2), num(g, 3))),
         )
+        return F.coalesce(fixed, F.when(in_block, shapes(line, (COUNTED_ITEM, 4, lambda g: item(_name(g[0]), FINANCIAL, None, num(g, 2), num(g, 3), num(g, 4))))))
 
     clean = F.transform(lines, lambda x: F.trim(reduce(lambda c, p: F.regexp_replace(c, p, ""), RIGHT_NEIGHBOURS, x)))
     return F.filter(F.transform(F.filter(clean, lambda x: (x != "") & ~x.rlike(SKIP_LINE)), of_line), lambda x: x.isNotNull())
@@ -162,30 +165,38 @@ def old_items(text: Column) -> Column:
     usable = lambda g: ~F.trim(g[0]).rlike(OLD_NOT_ITEM)
     supply = F.transform(F.filter(all_groups(text, OLD_SUPPLY, 4), usable), lambda g: item(F.trim(g[0]), SUPPLY, None, num(g, 2), num(g, 3), num(g, 4)))
     credit = F.transform(F.filter(all_groups(text, OLD_CREDIT, 2), usable), lambda g: item(F.trim(g[0]), FINANCIAL, valor=num(g, 2)))
-    light = groups(text, OLD_LIGHTING, 2)
+    light = shapes(text, (OLD_LIGHTING, 2, lambda g: item(F.trim(g[0]), FINANCIAL, None, F.lit(1.0), None, num(g, 2))))
     pis, cofins = br_number(first(text, OLD_PIS)), br_number(first(text, OLD_COFINS))
     due = F.when(first(text, OLD_PIS).isNotNull() & first(text, OLD_COFINS).isNotNull(), F.round(F.coalesce(pis, F.lit(0.0)) + F.coalesce(cofins, F.lit(0.0)), 2)).otherwise(br_number(first(text, OLD_TAXES)))
-    one = lambda cond, value: F.when(cond, F.array(value)).otherwise(empty(ITEM))
-    return F.concat(supply, one(light.isNotNull(), item(F.trim(light[0]), FINANCIAL, None, F.lit(1.0), None, num(light, 2))), credit, one(due.isNotNull(), item(F.lit(CONSOLIDATED), FINANCIAL, valor=due)))
+    tax = let(due, lambda v: F.when(v.isNotNull(), item(F.lit(CONSOLIDATED), FINANCIAL, valor=v)))
+    return F.concat(supply, F.array_compact(F.array(light)), credit, F.array_compact(F.array(tax)))
 
 
 def items(text: Column) -> Column:
-    block, bare = first(text, BLOCK), first(text, BLOCK_BARE)
-    lines = F.split(F.coalesce(block, bare, text), "\n")
-    return F.when(block.isNull() & text.rlike(OLD_NOTE), old_items(text)).otherwise(table_items(lines, block.isNotNull() | bare.isNotNull()))
+    blocks = F.struct(first(text, BLOCK).alias("full"), first(text, BLOCK_BARE).alias("bare"))
+
+    def found(x: Column) -> Column:
+        lines = F.split(F.coalesce(x["full"], x["bare"], text), "\n")
+        return F.when(x["full"].isNull() & text.rlike(OLD_NOTE), old_items(text)).otherwise(table_items(lines, x["full"].isNotNull() | x["bare"].isNotNull()))
+
+    return let(blocks, found)
 
 
 def taxes(text: Column) -> Column:
     """PIS/PASEP, COFINS and ICMS after repair; a missing ICMS is a zero row."""
     t = F.regexp_replace(text, r"[|\[\](){}]", " ")
-    rows = {k: groups(t, rf"(?iud){p}\s*{_M}%?{_SEP}{_M}%?{_SEP}{_M}", 3) for k, p in TAX_LABELS.items()}
-    numbers = {k: tuple(num(g, i) for i in (1, 2, 3)) for k, g in rows.items()}
-    pis, cofins = repair.tax_pair(numbers["PIS/PASEP"], numbers["COFINS"])
+    found = F.struct(*(groups(t, rf"(?iud){p}\s*{_M}%?{_SEP}{_M}%?{_SEP}{_M}", 3).alias(k) for k, p in TAX_LABELS.items()))
     row = lambda k, b, a, v: F.struct(F.lit(k).alias("Tributo"), b.alias("base"), a.alias("aliquota"), v.alias("valor")).cast(TAX)
-    repaired = [F.when(b.isNotNull(), row(k, b, rate(a), v)) for k, (b, a, v) in (("PIS/PASEP", pis), ("COFINS", cofins))]
-    b, a, v = numbers["ICMS"]
-    icms = F.when(rows["ICMS"].isNotNull(), row("ICMS", b, rate(a), v)).otherwise(row("ICMS", F.lit(None), F.lit("0%"), F.lit(0.0)))
-    return F.filter(F.array(*repaired, icms), lambda x: x.isNotNull())
+
+    def both(x: Column) -> Column:
+        numbers = {k: tuple(num(x[k], i) for i in (1, 2, 3)) for k in TAX_LABELS}
+        repaired = repair.tax_pair(numbers["PIS/PASEP"], numbers["COFINS"])
+        printed = let(repaired, lambda r: F.array(*(F.when(r[f"{t}b"].isNotNull(), row(k, r[f"{t}b"], rate(r[f"{t}r"]), r[f"{t}v"])) for k, t in (("PIS/PASEP", "p"), ("COFINS", "c")))))
+        b, a, v = numbers["ICMS"]
+        icms = F.when(x["ICMS"].isNotNull(), row("ICMS", b, rate(a), v)).otherwise(row("ICMS", F.lit(None), F.lit("0%"), F.lit(0.0)))
+        return F.array_compact(F.concat(printed, F.array(icms)))
+
+    return let(found, both)
 
 
 def readings(text: Column) -> Column:
