@@ -75,4 +75,36 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op9_personal_data, op10_line_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+# ---- The same results in DuckDB SQL, where SQL can express them. Learned or library results (3, 5, 6, 9), edit distances (4), components (1) and
+# ---- byte windows (7) are tested against brute force instead.
+
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(x) line, generate_subscripts(x, 1) n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) x FROM documents)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key FROM l),
+hot AS (SELECT key, max(doc_id) top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT k.*, coalesce(k.doc_id <> top, false) gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) n_lines, count(*) FILTER (gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) kept_sha256 FROM j GROUP BY doc_id"""
+
+_WINDOWS = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') x FROM documents),
+w AS (SELECT doc_id, unnest(x) word, generate_subscripts(x, 1) j FROM d),
+v AS (SELECT doc_id, j, md5(array_to_string(x[j:j + 19], ' ')) h FROM (SELECT doc_id, x, unnest(range(1, len(x) - 18)) j FROM d WHERE len(x) >= 20)),
+r AS (SELECT doc_id, j, row_number() OVER (PARTITION BY h ORDER BY doc_id, j) > 1 again FROM v),
+c AS (SELECT w.*, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) gone FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.j = w.j)
+SELECT d.doc_id, count(word) n_words, count(*) FILTER (gone = 1) n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (gone = 0), '')) kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def _secrets_sql() -> str:
+    """One SELECT a rule: pieces between matches and matches give the places, as in ``spans``."""
+    text = "coalesce(text, '')"
+    parts = []
+    for no, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        keep = f"length(regexp_extract(x[i], '{pattern}', 2)) >= 12" if r.kind == "assign" else "true"
+        parts.append(f"""SELECT doc_id, {no} no, '{r.kind}' kind, CAST(coalesce(list_sum(list_transform(p[1:i], lambda a: length(a))), 0) + coalesce(list_sum(list_transform(x[1:i - 1], lambda a: length(a))), 0) AS BIGINT) s, length(x[i]) n
+FROM (SELECT doc_id, p, x, unnest(range(1, len(x) + 1)) i FROM (SELECT doc_id, string_split_regex({text}, '{pattern}') p, regexp_extract_all({text}, '{pattern}') x FROM documents)) WHERE {keep}""")
+    base = len(secrets.BASE)
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (no = {k}) n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    return f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined(f'no < {base}')}) base_sha256, {joined('no IS NOT NULL')} spans FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"
+
+
+ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_substring_dedup": _WINDOWS, "op10_line_dedup": _LINES}
