@@ -455,3 +455,34 @@ def event_windows(spark, sf):
     from voltledger.streaming.ingest import windowed
 
     return windowed(table(spark, sf, "events"), "ts", "event_type", "1 hour", "1 day", n=lambda: F.count(F.lit(1)))
+
+
+@query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) n, sum(CAST(round(value * 100) AS BIGINT)) cents FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    """The same windows from a file stream: one availableNow run into a memory table, whose size is that of the result."""
+    from uuid import uuid4
+
+    from voltledger.streaming.ingest import windowed
+
+    kind = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")  # a pattern, so that a file will do
+    found = windowed(stream, "ts", "event_type", "1 hour", "1 day", n=lambda: F.count(F.lit(1)), cents=lambda: F.sum(F.round(F.col("value") * 100).cast("bigint")))
+    name = f"windows_{uuid4().hex}"
+    run = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("""SELECT 'EQUATORIAL_' || CAST(2000000000000 + o_orderkey AS VARCHAR) id_fatura, CAST(10000000 + o_custkey AS VARCHAR) id_uc, count(l_orderkey) itens, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) valor FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
+def process_invoices(spark, sf):
+    """Whole invoices of layout A, written from orders and lineitem, through the flow that extracts and enriches them."""
+    from voltledger.plans import flows
+
+    name = F.concat(F.lit("Energia "), F.translate(_text("l_partkey"), "0123456789", _LETTERS))
+    row = F.concat_ws(" ", name, F.lit("kWh"), _br("l_quantity"), _br("l_discount"), _br("l_extendedprice"), _br("l_tax"), _br("l_extendedprice"), F.concat(_br("l_linenumber"), F.lit("%")), _br("l_tax"), _br("l_discount"))
+    body = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(row), "\n").alias("body"))
+    o = table(spark, sf, "orders").join(body, F.col("l_orderkey") == F.col("o_orderkey"))
+    text = F.concat((F.col("o_custkey") + 10000000).cast("string"), F.lit(" NOTA FISCAL Nº "), _text("o_orderkey"), F.lit("\nMAR/2024 09/03/2024 R$***"), _br("o_totalprice"), F.lit("\nFORNECIMENTO\n"), "body", F.lit("\nITENS FINANCEIROS\nTOTAL\n"))
+    docs = o.select(F.concat(F.lit("/in/"), (F.col("o_orderkey") + 2000000000000).cast("string"), F.lit(".pdf")).alias("path"), F.lit(layout_a.SUPPLIER).alias("fornecedor"), text.alias("text"))
+    done = flows.process_texts(docs, [layout_a.SUPPLIER])
+    return done.sheets["itens_fatura"].groupBy("id_fatura", "id_uc").agg(F.count(F.lit(1)).alias("itens"), F.sum(F.col("`valor_r$`").cast("decimal(18,2)")).cast("double").alias("valor"))

@@ -36,6 +36,6 @@ def append_stream(stream: DataFrame, supplier: str, path: str, checkpoint: str,
 
 
 def windowed(events: DataFrame, time: str, key: str, length: str, late: str, **aggregates: Callable[[], object]) -> DataFrame:
-    """Tumbling-window aggregates by key with a watermark: rows later than ``late`` are dropped by the stream."""
-    keep = events.withWatermark(time, late).groupBy(F.window(time, length), key)
+    """Tumbling-window aggregates by key with a watermark: rows later than ``late`` are dropped by the stream. Times without a zone are taken in the session's."""
+    keep = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length), key)
     return keep.agg(*(f().alias(n) for n, f in aggregates.items())).select(F.col("window.start").alias("start"), key, *aggregates)
