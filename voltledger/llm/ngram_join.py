@@ -162,7 +162,7 @@ _HOPE = "{cx} <> cy and 4 * least({nx}, ny) >= 3 * greatest({nx}, ny) and 175 *
 
 
 def _side(postings: DataFrame, side: str) -> DataFrame:
-    return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), ("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))))
+    return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), ("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"), ("alone", "a"))))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -214,12 +214,13 @@ def _rest(pairs: DataFrame, segments: DataFrame, labels: DataFrame) -> DataFrame
 def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """node, root over all representatives.
 
-    Star rounds go on while one finds links for more than a hundredth of the representatives; then come all other pairs.
+    The hub of an n-gram is the smallest id, then the document with the smallest share of n-grams of its own (it can link with most others), then a
+    random one. Star rounds go on while one finds links for more than a hundredth of the representatives; then come all other pairs.
     """
     segments = saved(_segments(sets, fragments))
     prefix = F.expr("slice(toks, 1, cast(n - ceil(0.75D * n) + 1 - (n - size(toks)) as int))")
     rare = sets.select("id", "n", (F.col("n") - F.size("toks")).alias("alone"), F.posexplode(prefix).alias("i", "t"))
-    postings = saved(rare.select("id", "n", F.col("t.h").alias("h"), (F.col("alone") + F.col("i")).alias("pos"), F.col("id").alias("comp")))
+    postings = saved(rare.select("id", "n", "alone", F.col("t.h").alias("h"), (F.col("alone") + F.col("i")).alias("pos"), F.col("id").alias("comp")))
     labels, total = sets.select(F.col("id").alias("node"), F.col("id").alias("root")), sets.count()
     stars = star_rounds
     for r in range(star_rounds + 1):
@@ -227,7 +228,8 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
         if last:
             return _rest(saved(_all_pairs(postings)), segments, labels)
         else:
-            order = F.struct((F.xxhash64("x", F.lit(r)) if r else F.lit(0)).alias("o"), "x", "nx", "px", "cx")
+            first = {0: F.lit(0.0), 1: F.col("ax") / F.col("nx")}.get(r, F.xxhash64("x", F.lit(r)).cast("double"))
+            order = F.struct(first.alias("o"), "x", "nx", "px", "cx")
             hub = _side(postings, "x").groupBy("hx").agg(F.min(order).alias("hub"), F.min("cx").alias("lo"), F.max("cx").alias("hi")).where("lo <> hi")
             met = hub.select("hx", "hub.x", "hub.nx", "hub.px", "hub.cx").join(_side(postings, "y").hint("merge"), F.expr("hx = hy and " + _HOPE.format(nx="nx", px="px", cx="cx")))
             pairs = saved(_once(met))
