@@ -307,6 +307,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert [r.pattern for r in good.collect()] == ["email:\ta9@a.a.a"]
 
 
+def contexts(spark, rows):
+    return {(r.doc_id, s.value) for r in personal_data.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for s in r.spans if s.kind == 4}
+
+
+def test_found_identifiers_support_other_contexts(spark):
+    rows = [(i, f"my email: user{i}@mail.example.com bye") for i in range(200)]
+    rows += [(1000 + i, f"my email: staff{i}@intranet bye. Contact staff{i}@intranet now, page {i} of {i + 1}") for i in range(20)]
+    rows += [(2000, "or contact zoe-7@desk today"), (2001, "see zoe-7@desk, page 300"), (2002, "staff3@intranet")]
+    both = {(1000 + i, f"staff{i}@intranet") for i in range(20)}
+    assert contexts(spark, rows) == both | {(2000, "zoe-7@desk")}
+    assert contexts(spark, rows[:200] + rows[220:]) == set()
+
+
 def test_long_texts_do_not_backtrack(spark):
     rows = [(1, "1" * 30000), (2, "a" * 60000), (3, "+1" + " " * 30000), (4, "x@" + "a." * 6000), (5, "1 " * 3000)]
     assert personal_data.find(frame(spark, rows)).count() == len(rows) + 2

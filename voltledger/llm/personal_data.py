@@ -1,10 +1,12 @@
 """Operator 9: personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
-Base patterns (email, ip, card, phone) give the seeds. Every word with a digit or an @ is an *instance* in a *lexical pattern*: the word
-before it, lower-cased, and its shape (runs of digits as 9, of letters as a). Patterns and instances form a bipartite graph, which is
-scored in rounds: a pattern's score is the mean score of its instances, smoothed by ``SMOOTH`` unknown ones; an instance that is no seed scores
-1 - product of (1 - score) over its patterns with enough support. Patterns that end with ``MIN_SCORE`` or more and
-``MIN_SEEDS`` different seeds mark their other instances as identifiers of kind ``context``. The counts cover all documents.
+Base patterns (email, ip, card, phone) give the seeds. Every word with a digit or an @ is an *instance* in two *lexical patterns*: the word
+before it, lower-cased, with its shape (runs of digits as 9, of letters as a), and that word with any shape. Patterns and instances form a
+bipartite graph. Each round scores all of it: a pattern's score is the mean score of its instances, smoothed by ``SMOOTH`` unknown ones, its
+support the number of different instances that are seeds or score ``MIN_SCORE`` or more; it is confident with a score of ``MIN_SCORE`` and a support
+of ``MIN_SEEDS`` or more. An instance that is no seed scores 1 - product of (1 - score) over its confident patterns, so what one
+pattern found supports others in the next round. The patterns that are confident in the last round mark their other instances as
+identifiers of kind ``context``. The counts cover all documents.
 
 The base patterns are written so that no text makes them backtrack (possessive, and entered at the start of a run or at the end of the
 last match only); they match what the plain patterns match.
@@ -84,16 +86,15 @@ def _words(text: Column) -> Column:
 def found_patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: int = SMOOTH, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """pattern: those of high confidence. edges: distinct pattern, instance, seed."""
     edges = saved(edges)
-    seeds = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    edges = saved(edges.join(saved(seeds), "pattern", "left_semi"))
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for r in range(rounds):
-        patterns = saved(scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + smooth)).alias("of_pattern")))
+        scores = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + smooth)).alias("of_pattern"), F.count_if(F.col("score") >= min_score).alias("support"))
+        patterns = saved(scores.where((F.col("of_pattern") >= min_score) & (F.col("support") >= min_seeds)))
         if r == rounds - 1:
             break
         doubt = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("of_pattern", F.lit(0.999)))))).alias("guess"))
         scored = edges.join(saved(doubt), "instance", "left").select("pattern", "instance", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("guess", F.lit(0.0))).alias("score"))
-    return patterns.where(F.col("of_pattern") >= min_score).select("pattern")
+    return patterns.select("pattern")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, smooth: int = SMOOTH, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -102,8 +103,10 @@ def find(docs: DataFrame, rounds: int = ROUNDS, smooth: int = SMOOTH, min_score:
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", base_spans(F.col("text")).alias("base"), _words(F.col("text")).alias("words"))
     rows = saved(rows)
     hit = F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["instance"].alias("instance"), w["pattern"].alias("pattern"), F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])).alias("seed")))
-    words = rows.where("doc_id is not null").select("doc_id", F.inline(hit)).where("end > start")
-    edges = words.where("not startswith(pattern, '\t')").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    words = rows.where("doc_id is not null").select("doc_id", F.inline(hit)).where("end > start and not startswith(pattern, '\t')")
+    any_shape = F.concat(F.substring_index("pattern", "\t", 1), F.lit("\t"))
+    words = words.withColumn("pattern", F.explode(F.array("pattern", any_shape)))
+    edges = words.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     good = saved(found_patterns(edges, rounds, smooth, min_score, min_seeds))
     more = words.where("not seed").join(good, "pattern", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end", F.col("instance").alias("value"))).cast(SPAN).alias("more"))
     joined = rows.select("doc_id", "base").join(saved(more), "doc_id", "left")
