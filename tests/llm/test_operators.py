@@ -320,6 +320,20 @@ def test_found_identifiers_support_other_contexts(spark):
     assert contexts(spark, rows[:200] + rows[220:]) == set()
 
 
+def test_contexts_are_whole(spark):
+    far, long, tail = " " * 60, "k" * 60, "-q" * 40
+    rows = [(i, f"account:{far}u{i}@mail.example.com") for i in range(20)] + [(100, f"account:{far}zoe7@desk"), (101, "t:\tzoe8@desk")]
+    rows += [(200 + i, f"a{long}: v{i}@mail.example.com") for i in range(20)] + [(300, f"a{long}: max7@desk"), (301, f"b{long}: max8@desk")]
+    rows += [(400 + i, f"id2\n{far}w{i}@mail.example.com") for i in range(20)] + [(500, "id2 eve7@desk"), (501, f"{far}eve8@desk")]
+    rows += [(600 + i, f"key x{i}{tail}@mail.example.com") for i in range(20)] + [(700, f"key x1{tail}@desk")] + [(800 + i, f"key {i}") for i in range(30)]
+    assert contexts(spark, rows) == {(100, "zoe7@desk"), (300, "max7@desk"), (500, "eve7@desk")}
+
+
+def test_long_texts_before_a_word_do_not_backtrack(spark):
+    rows = [(1, "a" * 60000 + " 5"), (2, " " * 60000 + "5"), (3, "a " * 30000 + "5"), (4, "a" * 60000 + "\u2028 5" + "b" * 60000)]
+    assert contexts(spark, rows) == set()
+
+
 def test_long_texts_do_not_backtrack(spark):
     rows = [(1, "1" * 30000), (2, "a" * 60000), (3, "+1" + " " * 30000), (4, "x@" + "a." * 6000), (5, "1 " * 3000)]
     assert personal_data.find(frame(spark, rows)).count() == len(rows) + 2

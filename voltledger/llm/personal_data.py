@@ -1,7 +1,8 @@
 """Operator 9: personal data by patterns and bootstrapped contexts, in DataFrame functions only.
 
 Base patterns (email, ip, card, phone) give the seeds. Every word with a digit or an @ is an *instance* in two *lexical patterns*: the word
-before it, lower-cased, with its shape (runs of digits as 9, of letters as a), and that word with any shape. Patterns and instances form a
+before it, whole, however far and whatever it holds, lower-cased, with its whole shape (runs of digits as 9, of letters as a), and that word
+with any shape. Patterns and instances form a
 bipartite graph. Each round scores all of it: a pattern's score is the mean score of its instances, smoothed by ``SMOOTH`` unknown ones, its
 support the number of different instances that are seeds or score ``MIN_SCORE`` or more; it is confident with a score of ``MIN_SCORE`` and a support
 of ``MIN_SEEDS`` or more. An instance that is no seed scores 1 - product of (1 - score) over its confident patterns, so what one
@@ -34,6 +35,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit or an @.
 WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
+#: The last word of the text before such a word, found in one pass.
+LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\z"
+
 
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
@@ -74,13 +78,16 @@ def _words(text: Column) -> Column:
     found = re_spans(text, WORD, 0, gate)
     before = F.when(gate, F.split(text, WORD, -1)).otherwise(F.array().cast("array<string>"))
 
-    def one(s, gap):
+    def one(s, gap, last):
         core = F.regexp_replace(s["value"], r"[^A-Za-z0-9]++$", "")
-        left = F.lower(F.regexp_extract(F.right(gap, F.lit(48)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
-        shape = F.regexp_replace(F.regexp_replace(F.left(core, F.lit(64)), "[0-9]+", "9"), "[A-Za-z]+", "a")
+        word = F.regexp_extract(gap, LAST_WORD, 1)
+        left = F.lower(F.when(word != "", word).otherwise(last))
+        shape = F.regexp_replace(F.regexp_replace(core, "[0-9]+", "9"), "[A-Za-z]+", "a")
         return F.struct(s["start"].alias("start"), (s["start"] + F.length(core)).alias("end"), core.alias("instance"), F.concat(left, F.lit("\t"), shape).alias("pattern"))
 
-    return F.zip_with(found, F.slice(before, 1, F.size(found)), one)
+    last = F.concat(F.array(F.lit("")), F.transform(found, lambda s: s["value"]))
+    with_gap = F.zip_with(found, F.slice(before, 1, F.size(found)), lambda s, gap: F.struct(s.alias("s"), gap.alias("gap")))
+    return F.zip_with(with_gap, F.slice(last, 1, F.size(found)), lambda x, y: one(x["s"], x["gap"], y))
 
 
 def found_patterns(edges: DataFrame, rounds: int = ROUNDS, smooth: int = SMOOTH, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
