@@ -206,6 +206,16 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "too short"), (2, "Yes"), (3, "who am I, then"), (4, "one two three four five six"), (5, ""), (6, None), (7, "six")]
+    docs = [(1, "it was too, SHORT. yes too short"), (2, "too long short"), (3, "who am i then"), (4, "one two three four five six"), (5, "who am I"), (6, None), (7, ""), (8, "too"), (9, "short")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(1, 1, 2, 4, 0, 2), (1, 2, 4, 5, 0, 1), (3, 3, 0, 4, 0, 4), (4, 4, 0, 6, 0, 6), (4, 7, 5, 6, 0, 1)}
+    for block in (2, 100):
+        got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), bench, block=block).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_language(spark):
     rnd = random.Random(3)
     syllables = {"aa": ["sch", "ung", "ein", "ß"], "bb": ["ción", "los", "ñe", "que"], "cc": ["th", "ing", "the", "ow"]}

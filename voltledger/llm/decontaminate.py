@@ -11,9 +11,11 @@ passage is within k = floor(``max_edits`` * n) word insertions, deletions or rep
    window and an item that agree in one table are candidates. Equal passages agree in all of them.
 4. Candidates are verified by exact edit distance of the item against the window and its reach.
 
+Items that allow no edit (k = 0: fewer than five words at the usual share) and single words are looked up by the hash of their whole word sequence instead.
+
 The benchmark is read in blocks of ``block`` items, whose size bounds what is broadcast; each block meets all documents.
 
-Defined results: null or empty texts, and items of fewer than ``MIN_WORDS`` words, match nothing; a null doc_id or item_id
+Defined results: null or empty texts, and texts without a word, match nothing; a null doc_id or item_id
 takes no part; repeated documents or items give one row per (doc_id, item_id), of the best match (fewest edits, then first); other columns
 are ignored; an empty table on either side gives no rows.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from voltledger.llm import flat
 
-MIN_WORDS, MAX_EDITS = 5, 0.2
+MAX_EDITS = 0.2
 EMBEDDINGS, SAMPLES, WIDTH = 6, 8, 3
 BLOCK = 20_000
 
@@ -88,30 +90,38 @@ def _distances(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple
 
 
 class Items:
-    """A block of benchmark items: their word pairs, sizes and LSH tables."""
+    """A block of benchmark items: their word pairs, sizes and LSH tables, and the hashes of those that allow no edit."""
 
     def __init__(self, ids: list[int], texts: list[str], max_edits: float, lsh: tuple[int, int, int]):
         raw = [t.encode() for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         w, firsts = tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        use = [i for i in range(len(ids)) if firsts[i + 1] - firsts[i] >= MIN_WORDS]
+        use = [i for i in range(len(ids)) if firsts[i + 1] > firsts[i]]
         self.lsh = lsh
         self.ids = [ids[i] for i in use]
         self.words = [w[firsts[i] : firsts[i + 1]] for i in use]
         self.size = np.array([len(x) for x in self.words], np.int64)
         self.edits = np.floor(max_edits * self.size + 1e-9).astype(np.int64)
         self.least = np.maximum(self.size - 1 - 2 * self.edits, 1)
-        pair = np.concatenate([_pairs(x) for x in self.words]) if use else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(use)), self.size - 1)
-        place = np.concatenate([np.arange(k - 1) for k in self.size]) if use else np.zeros(0, np.int64)
+        near = np.flatnonzero((self.edits > 0) & (self.size > 1))
+        pair = np.concatenate([_pairs(self.words[i]) for i in near]) if len(near) else np.zeros(0, np.uint64)
+        owner = np.repeat(near, self.size[near] - 1)
+        place = np.concatenate([np.arange(k - 1) for k in self.size[near]]) if len(near) else np.zeros(0, np.int64)
         order = np.argsort(pair, kind="stable")
         self.pair, self.owner, self.place = pair[order], owner[order], place[order]
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.pair >> np.uint64(44)).astype(np.int64)] = True
         self.tables = {}
-        for n in np.unique(self.size).tolist():
-            own = np.flatnonzero(self.size == n)
+        for n in np.unique(self.size[near]).tolist():
+            own = near[self.size[near] == n]
             self.tables[n] = (own, _walks(np.stack([self.words[i] for i in own]), *lsh))
+        exact = np.setdiff1d(np.arange(len(use)), near)
+        self.exact = {}
+        for n in np.unique(self.size[exact]).tolist():
+            own = exact[self.size[exact] == n]
+            _, h = flat.windows(np.concatenate([self.words[i] for i in own]), np.arange(len(own) + 1) * n, n)
+            order = np.argsort(h, kind="stable")
+            self.exact[n] = (own[order], h[order])
 
     def windows(self, w: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """Rows (text, first word of the window, size), each once."""
@@ -148,7 +158,15 @@ class Items:
         return np.unique(found, axis=0)
 
     def hits(self, w: np.ndarray, firsts: np.ndarray):
-        """(text, item, start word, end word, edits) of every verified candidate."""
+        """(text, item, start word, end word, edits) of every verified candidate, and of the first place of an item that allows no edit."""
+        for n, (own, keys) in self.exact.items():
+            at, h = flat.windows(w, firsts, n)
+            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            k = hi - lo
+            item, at = own[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())], np.repeat(at, k)
+            text = np.searchsorted(firsts, at, "right") - 1
+            _, once = np.unique(text * len(self.ids) + item, return_index=True)
+            yield from ((int(text[x]), int(item[x]), int(at[x]), int(at[x]) + n, 0) for x in once)
         found = self.windows(w, firsts)
         for n in np.unique(found[:, 2]).tolist():
             own, keys = self.tables[n]
