@@ -86,6 +86,14 @@ def test_ngram_join(spark):
     assert ngram_join.near_duplicates(empty(spark), bits=18, second_bits=18).count() == 0
 
 
+def test_ngram_join_keeps_repeated_rows_apart(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, f"{words('a', 75)} {words('b', 20)}"), (2, f"{words('a', 75)} {words('c', 20)}")] * 2
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), bits=18, second_bits=18)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (1, 1), (2, 2), (2, 2)]
+    assert ngram_join.near_duplicates(frame(spark), bits=18, second_bits=18).count() == frame(spark).count()
+
+
 def test_substring_dedup(spark):
     seen, want = set(), {}
     for i, t in ROWS:

@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, second_bits:
     same = ["n_shingles", "fp1", "fp2"]
     held = sets.where("grams is not null")
     classes = saved(held.groupBy(*same).agg(F.min("doc_id").alias("id")))
-    reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id").hint("merge"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams"))
+    reps = saved(held.withColumnRenamed("doc_id", "id").join(classes.select("id").hint("merge"), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "grams").dropDuplicates(["id"]))
     roots = links_by_rounds(saved(_ordered(saved(_shared(reps, second_bits)))), fragments, star_rounds)
     known = classes.join(roots, F.col("id") == F.col("node"), "left").select(*same, F.col("id").alias("class_id"), F.coalesce("root", "id").alias("root"))
     held = sets.where("grams is not null").drop("grams").join(known, same)
