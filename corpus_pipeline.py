@@ -12,6 +12,8 @@ the others unchanged; rows that repeat a doc_id stay or go together; a null text
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ from voltledger.llm.shared import saved
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs less the doc_ids of gone, a table of decisions without texts."""
-    gone = saved(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = f"__{uuid.uuid4().hex}"  # no column of docs
+    gone = saved(gone.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
