@@ -22,10 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spans(found: DataFrame, kinds: list[str], base: int) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans."""
+    """Counts of the base kinds, the digest of the base spans, all spans, and their number."""
     counts = [of_kind(F.col("spans"), k).alias(f"n_{kinds[k]}") for k in range(base)]
     own = F.filter("spans", lambda s: s["kind"] < base)
-    return found.select("doc_id", *counts, F.sha2(rendered(own, kinds), 256).alias("base_sha256"), rendered(F.col("spans"), kinds).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(rendered(own, kinds), 256).alias("base_sha256"), rendered(F.col("spans"), kinds).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ FROM (SELECT doc_id, p, x, unnest(range(1, len(x) + 1)) i FROM (SELECT doc_id, s
     base = len(secrets.BASE)
     joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, no) FILTER ({where}), '')"
     counts = ", ".join(f"count(*) FILTER (no = {k}) n_{r.kind}" for k, r in enumerate(secrets.BASE))
-    return f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined(f'no < {base}')}) base_sha256, {joined('no IS NOT NULL')} spans FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"
+    return f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined(f'no < {base}')}) base_sha256, {joined('no IS NOT NULL')} spans, count(no) n_spans FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"
 
 
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_substring_dedup": _WINDOWS, "op10_line_dedup": _LINES}
