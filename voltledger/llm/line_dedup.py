@@ -1,8 +1,9 @@
 """Operator 10: lines held by many documents, by range partitions and a secondary sort.
 
 Map tasks send (hash of the line's key, doc_id, line number). The rows are range-partitioned by hash, then document
-(latest first) and position, so one hot line spreads over several partitions, and each partition is streamed in order: the
-first document of a key keeps its lines, later ones lose theirs once the key has enough documents. A key that crosses
+(latest first) and position, so one hot line spreads over several partitions, and each partition is streamed in order, batch by batch: the
+first document of a key keeps its lines, later ones lose theirs once the key has enough documents. What waits for that are the lines of less than
+``min_docs`` documents. A key that crosses
 partitions is settled by one small summary per partition (two keys each; their number is that of the partitions, not of
 the rows). What goes back to the documents is a compressed bitmap per document, not text.
 
@@ -15,6 +16,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -48,9 +50,9 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _whole(batches) -> list[np.ndarray]:
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+def _arrays(batches):
+    """(hash, document, line) of each batch with rows."""
+    return ([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -68,15 +70,27 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     order = ["h", F.desc("doc_id"), "line"]
     met = cut(texts.mapInArrow(emit, "h bigint, doc_id bigint, line bigint").repartitionByRange(*order).sortWithinPartitions(*order))
 
+    names = ("part", "h0", "docs0", "top0", "low0", "h1", "docs1", "top1", "low1")
+
     def ends(batches):
-        h, doc, _ = _whole(batches)
-        if len(h):
+        """One row a partition: its first and its last key, with their documents (how many, the first and the last of them)."""
+        first, last = None, None  # [key, documents, largest, smallest so far]
+        opening = True
+        for h, doc, _ in _arrays(batches):
             new = _runs(h, doc)
-            first, last = h == h[0], h == h[-1]
-            row = {"part": TaskContext.get().partitionId(), "h0": h[0], "docs0": int(new[first].sum()), "top0": doc[0], "low0": doc[first][-1], "h1": h[-1], "docs1": int(new[last].sum()), "top1": doc[last][0], "low1": doc[-1]}
-            yield pa.RecordBatch.from_pylist([{k: int(v) for k, v in row.items()}])
+            if last and (last[0], last[3]) == (h[0], doc[0]):
+                new[0] = False
+            first = first or [int(h[0]), 0, int(doc[0]), None]
+            same = h == first[0]
+            if opening and same.any():
+                first[1], first[3] = first[1] + int(new[same].sum()), int(doc[same][-1])
+            opening = opening and bool(same.all())
+            same = h == h[-1]
+            had = last if last and last[0] == h[-1] else [int(h[-1]), 0, int(doc[same][0]), None]
+            last = [had[0], had[1] + int(new[same].sum()), had[2], int(doc[-1])]
+        if first:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (TaskContext.get().partitionId(), *first, *last), strict=True))])
 
-    names = ("part", "h0", "docs0", "top0", "low0", "h1", "docs1", "top1", "low1")
     parts = sorted(met.mapInArrow(ends, ", ".join(f"{x} bigint" for x in names)).collect())
     before: dict[int, tuple] = {}  # by partition: (largest document of its first key, its documents so far, the last of them)
     after: dict[int, tuple] = {}  # by partition: (documents of its last key in later partitions, the first of them)
@@ -100,21 +114,36 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
             open_key = (p.h0, p.docs0, p.top0)
 
     def decide(batches):
-        h, doc, line = _whole(batches)
-        if not len(h):
-            return
+        """Batch by batch. Of the open key only the rows that are still undecided stay: those of less than ``min_docs`` documents."""
         part = TaskContext.get().partitionId()
-        key = np.cumsum(_runs(h)) - 1
-        lead = np.flatnonzero(_runs(h))
-        docs_of = np.add.reduceat(_runs(h, doc).astype(np.int64), lead)
-        top = doc[lead].copy()
-        if part in after:
-            docs_of[-1] += after[part][0] - (after[part][1] == doc[-1])
-        if part in before:
-            docs_of[0] += before[part][1] - (before[part][2] == doc[0])
-            top[0] = before[part][0]
-        gone = (docs_of[key] >= min_docs) & (doc != top[key])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(line[gone])], ["doc_id", "line"])
+        rows = lambda doc, line: pa.RecordBatch.from_arrays([pa.array(doc), pa.array(line)], ["doc_id", "line"])
+        state, held = None, []  # the open key: (hash, documents so far, the largest, the last)
+        for h, doc, line in _arrays(batches):
+            if state is None and part in before:
+                top, n, low = before[part]
+                state = (h[0], n, top, low)
+            lead = np.flatnonzero(_runs(h))
+            key = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(h))))
+            docs_of = np.add.reduceat(_runs(h, doc).astype(np.int64), lead)
+            top = doc[lead].copy()
+            if state and state[0] == h[0]:
+                docs_of[0] += state[1] - (state[3] == doc[0])
+                top[0] = state[2]
+                if docs_of[0] >= min_docs:
+                    yield from (rows(*x) for x in held)
+                    held = []
+            else:
+                held = []
+            gone = (docs_of[key] >= min_docs) & (doc != top[key])
+            yield rows(doc[gone], line[gone])
+            if len(lead) > 1:
+                held = []
+            if docs_of[-1] < min_docs:
+                wait = (key == len(lead) - 1) & (doc != top[-1])
+                held.append((doc[wait], line[wait]))
+            state = (h[-1], docs_of[-1], top[-1], doc[-1])
+        if held and part in after and state[1] + after[part][0] - (after[part][1] == state[3]) >= min_docs:
+            yield from (rows(*x) for x in held)
 
     def pack(batches):
         for batch in batches:
@@ -155,7 +184,8 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of docs, all columns, with the dropped lines gone from text; a null text stays null."""
     at = docs.columns.index("text")
-    bits = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped"))
+    doc_id, dropped = (f"__{uuid.uuid4().hex}" for _ in range(2))  # no column of docs
+    bits = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias(doc_id), F.col("dropped").alias(dropped))
 
     def apply(batches):
         for batch in batches:
@@ -164,5 +194,5 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
             columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    joined = docs.join(bits, docs["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    joined = docs.join(bits, docs["doc_id"] == F.col(doc_id), "left").drop(doc_id)
     return joined.mapInArrow(apply, docs.schema)
