@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where that is unset (tests, one machine), a new folder."""
+    """``spark.checkpoint.dir`` of the session. Where that is unset, a new folder if all of Spark is this one process; an error otherwise."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: tables between steps need a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='checkpoint')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
