@@ -94,6 +94,19 @@ def test_ngram_join_keeps_repeated_rows_apart(spark):
     assert ngram_join.near_duplicates(frame(spark), bits=18, second_bits=18).count() == frame(spark).count()
 
 
+def test_all_pairs_of_a_common_ngram_are_dealt_to_many_keys(spark, monkeypatch):
+    """Pairs across components, of an n-gram that all documents share, against a plain double loop."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rnd = random.Random(1)
+    rows = [(i, rnd.randint(20, 30), 0, h, rnd.randint(1, 5), i % 3 if i < 60 else i) for i in range(90) for h in (7, 100 + i % 2, 200 + i)]
+    got = ngram_join._all_pairs(spark.createDataFrame(rows, "id bigint, n bigint, alone bigint, h bigint, pos bigint, comp bigint"))
+    pairs = {(min(r.x, r.y), max(r.x, r.y)) for r in got.collect()}
+    hope = lambda a, b: a[5] != b[5] and 4 * min(a[1], b[1]) >= 3 * max(a[1], b[1]) and 175 * (1 + min(a[1] - a[4] - 1, b[1] - b[4] - 1)) >= 75 * (a[1] + b[1])
+    top = {h: Counter(r[5] for r in rows if r[3] == h).most_common(1)[0][1] for h in (7, 100, 101)}
+    assert top[7] == 20
+    assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3] and hope(a, b)}
+
+
 def test_substring_dedup(spark):
     seen, want = set(), {}
     for i, t in ROWS:

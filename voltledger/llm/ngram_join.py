@@ -41,7 +41,7 @@ N = 5
 BITS, SECOND_BITS = 28, 27
 FRAGMENTS = 4
 STAR_ROUNDS = 5
-BLOCK = 256
+BLOCK, SALTS = 256, 4
 
 
 def _sets(batch: pa.RecordBatch, n: int):
@@ -161,8 +161,12 @@ def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 _HOPE = "{cx} <> cy and 4 * least({nx}, ny) >= 3 * greatest({nx}, ny) and 175 * (1 + least({nx} - {px} - 1, ny - py - 1)) >= 75 * ({nx} + ny)"
 
 
+#: Columns of the postings and their names on a side of a pair, followed by x or y.
+_SIDE = (("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"))
+
+
 def _side(postings: DataFrame, side: str) -> DataFrame:
-    return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), ("id", ""), ("n", "n"), ("pos", "p"), ("comp", "c"), ("alone", "a"))))
+    return postings.select(*(F.col(c).alias(a + side) for c, a in (("h", "h"), *_SIDE, ("alone", "a"))))
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -175,15 +179,21 @@ def _once(pairs: DataFrame) -> DataFrame:
 def _all_pairs(postings: DataFrame) -> DataFrame:
     """All pairs across components that can link, and in how many prefix n-grams (k) they meet.
 
-    Of an n-gram only the entries outside its largest component look for partners. They travel as arrays, in blocks by hash of about ``BLOCK``
-    documents, so that a pair that meets in many n-grams is one element of its partner's array before it becomes a row.
+    Of an n-gram only the entries outside its largest component look for partners. They travel as arrays, in blocks of about ``BLOCK``
+    documents, so that a pair that meets in many n-grams is one element of its partner's array before it becomes a row. Those they look
+    among are dealt by ``SALTS * BLOCK`` documents. A key is an n-gram with a block and a deal, so that no n-gram, however common, is one task.
     """
     groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
-    split = saved(groups.where("comps > 1").select(F.col("h").alias("hx"), F.col("top.comp").alias("top"), (F.col("all") - F.col("top.k")).alias("outside")))
-    blocks = 1 + (split.agg(F.max("outside")).first()[0] or 0) // BLOCK
-    x = _side(postings, "x").join(split.hint("merge"), "hx").where("cx <> top")
-    lists = x.groupBy("hx", F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("x", "nx", "px", "cx")).alias("xs"))
-    met = lists.join(_side(postings, "y").hint("merge"), F.expr("hx = hy"))
+    blocks = (1 + (F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("blocks")
+    deals = (1 + F.col("all") / (SALTS * BLOCK)).cast("int").alias("deals")
+    split = groups.where("comps > 1").select("h", F.col("top.comp").alias("top"), blocks, deals, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mixed = saved(postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(split.hint("merge"), ["h", "salt"]).drop("salt"))
+    own = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = mixed.where("comp <> top").select("h", "deals", own("id", "blocks", 1).alias("block"), F.struct(*(F.col(c).alias(k + "x") for c, k in _SIDE)).alias("e"))
+    lists = x.groupBy("h", "block", "deals").agg(F.collect_list("e").alias("xs")).select("h", "block", "xs", every("deals").alias("deal"))
+    y = mixed.select("h", own("id", "deals", 2).alias("deal"), every("blocks").alias("block"), *(F.col(c).alias(k + "y") for c, k in _SIDE))
+    met = lists.join(y.hint("merge"), ["h", "block", "deal"])
     can = F.expr(f"transform(filter(xs, e -> {_HOPE.format(nx='e.nx', px='e.px', cx='e.cx')}), e -> struct(e.x, e.nx, e.cx))")
     per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.flatten(F.collect_list("xs")).alias("met"))
     often = F.transform(F.array_distinct("met"), lambda e: F.struct(e["x"].alias("x"), e["nx"].alias("nx"), e["cx"].alias("cx"), F.size(F.filter("met", lambda m: m["x"] == e["x"])).alias("k")))
