@@ -324,6 +324,56 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark), bench.limit(0)).count() == 0
 
 
+def fewest_edits(item, words):
+    """Fewest edits between the item and any passage of the words: the plain table, column by column."""
+    column = list(range(len(item) + 1))
+    least = column[-1]
+    for w in words:
+        left, column = column, [0]
+        for j, x in enumerate(item):
+            column.append(min(left[j] + (x != w), left[j + 1] + 1, column[j] + 1))
+        least = min(least, column[-1])
+    return least
+
+
+def test_decontamination_recall_against_exact_distances(spark):
+    """All pairs of documents and items by the plain table: nothing false is found, edits are exact, and the stated recall is met."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 8))) for _ in range(200)]
+    pick = lambda n: [rnd.choice(words) for _ in range(n)]
+    items = {k: pick(rnd.randint(5, 40)) for k in range(24)}
+    items[30], items[31] = [*items[3][:-2], *pick(2)], items[5][4:] + pick(4)  # items that share most of their pairs
+    docs = {}
+    for n in range(400):
+        w = list(items[sorted(items)[n % 26]])
+        for _ in range(round(0.26 * len(w) * rnd.random())):
+            at = rnd.randrange(len(w) + 1)
+            w[at : at + rnd.randint(0, 1)] = pick(rnd.randint(0, 1))
+        docs[n] = pick(rnd.randint(0, 30)) + w + pick(rnd.randint(0, 30))
+    want = {}
+    for d, w in docs.items():
+        for i, item in items.items():
+            e = fewest_edits(item, w)
+            if e <= int(0.2 * len(item) + 1e-9):
+                want[d, i] = e
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id bigint, text string")
+    rows = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contamination(rows, bench, block=9).collect()}
+    print("recall", len(got) / len(want), len(want), "with the most edits", len([1 for k in got if got[k] == int(0.2 * len(items[k[1]]))]), len([1 for k in want if want[k] == int(0.2 * len(items[k[1]]))]))
+    assert all(want[k] <= e for k, e in got.items()) and set(got) <= set(want)
+    assert len(got) >= decontaminate.RECALL * len(want)
+    assert sum(want[k] == e for k, e in got.items()) >= 0.98 * len(got)
+
+
+def test_decontamination_gives_one_row_of_the_best_match(spark):
+    item = [f"w{i}" for i in range(20)]
+    spoiled = ["x", *item[1:10], "y", *item[11:]]
+    docs = [(1, " ".join([*spoiled, "and", *item, "and", *item])), (1, " ".join([*spoiled, "and", *item, "and", *item])), (2, " ".join(["q", "r", *spoiled]))]
+    bench = [(7, " ".join(item)), (7, " ".join(item)), (8, " ".join(item))]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 21, 41, 0, 20), (1, 8, 21, 41, 0, 20), (2, 7, 2, 22, 2, 20), (2, 8, 2, 22, 2, 20)]
+
+
 def test_short_items_are_found_exactly(spark):
     items = [(1, "too short"), (2, "Yes"), (3, "who am I, then"), (4, "one two three four five six"), (5, ""), (6, None), (7, "six")]
     docs = [(1, "it was too, SHORT. yes too short"), (2, "too long short"), (3, "who am i then"), (4, "one two three four five six"), (5, "who am I"), (6, None), (7, ""), (8, "too"), (9, "short")]

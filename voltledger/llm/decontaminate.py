@@ -3,17 +3,19 @@
 Texts are sequences of words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. An item of n words is found where a
 passage is within k = floor(``max_edits`` * n) word insertions, deletions or replacements of it.
 
-1. Windows of the item's size are placed where the text has enough of an item's word pairs: k edits spoil at most 2k of
-   n - 1 pairs, so a window with fewer than n - 1 - 2k of them (in its reach of k words to both sides) can't match. Nothing is lost.
+1. Windows of the item's size are placed wherever the text has one of the item's 2k + 1 rarest word pairs, at that pair's place: k edits
+   spoil at most 2k pairs, so nothing is lost, and most windows placed have nothing else in common with the item.
 2. The CGK random walk embeds each window and each item of its size: step j writes the current word and moves on if a
-   random bit of (j, word) is 1, so that a few edits leave most of the 3n written words equal (edit to Hamming distance).
-3. Bit-sampling LSH: ``embeddings`` walks with ``samples`` tables each; a table's key is ``width`` sampled places of a walk. A
-   window and an item that agree in one table are candidates. Equal passages agree in all of them.
+   random bit of (j, word) is 1, so that a few edits leave most of the 2n written words equal (edit to Hamming distance; after 2n steps
+   a walk has just about read its n words, and longer ones would compare the zeros behind them).
+3. Bit-sampling LSH makes the candidates: each walk has ``samples`` tables, whose keys are ``width`` sampled places of the walk. A
+   window and an item that agree in one table are candidates. Equal passages agree in all of them. The number of walks is chosen for each size of
+   item, so that passages of that size with the most edits allowed reach ``recall`` (measured on random ones when the tables are built).
 4. Candidates are verified by exact edit distance of the item against the window and its reach.
 
 Items that allow no edit (k = 0: fewer than five words at the usual share) and single words are looked up by the hash of their whole word sequence instead.
 
-The benchmark is read in blocks of ``block`` items, whose size bounds what is broadcast; each block meets all documents.
+The benchmark is read in blocks of about ``block`` items and ``block_bytes`` of text at most, which bounds what is broadcast; each block meets all documents.
 
 Defined results: null or empty texts, and texts without a word, match nothing; a null doc_id or item_id
 takes no part; repeated documents or items give one row per (doc_id, item_id), of the best match (fewest edits, then first); other columns
@@ -22,6 +24,8 @@ are ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from voltledger.llm import flat
 
 MAX_EDITS = 0.2
-EMBEDDINGS, SAMPLES, WIDTH = 6, 8, 3
-BLOCK = 20_000
+RECALL, SAMPLES, WIDTH = 0.98, 8, 3
+MAX_WALKS, TRIALS = 16, 300
+WALK_CELLS = 1 << 21
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -48,24 +54,52 @@ def _pairs(w: np.ndarray) -> np.ndarray:
     return flat.mix(w[:-1] * np.uint64(3) + w[1:], 17)
 
 
-def _walks(m: np.ndarray, embeddings: int, samples: int, width: int) -> np.ndarray:
-    """Keys (rows, tables) of word matrices (rows, n): the CGK walks of all embeddings side by side, then the sampled places."""
-    n = m.shape[1]
-    if len(m) > 2000:
-        return np.concatenate([_walks(m[c : c + 2000], embeddings, samples, width) for c in range(0, len(m), 2000)])
-    m = np.concatenate((m, np.zeros((len(m), 1), np.uint64)), 1)
-    rng = np.random.default_rng(n)
-    places = np.stack([np.stack([rng.choice(3 * n, width, replace=False) for _ in range(samples)]) for _ in range(embeddings)])
-    seed = flat.mix(np.arange(embeddings * 3 * n, dtype=np.uint64), 41).reshape(3 * n, embeddings, 1)
-    walk = np.empty((3 * n, embeddings, len(m)), np.uint64)
-    at, every = np.zeros((embeddings, len(m)), np.int64), np.arange(len(m))
-    for j in range(3 * n):
+def _walk(m: np.ndarray, sizes: np.ndarray, walks: int) -> np.ndarray:
+    """Words written (steps, walks, rows) by the CGK walks over the rows of m, of which the first ``sizes`` words count; behind them stand zeros."""
+    m = np.concatenate((np.where(np.arange(m.shape[1]) < sizes[:, None], m, np.uint64(0)), np.zeros((len(m), 1), np.uint64)), 1)
+    steps = 2 * (m.shape[1] - 1)
+    seed = flat.mix(np.arange(steps, dtype=np.uint64)[:, None] * np.uint64(MAX_WALKS) + np.arange(walks, dtype=np.uint64), 41)[:, :, None]
+    walk = np.empty((steps, walks, len(m)), np.uint64)
+    at, every = np.zeros((walks, len(m)), np.int64), np.arange(len(m))
+    for j in range(steps):
         word = walk[j] = m[every, at]
-        at += ((((word ^ seed[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)) & (at < n)
-    table = np.broadcast_to(np.arange(1, embeddings * samples + 1, dtype=np.uint64).reshape(embeddings, samples, 1), (embeddings, samples, len(m)))
+        at += ((((word ^ seed[j]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)) & (at < sizes)
+    return walk
+
+
+def _keys(walk: np.ndarray, n: int, walks: int, samples: int, width: int) -> np.ndarray:
+    """Keys (rows, walks * samples) of passages of n words: a hash of ``width`` places, sampled for that size, of the first 2n words written."""
+    rng = np.random.default_rng(n)
+    places = np.stack([np.stack([rng.choice(2 * n, width, replace=False) for _ in range(samples)]) for _ in range(walks)])
+    rows = walk.shape[2]
+    table = np.broadcast_to(np.arange(1, walks * samples + 1, dtype=np.uint64).reshape(walks, samples, 1), (walks, samples, rows))
     for k in range(width):
-        table = flat.mix(table * np.uint64(5) + walk[places[:, :, k], np.arange(embeddings)[:, None]], 23)
-    return table.reshape(embeddings * samples, len(m)).T
+        table = flat.mix(table * np.uint64(5) + walk[places[:, :, k], np.arange(walks)[:, None]], 23)
+    return table.reshape(walks * samples, rows).T
+
+
+def _walks(m: np.ndarray, walks: int, samples: int, width: int) -> np.ndarray:
+    """Keys of rows that all have as many words as m has columns."""
+    n = m.shape[1]
+    parts = np.array_split(m, max(1, -(-len(m) * 2 * n * walks // WALK_CELLS)))
+    return np.concatenate([_keys(_walk(x, np.full(len(x), n), walks), n, walks, samples, width) for x in parts])
+
+
+@functools.cache
+def walks_needed(n: int, k: int, recall: float, samples: int, width: int) -> int:
+    """The least number of walks with which random passages of n words and k random edits agree with the original in some table, often enough."""
+    rng = np.random.default_rng(n * 31 + k)
+    items = rng.integers(1, 1 << 60, (TRIALS, n)).astype(np.uint64)
+    texts = np.zeros_like(items)
+    for row, item in zip(texts, items, strict=True):
+        words = item.tolist()
+        for at, kind in zip(rng.integers(0, n, k).tolist(), rng.integers(0, 3, k).tolist(), strict=True):
+            words[at : at + (kind > 0)] = [int(rng.integers(1, 1 << 60))] * (kind < 2)  # insert, replace, delete
+        words = (words + rng.integers(1, 1 << 60, n).tolist())[:n]
+        row[:] = words
+    same = (_walks(items, MAX_WALKS, samples, width) == _walks(texts, MAX_WALKS, samples, width)).reshape(TRIALS, MAX_WALKS, samples).any(2)
+    reached = np.maximum.accumulate(same, 1).mean(0) >= recall
+    return int(reached.argmax()) + 1 if reached.any() else MAX_WALKS
 
 
 def _distances(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,21 +126,26 @@ def _distances(items: np.ndarray, texts: np.ndarray, sizes: np.ndarray) -> tuple
 class Items:
     """A block of benchmark items: their word pairs, sizes and LSH tables, and the hashes of those that allow no edit."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_edits: float, lsh: tuple[int, int, int]):
+    def __init__(self, ids: list[int], texts: list[str], max_edits: float, lsh: tuple[float, int, int]):
         raw = [t.encode() for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
         w, firsts = tokens(np.frombuffer(b"".join(raw), np.uint8), offsets)
         use = [i for i in range(len(ids)) if firsts[i + 1] > firsts[i]]
-        self.lsh = lsh
+        self.samples, self.width = lsh[1:]
         self.ids = [ids[i] for i in use]
         self.words = [w[firsts[i] : firsts[i + 1]] for i in use]
         self.size = np.array([len(x) for x in self.words], np.int64)
         self.edits = np.floor(max_edits * self.size + 1e-9).astype(np.int64)
-        self.least = np.maximum(self.size - 1 - 2 * self.edits, 1)
         near = np.flatnonzero((self.edits > 0) & (self.size > 1))
         pair = np.concatenate([_pairs(self.words[i]) for i in near]) if len(near) else np.zeros(0, np.uint64)
         owner = np.repeat(near, self.size[near] - 1)
         place = np.concatenate([np.arange(k - 1) for k in self.size[near]]) if len(near) else np.zeros(0, np.int64)
+        # of each item the rarest pairs of this block: so many that one of them outlasts all edits
+        _, no, count = np.unique(pair, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, count[no], owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        order = order[rank <= 2 * self.edits[owner[order]]]
+        pair, owner, place = pair[order], owner[order], place[order]
         order = np.argsort(pair, kind="stable")
         self.pair, self.owner, self.place = pair[order], owner[order], place[order]
         self.bits = np.zeros(1 << 20, bool)
@@ -114,7 +153,9 @@ class Items:
         self.tables = {}
         for n in np.unique(self.size[near]).tolist():
             own = near[self.size[near] == n]
-            self.tables[n] = (own, _walks(np.stack([self.words[i] for i in own]), *lsh))
+            walks = walks_needed(n, int(self.edits[own[0]]), *lsh)
+            keys = _walks(np.stack([self.words[i] for i in own]), walks, self.samples, self.width)
+            self.tables[n] = (own, walks, keys, np.argsort(keys, axis=0, kind="stable"))
         exact = np.setdiff1d(np.arange(len(use)), near)
         self.exact = {}
         for n in np.unique(self.size[exact]).tolist():
@@ -136,26 +177,7 @@ class Items:
         src = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at, item, place = np.repeat(at, n), self.owner[src], self.place[src]
         text = np.searchsorted(firsts, at, "right") - 1
-        start = at - place
-        size, k = self.size[item], self.edits[item]
-        span = np.int64(len(w) + 1)
-        order = np.lexsort((place, at, item))
-        key, places = (item * span + at)[order], place[order]
-        low = np.maximum(start - k, firsts[text])
-        high = np.minimum(start + size + k - 1, firsts[text + 1])
-        lo, hi = np.searchsorted(key, item * span + low), np.searchsorted(key, item * span + high)
-        ok = np.flatnonzero(hi - lo >= self.least[item])
-        # one pair repeated over and over is one place of the item: count the places
-        good = np.zeros(len(at), bool)
-        for c in np.array_split(ok, max(1, int((hi - lo)[ok].sum()) >> 20)):
-            n = (hi - lo)[c]
-            mark = np.repeat(lo[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            width = np.int64(places.max() + 1) if len(places) else 1
-            seen = np.unique(np.repeat(np.arange(len(c)), n) * width + places[mark]) // width
-            good[c] = np.bincount(seen, minlength=len(c)) >= self.least[item[c]]
-        ok = good
-        found = np.stack((text[ok], np.maximum(start[ok], firsts[text[ok]]), size[ok]), 1)
-        return np.unique(found, axis=0)
+        return np.unique(np.stack((text, np.maximum(at - place, firsts[text]), self.size[item]), 1), axis=0)
 
     def hits(self, w: np.ndarray, firsts: np.ndarray):
         """(text, item, start word, end word, edits) of every verified candidate, and of the first place of an item that allows no edit."""
@@ -168,47 +190,58 @@ class Items:
             _, once = np.unique(text * len(self.ids) + item, return_index=True)
             yield from ((int(text[x]), int(item[x]), int(at[x]), int(at[x]) + n, 0) for x in once)
         found = self.windows(w, firsts)
+        found = found[np.argsort(found[:, 2], kind="stable")]
+        walks = max((x[1] for x in self.tables.values()), default=1)
+        low = 0
+        while low < len(found):
+            # as many windows, by size, as keep the walks below WALK_CELLS words; one at least
+            cost = 2 * walks * found[low:, 2] * np.arange(1, len(found) - low + 1)
+            high = low + max(1, int(np.searchsorted(cost, WALK_CELLS, "right")))
+            yield from self._verified(w, firsts, found[low:high], walks)
+            low = high
+
+    def _verified(self, w: np.ndarray, firsts: np.ndarray, found: np.ndarray, walks: int):
+        """Candidates of the windows by their tables, those within the edits of the item."""
+        longest = int(found[:, 2].max())
+        reach = found[:, 1][:, None] + np.arange(longest)
+        words = np.where(reach < firsts[found[:, 0] + 1][:, None], w[np.minimum(reach, len(w) - 1)], np.uint64(0))
+        walk = _walk(words, found[:, 2], walks)
         for n in np.unique(found[:, 2]).tolist():
-            own, keys = self.tables[n]
-            some = found[found[:, 2] == n]
-            for low in range(0, len(some), 20_000):
-                part = some[low : low + 20_000]
-                reach = part[:, 1][:, None] + np.arange(n)
-                valid = reach < firsts[part[:, 0] + 1][:, None]
-                matrix = np.where(valid, w[np.minimum(reach, len(w) - 1)], np.uint64(0))
-                mine = _walks(matrix, *self.lsh)
-                seen = set()
-                for t in range(keys.shape[1]):
-                    order = np.argsort(keys[:, t], kind="stable")
-                    a, b = np.searchsorted(keys[order, t], mine[:, t], "left"), np.searchsorted(keys[order, t], mine[:, t], "right")
-                    for r in np.flatnonzero(b > a).tolist():
-                        seen.update((r, int(own[i])) for i in order[a[r] : b[r]])
-                if not seen:
-                    continue
-                r, i = np.array(sorted(seen)).T
-                text, k = part[r, 0], int(self.edits[i[0]])
-                low_w = np.maximum(part[r, 1] - k, firsts[text])
-                size = np.minimum(part[r, 1] + n + k, firsts[text + 1]) - low_w
-                for c in range(0, len(r), 5000):
-                    c = slice(c, c + 5000)
-                    reach = low_w[c][:, None] + np.arange(n + 2 * k)
-                    passage = np.where(np.arange(n + 2 * k) < size[c][:, None], w[np.minimum(reach, len(w) - 1)], np.uint64(0))
-                    edits, a, b = _distances(np.stack([self.words[x] for x in i[c]]), passage, size[c])
-                    for x in np.flatnonzero(edits <= k).tolist():
-                        yield int(text[c][x]), int(i[c][x]), int(low_w[c][x] + a[x]), int(low_w[c][x] + b[x]), int(edits[x])
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, embeddings: int = EMBEDDINGS, samples: int = SAMPLES, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+            own, n_walks, keys, orders = self.tables[n]
+            rows = np.flatnonzero(found[:, 2] == n)
+            part = found[rows]
+            mine = _keys(walk[:, :, rows], n, n_walks, self.samples, self.width)
+            seen = []
+            for t in range(keys.shape[1]):
+                order = orders[:, t]
+                a, b = np.searchsorted(keys[order, t], mine[:, t], "left"), np.searchsorted(keys[order, t], mine[:, t], "right")
+                hits = b - a
+                seen.append(np.repeat(np.arange(len(mine)), hits) * len(own) + order[np.repeat(a - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())])
+            seen = np.unique(np.concatenate(seen))
+            r, i = seen // len(own), own[seen % len(own)]
+            text, k = part[r, 0], int(self.edits[own[0]])
+            first = np.maximum(part[r, 1] - k, firsts[text])
+            size = np.minimum(part[r, 1] + n + k, firsts[text + 1]) - first
+            for c in np.array_split(np.arange(len(r)), max(1, -(-len(r) * (n + 2 * k) // WALK_CELLS))) if len(r) else ():
+                reach = first[c][:, None] + np.arange(n + 2 * k)
+                passage = np.where(np.arange(n + 2 * k) < size[c][:, None], w[np.minimum(reach, len(w) - 1)], np.uint64(0))
+                edits, a, b = _distances(np.stack([self.words[x] for x in i[c]]), passage, size[c])
+                for x in np.flatnonzero(edits <= k).tolist():
+                    yield int(text[c][x]), int(i[c][x]), int(first[c][x] + a[x]), int(first[c][x] + b[x]), int(edits[x])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL, samples: int = SAMPLES, width: int = WIDTH, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits, item_words: one row per document and item found in it."""
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, edits bigint, item_words bigint"
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-items.count() // block))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size.n // block), -(-(size.bytes or 0) // block_bytes))
     parts = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], max_edits, (embeddings, samples, width)))
+        held = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], max_edits, (recall, samples, width)))
 
         def find(batches, held=held):
             for batch in batches:
