@@ -1,6 +1,6 @@
 from test_extract import A, B
 
-from voltledger.operators import glossary
+from voltledger.operators import glossary, rules
 from voltledger.plans import flows
 from voltledger.sources import documents, stores, workbook
 from voltledger.sources.documents import Job
@@ -45,7 +45,59 @@ def test_folders_to_sheets_and_back(spark, tmp_path):
     flows.apply_rules_to_file(spark, str(tmp_path / "out"), str(tmp_path / "out2"), stores.load_rules(tmp_path / "rules.json"))
 
 
+def test_workbook_files_with_rules_and_reports(spark, tmp_path):
+    import zipfile
+
+    jobs = folders(tmp_path)
+    done = flows.process_folders(spark, jobs)
+    assert {r.counter: r.n for r in done.counters().collect()} == {"total": 5, "processed": 2, "errors": 2}
+    source, target, report = (str(tmp_path / n) for n in ("a.xlsx", "b.xlsx", "report.xlsx"))
+    workbook.write_xlsx(done.sheets, source, {"k": 3}, widest=30)
+    with zipfile.ZipFile(source) as z:
+        assert 'customWidth="1"' in z.read("xl/worksheets/sheet1.xml").decode()
+    widths = workbook.widths(done.sheets["fatura"].select("id_fatura", "cfop"))
+    assert widths == {"id_fatura": 24, "cfop": 4}
+    lines = flows.apply_rules_to_file(spark, source, target, rules.parse([{"nome": "r", "aba": "impostos", "grupos": [{"operador": "E", "condicoes": [{"coluna": "Tributo", "operador": "igual", "valor": "ICMS"}]}], "acoes": [{"coluna": "Tributo", "valor": "none"}]}]))
+    back, meta = workbook.read_xlsx(spark, target)
+    n = done.sheets["impostos"].where("Tributo = 'ICMS'").count()
+    assert meta == {"k": 3} and back["impostos"].where("Tributo = 'none'").count() == n == lines[0].rows.first().rows
+    flows.write_report(done.sheets, report)
+    found, _ = workbook.read_xlsx(spark, report)
+    assert set(found) == {"Resumo", "Impostos_divergencias", "Total_divergencias"}
+    gaps = [abs(float(r.diferenca)) for r in found["Total_divergencias"].collect()]
+    assert gaps == sorted(gaps, reverse=True)
+
+
+def test_decoders_and_recognition_are_hooks(spark, tmp_path):
+    """Any decoder may be given: here pages come from a made-up format, and recognition runs only where there is too little text."""
+    (tmp_path / "in").mkdir()
+    long = "ENDEREÇO DE ENTREGA: " + "x" * 120
+    (tmp_path / "in" / "a.pdf").write_bytes(b"advert|" + long.encode())
+    (tmp_path / "in" / "b.pdf").write_bytes(b"scan|")
+    (tmp_path / "in" / "c.pdf").write_bytes(b"broken")
+
+    def decode(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return content.decode().split("|")
+
+    good, bad = documents.texts(spark, [Job(str(tmp_path / "in"), "EQUATORIAL")], decode, lambda content: ["read from the image " * 10])
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in good.collect()}
+    assert got == {"a.pdf": long, "b.pdf": "read from the image " * 10}
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in bad.collect()] == [("c.pdf", "ValueError: no pages")]
+
+
+def test_invoices_without_a_meter_keep_their_unit(spark):
+    from voltledger.operators import derive
+
+    bills = spark.createDataFrame([(str(i), f"{i}.0-1") for i in range(50)], "id_fatura string, id_uc string")
+    read = spark.createDataFrame([("3", "3.0-1", "m", "2024-01"), ("4", "9.0-1", "m", "2024-02")], "id_fatura string, id_uc string, Medidor string, competencia string")
+    got = {r.id_fatura: (r.medidor, r.id_uc_atual) for r in derive.with_meters({"fatura": bills, "medicao": read})["fatura"].collect()}
+    assert got == {str(i): (None, f"{i}01") for i in range(50) if i not in (3, 4)} | {"3": ("m", "901"), "4": ("m", "901")}
+
+
 def test_stores(spark, tmp_path):
+    assert [(r["id"], r["ativo"]) for r in stores.DEFAULT_RULES][0] == ("hc_consumo_kwh_para_consumo", True)
     stores.save_equivalences([("a", "X"), ("A ", "Y"), (" ", "Z"), ("b", "")], tmp_path / "e.json")
     assert [tuple(r) for r in stores.load_equivalences(spark, tmp_path / "e.json").collect()] == [(0, "a", "X"), (1, "b", "")]
     assert stores.load_equivalences(spark, tmp_path / "none.json").isEmpty()
@@ -65,5 +117,9 @@ def test_stream_appends_each_invoice_once(spark, tmp_path):
     (tmp_path / "in" / "again-2024000000001.txt").write_text(A.replace("10605788", "2024000000001 10605788"))
     (tmp_path / "in" / "2024000000003.txt").write_text(A)
     stream().awaitTermination(120)
-    ids = [r.id_fatura for r in spark.read.parquet(str(tmp_path / "out" / "fatura")).collect()]
+    assert sorted(r.batch for r in spark.read.parquet(str(tmp_path / "out" / "_commits")).collect()) == [0, 1]
+    whole = ingest.committed(spark, str(tmp_path / "out"), "fatura").count()
+    spark.read.parquet(str(tmp_path / "out" / "fatura" / "batch=0")).write.parquet(str(tmp_path / "out" / "fatura" / "batch=7"))  # of a batch that failed halfway
+    assert ingest.committed(spark, str(tmp_path / "out"), "fatura").count() == whole == 2
+    ids = [r.id_fatura for r in ingest.committed(spark, str(tmp_path / "out"), "fatura").collect()]
     assert sorted(ids).count("EQUATORIAL_2024000000001") == 1 and "EQUATORIAL_2024000000003" in ids

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from voltledger.plans import queries
+from voltledger.plans import layout_queries, queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

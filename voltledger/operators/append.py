@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltledger import schemas
@@ -37,9 +36,10 @@ def mapping_of_meta(meta: dict | None, sheet: str) -> Mapping | None:
 
 
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys equal each other. The partition is the key, so hot keys stay small: ties are rows of one key."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each key in the given order; null keys equal each other. A minimum with partial aggregation, so that a key with many rows (null, say) is one row a map task."""
+    row = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
+    first = df.groupBy(*(k.alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(row).alias("__first"))
+    return first.select("__first.row.*")
 
 
 def stack(old: DataFrame, new: DataFrame, keys: list[str] | None) -> DataFrame:

@@ -58,7 +58,9 @@ def with_meters(sheets: Sheets) -> Sheets:
             rows = base.withColumn("__meter", F.col("Medidor").cast("string"))
         else:
             rows = base.join(of_invoice, "id_fatura", "left")
-        rows = rows.join(latest, F.col("__meter") == F.col("__key"), "left")
+        # rows without a meter match nothing: each gets one of many keys of its own kind, so that they don't meet in one task
+        nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*(c for c in ("id_fatura", "id_uc") if c in rows.columns)), F.lit(4096)).cast("string"))
+        rows = rows.join(latest, F.coalesce("__meter", nowhere) == F.col("__key"), "left")
         unit = F.coalesce("__uc", "id_uc")
         if name == "unidade_consumidora":
             rows = _replace(rows, id_uc_sem_format=without_format(F.col("id_uc")), id_uc_atual_medidor=unit, id_uc_atual_medidor_sem_format=without_format(unit))

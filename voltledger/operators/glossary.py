@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voltledger import schemas
 from voltledger.functions.text import py_name_key
@@ -49,6 +50,18 @@ CONCEPT_TERMS = {
 }
 
 
+#: More different items than this don't fit a dictionary that is read by people.
+MAX_ITEMS = 100_000
+
+
+def item_terms(items: DataFrame, definitions: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(item, definition) of the different items, by name; an item without a definition of its own gets a general one. More than ``MAX_ITEMS`` are refused."""
+    rows = items.where(F.trim("item") != "").select(F.trim("item").alias("item")).distinct().orderBy("item").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} different items")
+    return [(r["item"], (definitions or {}).get(r["item"], "Item of an invoice.")) for r in rows]
+
+
 def glossary(spark: SparkSession, items: list[tuple[str, str]] | None = None) -> DataFrame:
     """Termo, Categoria, Definição. ``items`` adds (item, definition) rows of category 'Item de fatura'."""
     columns = [(c, f"Coluna ({s})", f"Column {c} of sheet {s}, {t.simpleString()}.") for s, cs in schemas.SHEETS.items() for c, t in cs]

@@ -11,7 +11,7 @@ import uuid
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,42 +152,64 @@ def assign(df: DataFrame, column: str, value, where: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Applied:
-    """What a rule did: the number of rows is counted lazily by ``rows`` (null for a rule that was ignored)."""
+    """What a rule did. ``counted`` names its mask in the sheet's ``marks``; none for a rule that was ignored."""
 
     rule: str
     sheet: str
     note: str
-    rows: DataFrame | None = None
+    counted: str | None = None
+    marks: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame | None:
+        """One row: how many rows the rule changed. For all rules of a report at once see ``report_rows``."""
+        return self.marks.agg(F.count_if(F.col(self.counted)).alias("rows")) if self.counted else None
 
 
 def apply(sheets: dict[str, DataFrame], rules: list[Rule]) -> tuple[dict[str, DataFrame], list[Applied]]:
-    """The sheets after all active rules, and one report line for each of them. Nothing runs until the frames are used."""
-    out, report, done = dict(sheets), [], {}
+    """The sheets after all active rules, and one report line for each of them. Nothing runs until the frames are used.
+
+    Every mask stays a column beside the sheet until the end, so that a report counts all rules of a sheet in one pass.
+    """
+    marked, order, lines, done = dict(sheets), {}, [], {}
     for rule in rules:
         if not rule.ativo:
             continue
-        sheet = resolve(rule.aba, list(out))
+        sheet = resolve(rule.aba, list(sheets))
         if sheet is None:
-            report.append(Applied(rule.nome, rule.aba, f"sheet '{rule.aba}' not found"))
+            lines.append((rule.nome, rule.aba, f"sheet '{rule.aba}' not found", None))
             continue
-        df = out[sheet]
-        m = mask(rule, df)
+        columns = sheets[sheet].columns
+        m = mask(rule, marked[sheet].select(*map(quoted, columns)))
         if isinstance(m, str):
-            report.append(Applied(rule.nome, sheet, m))
+            lines.append((rule.nome, sheet, m, None))
             continue
-        notes, marked = [], df.withColumn("__mask", m)
+        name = f"__mask_{len(lines)}"
+        notes, df = [], marked[sheet].withColumn(name, m)
         for a in rule.acoes:
-            column = resolve(a.coluna, df.columns)
+            column = resolve(a.coluna, columns)
             if column is None:
                 notes.append(f"column '{a.coluna}' not found")
                 continue
-            marked = assign(marked, column, typed(a.valor), F.col("__mask"))
+            df = assign(df, column, typed(a.valor), F.col(name))
         done[sheet] = done.get(sheet, 0) + 1
-        out[sheet] = marked.drop("__mask")
         if done[sheet] % CUT_EVERY == 0 and not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            out[sheet] = out[sheet].checkpoint()
-        report.append(Applied(rule.nome, sheet, "; ".join(notes), df.where(m).agg(F.count(F.lit(1)).alias("rows"))))
-    return out, report
+            df = df.checkpoint()
+        marked[sheet] = df
+        order.setdefault(sheet, columns)
+        lines.append((rule.nome, sheet, "; ".join(notes), name))
+    report = [Applied(nome, sheet, note, name, marked[sheet] if name else None) for nome, sheet, note, name in lines]
+    return {k: v.select(*map(quoted, order[k])) if k in order else v for k, v in marked.items()}, report
+
+
+def report_rows(spark: SparkSession, report: list[Applied]) -> DataFrame:
+    """rule, sheet, note, changed (rows; null for a rule that was ignored): one aggregate a sheet, whatever the number of rules."""
+    parts = [spark.createDataFrame([(r.rule, r.sheet, r.note, None) for r in report if not r.counted], "rule string, sheet string, note string, changed bigint")]
+    for sheet in dict.fromkeys(r.sheet for r in report if r.counted):
+        own = [r for r in report if r.counted and r.sheet == sheet]
+        counts = own[0].marks.agg(*(F.count_if(F.col(r.counted)).alias(r.counted) for r in own))
+        parts.append(counts.select(F.inline(F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.sheet).alias("sheet"), F.lit(r.note).alias("note"), F.col(r.counted).alias("changed")) for r in own)))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def describe(rule: Rule) -> str:

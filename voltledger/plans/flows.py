@@ -26,15 +26,23 @@ class Processed:
     sheets: dict[str, DataFrame]
     errors: DataFrame
     report: list[rules.Applied]
+    texts: DataFrame | None = None
 
+    def counters(self) -> DataFrame:
+        """counter, n: texts in all, invoices, error rows."""
+        counts = (("total", self.texts), ("processed", self.sheets["fatura"]), ("errors", self.errors))
+        return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n") for name, df in counts))
 
-def extract(texts: DataFrame, suppliers: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(one row per invoice id, error rows) of texts(path, fornecedor, text)."""
+
+def extract(texts: DataFrame, suppliers: list[str], held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row per invoice id, error rows) of texts(path, fornecedor, text). ``held`` gets the frame that was cached, if any: unpersist it when the results are written."""
     parts = []
     for n, s in enumerate(dict.fromkeys(suppliers)):
         found = EXTRACTORS[s](texts.where(F.col("fornecedor") == s).select("path", "text"))
         parts.append(found.withColumn("job", F.lit(n)))
     every = _once(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    if held is not None:
+        held.append(every)
     good, bad = sheets.readable(every)
     return sheets.first_wins(good, ["job", "path"]), bad
 
@@ -61,14 +69,14 @@ def process_texts(texts: DataFrame, suppliers: list[str], equivalences: DataFram
     found = sheets.with_derived(base_sheets(extracted))
     found["fatura"] = found["fatura"].withColumn("link_pdf", file_link(F.col("arquivo_pdf"), *link))
     done, report = rules.apply(derive.enrich(found, equivalences), list(user_rules))
-    return Processed(done, errors, report)
+    return Processed(done, errors, report, texts.select("path"))
 
 
 def process_folders(spark: SparkSession, jobs: list[Job], decode: documents.Decoder = documents.text_pages, recognise: documents.Decoder | None = None, **options) -> Processed:
     """Folders of documents to enriched sheets; files that can't be read are rows of ``errors``."""
     texts, failed = documents.texts(spark, jobs, decode, recognise)
     done = process_texts(texts, [j.fornecedor for j in jobs], **options)
-    return Processed(done.sheets, done.errors.unionByName(failed), done.report)
+    return Processed(done.sheets, done.errors.unionByName(failed), done.report, done.texts.unionByName(failed.select("path")))
 
 
 def append_to(uploaded: dict[str, DataFrame], meta: dict | None, new: dict[str, DataFrame], equivalences: DataFrame | None = None, user_rules: list[rules.Rule] = (), add_columns: bool = False, keep_removed: bool = False, strict: bool = False) -> tuple[dict[str, DataFrame], dict, list[rules.Applied], list[str]]:
@@ -80,12 +88,13 @@ def append_to(uploaded: dict[str, DataFrame], meta: dict | None, new: dict[str,
 
 
 def apply_rules_to_file(spark: SparkSession, source: str, target: str, user_rules: list[rules.Rule]) -> list[rules.Applied]:
-    """Rules on a finished workbook folder, written to another one."""
+    """Rules on a finished workbook (a folder, or one .xlsx file), written to another one of the same kind."""
     if source == target:
         raise ValueError("source and target must differ")
-    tables, meta = workbook.read_folder(spark, source)
+    one_file = source.lower().endswith(".xlsx")
+    tables, meta = workbook.read_xlsx(spark, source) if one_file else workbook.read_folder(spark, source)
     done, report = rules.apply(tables, user_rules)
-    workbook.write_folder(done, target, meta)
+    (workbook.write_xlsx if one_file else workbook.write_folder)(done, target, meta)
     return report
 
 
@@ -101,6 +110,13 @@ def reconcile_workbook(tables: dict[str, DataFrame], tolerance: float = reconcil
     return {"Resumo": reconcile.summary(totals, tolerance), "Impostos_divergencias": reconcile.tax_differences(totals, tolerance), "Total_divergencias": reconcile.total_differences(totals, tolerance)}
 
 
+def write_report(tables: dict[str, DataFrame], target: str, tolerance: float = reconcile.TOLERANCE) -> None:
+    """The report of a reconciliation as a workbook (a folder, or one .xlsx file): the summary, and what differs, the largest differences first. An empty list has no sheet."""
+    found = reconcile_workbook(tables, tolerance)
+    lists = {k: v.orderBy(F.desc(F.abs("diferenca")), "id_fatura") for k, v in found.items() if k != "Resumo" and not v.isEmpty()}
+    (workbook.write_xlsx if target.lower().endswith(".xlsx") else workbook.write_folder)({"Resumo": found["Resumo"], **lists}, target)
+
+
 def finished(spark: SparkSession, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return glossary.with_glossary(tables, glossary.glossary(spark))
 

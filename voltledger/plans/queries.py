@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from voltledger.functions import repair
 from voltledger.functions import text as tx
 from voltledger.operators import append as ap
-from voltledger.operators import derive, layout_a, profile, reconcile, rules, sheets
-from voltledger.operators.items import cut_before
+from voltledger.operators import derive, glossary, layout_a, profile, reconcile, rules, sheets
+from voltledger.operators.items import READING, SUPPLY, TAX, cut_before, item
+from voltledger.sources.documents import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -246,15 +247,23 @@ def batch_first_wins(spark, sf):
     return sheets.first_wins(docs, ["doc_id"]).select("doc_id")
 
 
-@query("SELECT DISTINCT n_name municipio, c_mktsegment razao_social FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("SELECT DISTINCT CAST(c_nationkey AS VARCHAR) id_uc, n_name municipio, c_mktsegment razao_social FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def registry_distinct(spark, sf):
+    """The registry of enriched sheets: rows that are equal in all columns count once, a unit with different rows keeps them."""
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
-    return c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("municipio"), F.col("c_mktsegment").alias("razao_social")).distinct()
+    registry = c.join(n, c.c_nationkey == n.n_nationkey).select(_text("c_nationkey").alias("id_uc"), F.col("n_name").alias("municipio"), F.col("c_mktsegment").alias("razao_social"))
+    return derive.enrich({"unidade_consumidora": registry, "fatura": invoices(spark, sf).withColumn("tipo_fornecimento", F.lit("x"))})["unidade_consumidora"].select("id_uc", "municipio", "razao_social")
 
 
-@query("SELECT p_partkey, p_type item FROM part WHERE NOT contains(lower(p_type), 'demo')")
+@query("SELECT CAST(l_orderkey AS VARCHAR) id_fatura, 'ITEM ' || l_linenumber item, l_quantity quantidade FROM lineitem WHERE l_returnflag <> 'R'")
 def informative_filter(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("item")).where(~F.coalesce("item", F.lit("")).rlike(sheets.INFORMATIVE))
+    """Items that only inform are not on the sheet."""
+    name = F.when(F.col("l_returnflag") == "R", "UFER Demonstrativo").otherwise(F.concat(F.lit("ITEM "), _text("l_linenumber")))
+    rows = F.collect_list(item(name, SUPPLY, quantidade=F.col("l_quantity")))
+    found = table(spark, sf, "lineitem").groupBy(_text("l_orderkey").alias("id_fatura")).agg(rows.alias("itens"))
+    nothing = {"impostos": f"array<{TAX}>", "medicao": f"array<{READING}>", "cliente": "struct<cnpj:string>"}
+    whole = found.select("*", F.lit("u").alias("id_uc"), F.lit("2024-01").alias("competencia"), F.struct("id_fatura").alias("fatura"), *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()))
+    return sheets.explode_sheets(whole)["itens_fatura"].select("id_fatura", "item", "quantidade")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) id_fatura FROM orders WHERE NOT (o_totalprice > 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R'))")
@@ -342,7 +351,7 @@ def tax_line_parse(spark, sf):
     row = F.concat_ws(" ", _br("o_totalprice"), F.concat(rate, F.lit("%")), rate)
     some = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("ICMS "), row))
     docs = table(spark, sf, "orders").select(_text("o_orderkey").alias("id_fatura"), F.concat_ws("\n", F.concat(F.lit("PIS/PASEP "), row), F.concat(F.lit("COFINS "), row), some).alias("text"))
-    found = docs.select("id_fatura", F.inline(layout_a.taxes(F.col("text"))))
+    found = spread(docs).select("id_fatura", F.inline(layout_a.taxes(F.col("text"))))
     return found.select("id_fatura", F.col("Tributo").alias("tributo"), "base", "aliquota", "valor")
 
 
@@ -358,7 +367,7 @@ def header_parse(spark, sf):
     )
     docs = o.select(F.concat(F.lit("/in/"), (F.col("o_orderkey") + 2000000000000).cast("string"), F.lit(".pdf")).alias("path"), text.alias("text"))
     h = layout_a.header(F.col("text"), F.col("path"), F.lit(None).cast("string"))
-    return docs.select(h["id_fatura"].alias("id_fatura"), h["id_uc"].alias("id_uc"), h["competencia"].alias("competencia"), h["data_emissao"].alias("data_emissao"), h["data_vencimento"].alias("data_vencimento"), h["valor_total_r$"].alias("valor_total"), h["numero_nf"].alias("numero_nf"), h["numero_dias_leitura"].alias("dias"), h["classificacao_tarifaria"].alias("classe"))
+    return spread(docs).select(h["id_fatura"].alias("id_fatura"), h["id_uc"].alias("id_uc"), h["competencia"].alias("competencia"), h["data_emissao"].alias("data_emissao"), h["data_vencimento"].alias("data_vencimento"), h["valor_total_r$"].alias("valor_total"), h["numero_nf"].alias("numero_nf"), h["numero_dias_leitura"].alias("dias"), h["classificacao_tarifaria"].alias("classe"))
 
 
 _HEAD = "DOCUMENTO AUXILIAR DA NOTA FISCAL DE ENERGIA "
@@ -444,10 +453,11 @@ def profile_apply(spark, sf):
     return profile.apply({"fatura": shown}, {"fatura": rows})["fatura"]
 
 
-@query("SELECT r_name termo, 'region' categoria FROM region UNION ALL SELECT n_name, 'nation' FROM nation UNION ALL SELECT p_name, 'part' FROM part")
+@query("SELECT 'Aba' categoria, 8 n UNION ALL SELECT 'Valor', 7 UNION ALL SELECT 'Conceito', 15 UNION ALL SELECT 'Item de fatura', count(*) FROM region")
 def glossary_union(spark, sf):
-    part = lambda t, c: table(spark, sf, t).select(F.col(c).alias("termo"), F.lit(t).alias("categoria"))
-    return part("region", "r_name").unionByName(part("nation", "n_name")).unionByName(part("part", "p_name"))
+    """The dictionary: one union of the terms of sheets, values, concepts and the given items."""
+    items = [(r.r_name, "A region.") for r in table(spark, sf, "region").collect()]
+    return glossary.glossary(spark, items).where("not startswith(Categoria, 'Coluna')").groupBy(F.col("Categoria").alias("categoria")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) n FROM events GROUP BY ALL")
@@ -459,18 +469,18 @@ def event_windows(spark, sf):
 
 @query("SELECT event_type, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) n, sum(CAST(round(value * 100) AS BIGINT)) cents FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
-    """The same windows from a file stream: one availableNow run into a memory table, whose size is that of the result."""
+    """The same windows from a file stream: one availableNow run, each batch of which overwrites a table of all windows."""
     from uuid import uuid4
 
-    from voltledger.streaming.ingest import windowed
+    from voltledger.streaming.ingest import scratch, windowed
 
     kind = table(spark, sf, "events").schema
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")  # a pattern, so that a file will do
     found = windowed(stream, "ts", "event_type", "1 hour", "1 day", n=lambda: F.count(F.lit(1)), cents=lambda: F.sum(F.round(F.col("value") * 100).cast("bigint")))
-    name = f"windows_{uuid4().hex}"
-    run = found.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    path = f"{scratch(spark)}/windows-{uuid4().hex}"
+    run = found.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/table")).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(found.schema).parquet(f"{path}/table")
 
 
 @query("""SELECT 'EQUATORIAL_' || CAST(2000000000000 + o_orderkey AS VARCHAR) id_fatura, CAST(10000000 + o_custkey AS VARCHAR) id_uc, count(l_orderkey) itens, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) valor FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")

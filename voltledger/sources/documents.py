@@ -34,6 +34,12 @@ def files(spark: SparkSession, jobs: list[Job]) -> DataFrame:
     return reduce(DataFrame.unionByName, scans)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the cluster has cores is dealt over all of them: extraction costs much more than moving its texts."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def count(spark: SparkSession, jobs: list[Job]) -> int:
     """Number of files; no content is read."""
     return files(spark, jobs).select("path").count()

@@ -9,6 +9,7 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voltledger import schemas
 
@@ -43,6 +44,12 @@ def read_folder(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], d
     return {s: reader.load(f"{path}/{s}") for s in body["sheets"]}, body["meta"]
 
 
+def widths(df: DataFrame) -> dict[str, int]:
+    """Characters of the widest text of each column, its heading included: one aggregate over all columns."""
+    row = df.agg(*(F.max(F.length(F.col(schemas.quoted(c)).cast("string"))).alias(f"w{i}") for i, c in enumerate(df.columns))).first()
+    return {c: max(len(c), row[i] or 0) for i, c in enumerate(df.columns)}
+
+
 def _ref(column: int) -> str:
     out = ""
     while column:
@@ -51,8 +58,12 @@ def _ref(column: int) -> str:
     return out
 
 
-def _sheet_xml(rows) -> str:
-    out = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>']
+def _sheet_xml(rows, columns: list[int] = ()) -> str:
+    """``columns``: their widths in characters."""
+    out = ['<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>']
+    if columns:
+        out.append(f'<cols>{"".join(f"""<col min="{i}" max="{i}" width="{w}" customWidth="1"/>""" for i, w in enumerate(columns, 1))}</cols>')
+    out.append("<sheetData>")
     for r, row in enumerate(rows, 1):
         cells = []
         for c, v in enumerate(row, 1):
@@ -67,8 +78,8 @@ def _sheet_xml(rows) -> str:
     return "".join(out) + "</sheetData></worksheet>"
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str, meta: dict | None = None, max_rows: int = 1_000_000) -> None:
-    """One file with all sheets and the metadata in a hidden one. For results that fit a workbook: more than ``max_rows`` rows are refused."""
+def write_xlsx(sheets: dict[str, DataFrame], path: str, meta: dict | None = None, max_rows: int = 1_000_000, widest: int = 50) -> None:
+    """One file with all sheets and the metadata in a hidden one. For results that fit a workbook: more than ``max_rows`` rows are refused. Columns are as wide as their text, up to ``widest``."""
     names = ordered(sheets)
     bodies = []
     for n in names:
@@ -83,7 +94,7 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str, meta: dict | None = None
                     raise ValueError(f"{n} has more than {max_rows} rows: write a folder instead")
                 yield list(r)
 
-        bodies.append(_sheet_xml(every()))
+        bodies.append(_sheet_xml(every(), [min(w + 2, widest) for w in widths(sheets[n]).values()]))
     bodies.append(_sheet_xml([[json.dumps(meta, ensure_ascii=False)]]))
     tabs = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"{" state=" + chr(34) + "hidden" + chr(34) if n == META_SHEET else ""}/>' for i, n in enumerate([*names, META_SHEET], 1))
     kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(bodies) + 1))
