@@ -1,22 +1,26 @@
 """Operator 7: repeated byte strings, by distributed prefix doubling on the positions that can matter.
 
-Prefix doubling names every position by the pair (name of its first half, name of its second half), sorts the pairs and renames,
-dropping what is unique, until the threshold length. Over all positions the first sort alone would move 8 bytes and a
+Prefix doubling names every position by the pair (rank of its first half, name of its second half), sorts the pairs, reranks them and
+drops what is unique, until the threshold length. Over all positions the first sort alone would move 8 bytes and a
 place for every byte of text (20 times the input's disk), so the rounds below keep only positions that can still decide something:
 
-* Round 0. A window of ``length`` bytes has an anchor: the least hash of the 16-byte strings at its first ``reach`` positions. Windows with
+* Reduction. A window of ``length`` bytes has an anchor: the least hash of the 16-byte strings at its first ``reach`` positions. Windows with
   one anchor form a run and share a *core*, the length - reach + 1 bytes from the anchor on. Equal windows have equal cores, so
   runs whose core is unique are out. That is estimated by two merged sketches (never too low), without a shuffle of positions.
-* Round 1. Of each remaining run only the first and last window are named, by the pair of their halves; Spark sorts the pairs and unique ones
-  drop out. If both are repeated, every byte of the run is covered and the run is done.
-* Round 2. Of the other runs (those at the ends of repeated passages) all windows are named and sorted alike. They are met by
-  witnesses, one per map task and distinct window, from all runs with such a run's core.
-
-Halves are named by hashes of 64 and 32 bits, so that pairs are 96 bits. A map task sends one witness of a pair it saw often and reports its
-occurrences as decided, so a hot pair costs a reducer no more rows than there are map tasks.
+* Ends. Two remaining runs side by side have a *joint*: the last window of one and the first of the other, one string of length + 1 bytes;
+  where a run has no such neighbour, its end is a window alone. Equal windows have equal anchors, so equal joints are joints in all their texts.
+  Round 1 sorts all joints and ends by their prefix of length / 4 and the name of the next length / 4 bytes; Spark's sort ranks them, unique ones
+  drop out. Round 2 sorts the others by that rank of the first half and the name of the second half. A run with both ends repeated
+  has all its bytes covered and is done.
+* Inside. Of the other runs (those at the ends of repeated passages) all windows are named and sorted alike, in one round: that their cores are
+  repeated is known, so a shorter prefix would drop next to nothing. They are met by witnesses, one per map task and distinct
+  window, from all runs with such a run's core.
+
+Names are hashes of 64 bits, in a sort with 32 bits more of another one. A map task sends one witness of a string it saw often and reports its
+occurrences as decided, so a hot string costs a reducer no more rows than there are map tasks.
 
 Defined results: a null or empty text has 0 bytes and loses nothing, like any text shorter than ``length``; a null doc_id takes no part
-and is returned whole; a repeated row repeats its strings, so both rows lose them; other columns are ignored; an empty
+and is returned whole; a repeated row repeats its strings, so both rows lose them, and rows that repeat a doc_id should carry one text; other columns are ignored; an empty
 table gives an empty result. Matches never cross documents.
 """
 
@@ -86,69 +90,109 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, reach: int
     return Runs(text[lead], start[lead], start[tail], roll(anchor[lead], anchor[lead] + length - reach + 1), roll)
 
 
-def _pairs(held: list[tuple]) -> pa.RecordBatch:
-    """Rows of one flush. Of a pair met more than once: its occurrences as decided, and one witness. A place of -1 is a witness only."""
-    a, b, doc, pos, core = map(np.concatenate, zip(*held, strict=True))
-    order = np.lexsort((-pos, b, a))
-    a, b, doc, pos, core = a[order], b[order], doc[order], pos[order], core[order]
-    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+#: Rows of the rounds. state: 0 open, 1 decided (repeated), 2 unique. a, b: what is sorted. more: the name of the second half, for the next
+#: round. pos: twice the place in the text, plus 1 for a joint; negative for a witness. cores: both runs', 32 bits each.
+_ROW = "state int, a bigint, b int, more bigint, often boolean, doc_id bigint, pos bigint, cores bigint"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+
+
+def _rows(state, a, b, more, often, doc, pos, cores) -> pa.RecordBatch:
+    kinds = (np.int32, np.int64, np.int32, np.int64, bool, np.int64, np.int64, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(k)) for x, k in zip((state, a, b, more, often, doc, pos, cores), kinds, strict=True)], _NAMES)
+
+
+def _gathered(held: list[tuple]) -> pa.RecordBatch:
+    """Rows of one flush. Of a string met more than once: its occurrences as decided, and one open row."""
+    a, b, more, doc, pos, cores = map(np.concatenate, zip(*held, strict=True))
+    order = np.lexsort((-pos, more, b, a))
+    a, b, more, doc, pos, cores = (x[order] for x in (a, b, more, doc, pos, cores))
+    at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (more[1:] != more[:-1])))
     size = np.diff(np.append(at, len(a)))
     often = np.repeat(size > 1, size)
     lead = np.zeros(len(a), bool)
     lead[at] = True
-    use = lead | (pos >= 0)
     decided = often & ~lead
-    key = np.where(decided, flat.mix(doc.view(np.uint64)), a)
-    columns = [pa.array(decided), pa.array(key.view(np.int64)), pa.array(np.where(decided, 0, b)), pa.array(often), pa.array(doc), pa.array(pos), pa.array(core, mask=often)]
-    return pa.RecordBatch.from_arrays(columns, ["decided", "a", "b", "often", "doc_id", "pos", "core"]).filter(pa.array(use))
-
-
-_PAIR = "decided boolean, a bigint, b int, often boolean, doc_id bigint, pos bigint, core int"
-
+    key = np.where(decided, flat.mix(doc.view(np.uint64)), a).view(np.int64)
+    zero = lambda x: np.where(decided, 0, x)
+    use = lead | (pos >= 0)
+    return _rows(*(x[use] for x in (decided, key, zero(b), zero(more.view(np.int64)), often, doc, pos, zero(cores))))
 
-def _decide(batches):
-    """Of rows sorted by decided, a, b: the places of pairs that occur twice or more, and the cores of the other rows."""
 
-    def ruled(columns, twice):
-        doc, pos, core = columns[4:]
-        keep = (pos >= 0) | ~twice
-        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep], mask=~twice[keep]), pa.array(core[keep], mask=twice[keep])], ["doc_id", "pos", "core"])
+def _groups(batches):
+    """Of rows sorted by state, a, b: (columns, first row of each group, whether the group has two rows or more, whether the first group continues the last one).
 
+    A lone last row waits for the next batch, so that every group is known to be repeated or not when its first row comes.
+    """
     known, held = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [pa.compute.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False) if i == 6 else batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(_NAMES))]
         if held is not None:
             columns = [np.concatenate((h, c)) for h, c in zip(held, columns, strict=True)]
             held = None
-        decided, a, b, often = columns[:4]
-        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (decided[1:] != decided[:-1])))
-        size = np.diff(np.append(at, len(a)))
-        twice = (size > 1) | often[at] | decided[at]
-        if known == (decided[0], a[0], b[0]):
-            twice[0] = True
-        known = (decided[-1], a[-1], b[-1]) if twice[-1] else None
-        out = np.repeat(twice, size)
+        state, a, b, _, often = columns[:5]
+        at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (state[1:] != state[:-1])))
+        twice = (np.diff(np.append(at, len(a))) > 1) | often[at]
+        goes_on = known == (state[0], a[0], b[0])
+        twice[0] |= goes_on
+        known = (state[-1], a[-1], b[-1]) if twice[-1] else None
         if not twice[-1]:
             held = [c[-1:] for c in columns]
-            columns, out = [c[:-1] for c in columns], out[:-1]
-        yield ruled(columns, out)
+            columns, at, twice = [c[:-1] for c in columns], at[:-1], twice[:-1]
+        if len(at):
+            yield columns, at, twice, goes_on
     if held is not None:
-        yield ruled(held, np.zeros(1, bool))
+        yield held, np.zeros(1, np.int64), np.zeros(1, bool), False
+
 
+def _rerank(batches):
+    """Round 1, of rows sorted by state, a, b: groups get ranks and go on by (rank, name of the second half); what is unique leaves its cores only."""
+    from pyspark import TaskContext
+
+    rank = TaskContext.get().partitionId() << 40  # ranks of a partition are numbered from here
+    for (state, a, b, more, often, doc, pos, cores), at, twice, goes_on in _groups(batches):
+        ranks = rank + np.cumsum(~np.append(goes_on, np.zeros(len(at) - 1, bool)))
+        rank = int(ranks[-1])
+        size = np.diff(np.append(at, len(a)))
+        ranks, twice = np.repeat(ranks, size).astype(np.uint64), np.repeat(twice, size)
+        second = more.view(np.uint64)
+        pair, check = flat.mix(ranks * np.uint64(0x9E3779B97F4A7C15) + second, 12).view(np.int64), (flat.mix(second, 13) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        goes = (state == 0) & twice
+        key = np.where(goes, pair, np.where(state == 1, a, flat.mix(cores.view(np.uint64)).view(np.int64)))
+        left = (state == 0) & ~twice
+        yield _rows(np.where(left, 2, state), key, np.where(goes, check, 0), np.zeros(len(a)), often, np.where(left, 0, doc), np.where(left, -1, pos), cores)
+
+
+def _decide(batches):
+    """The last round, of rows sorted by state, a, b: the places of strings that occur twice or more, and the cores of the other rows."""
+    for (state, a, _, _, _, doc, pos, cores), at, twice, _ in _groups(batches):
+        twice = np.repeat(twice, np.diff(np.append(at, len(a)))) & (state != 2) | (state == 1)
+        keep = (pos >= 0) | ~twice
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(pos[keep], mask=~twice[keep]), pa.array(cores[keep], mask=twice[keep])], ["doc_id", "pos", "cores"])
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("a", "b").sortWithinPartitions("state", "a", "b")
 
-def _ruled(named: DataFrame) -> DataFrame:
-    """doc_id, pos of the rows whose pair occurs twice or more; null pos and the run's core for the other rows."""
-    return named.repartition("a", "b").sortWithinPartitions("decided", "a", "b").mapInArrow(_decide, "doc_id bigint, pos bigint, core int")
+
+def _decided(rows: DataFrame) -> DataFrame:
+    """doc_id, pos of the rows whose string occurs twice or more; null pos and the runs' cores for the other rows."""
+    return _sorted(rows).mapInArrow(_decide, "doc_id bigint, pos bigint, cores bigint")
 
 
 def _starts(ruled: DataFrame) -> DataFrame:
     return ruled.where("pos is not null").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
 
 
+def _windows_of(pos: np.ndarray) -> np.ndarray:
+    """Places of all windows that ``pos`` stands for: one, or two of a joint."""
+    at = pos >> 1
+    return np.concatenate((at, at[pos & 1 == 1] + 1))
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
-    """doc_id, starts array<long>: byte positions of windows that occur elsewhere too, enough of them to cover every such byte."""
+    """doc_id, starts array<long>: windows that occur elsewhere too (see ``_windows_of``), enough of them to cover every such byte."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     half = length // 2
@@ -168,62 +212,79 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
             ok[ok] = sketch.maybe(two.value, flat.mix(found.core[ok], 5), second_bits)
             yield rows, found, offsets[found.text], np.flatnonzero(ok)
 
-    def name(batches, windows):
+    def named(batches, strings):
         held, n = [], 0
         for batch in batches:
             batch = batch.filter(pa.compute.is_valid(batch.column(0)))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for rows, found, zero, ok in alive(batch):
-                for run, start, wanted in windows(batch, rows, found, zero, ok):
-                    if len(start):
-                        place = start - zero[run] if wanted else np.full(len(start), -1)
-                        held.append((found.roll(start, start + half), high(found.roll(start + half, start + length, 9)), ids[rows][found.text[run]], place, high(found.core[run])))
-                        n += len(start)
+                for run, *names, pos, cores in strings(batch, rows, found, zero, ok):
+                    if len(run):
+                        held.append((*names, ids[rows][found.text[run]], pos, cores))
+                        n += len(run)
                 if n > _GATHER:
-                    yield _pairs(held)
+                    yield _gathered(held)
                     held, n = [], 0
         if n:
-            yield _pairs(held)
+            yield _gathered(held)
 
     def high(h):
+        return (h >> np.uint64(32)).astype(np.int64)
+
+    def low(h):
         return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-    def core_key(core):
-        return flat.mix(core.astype(np.int64).view(np.uint64), 6)
+    def both(core, other):
+        return (high(core) << 32 | high(other)).astype(np.int64)
+
+    quarter = half // 2
 
     def ends(batch, rows, found, zero, ok):
-        wide = ok[found.last[ok] > found.first[ok]]
-        yield np.concatenate((ok, wide)), np.concatenate((found.first[ok], found.last[wide])), True
+        """Joints, first and last windows of the remaining runs: their runs, first two quarters, second half, places and cores."""
+        side = (ok[1:] == ok[:-1] + 1) & (found.text[ok[1:]] == found.text[ok[:-1]])
+        lead, tail = ok[np.append(True, ~side)[: len(ok)]], ok[np.append(~side, True)[: len(ok)]]
+        tail = tail[(found.first[tail] < found.last[tail]) | ~np.isin(tail, lead)]  # a run of one window has one end
+        for run, start, other, joint in ((ok[:-1][side], found.last, ok[1:][side], 1), (lead, found.first, lead, 0), (tail, found.last, tail, 0)):
+            p = start[run]
+            names = found.roll(p, p + quarter, joint), low(found.roll(p + quarter, p + half, 9)), found.roll(p + half, p + length + joint, 10)
+            yield run, *names, 2 * (p - zero[run]) + joint, both(found.core[run], found.core[other])
 
     def between(run, low, high):
         size = np.maximum(high - low, 0)
         of = np.repeat(run, size)
         return of, np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    at_ends = saved(_ruled(texts.mapInArrow(lambda batches: name(batches, ends), _PAIR)))
-    cores_left = lambda batch: iter([np.repeat(core_key(batch.column(0).to_numpy(zero_copy_only=False)), 2)])
-    left = sc.broadcast(sketch.repeated(at_ends.where("pos is null").select("core"), cores_left, second_bits))
+    at_ends = saved(_decided(_sorted(texts.mapInArrow(lambda batches: named(batches, ends), _ROW)).mapInArrow(_rerank, _ROW)))
+
+    def cores_left(batch):
+        cores = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield np.repeat(flat.mix(np.concatenate((cores >> np.uint64(32), cores & np.uint64(0xFFFFFFFF))), 6), 2)
+
+    left = sc.broadcast(sketch.repeated(at_ends.where("pos is null").select("cores"), cores_left, second_bits))
 
     def inner(batch, rows, found, zero, ok):
-        ok = ok[sketch.maybe(left.value, core_key(high(found.core[ok])), second_bits)]
-        if not len(ok):
-            return
+        """All windows of the runs that are not done, and witnesses from those that are."""
         starts = batch.column(2).slice(rows.start, rows.stop - rows.start)
         span = np.int64(1) << 40
         sizes = pa.compute.fill_null(pa.compute.list_value_length(starts), 0).to_numpy(zero_copy_only=False)
-        hit = np.sort(np.repeat(np.arange(len(sizes)) * span, sizes) + starts.flatten().to_numpy(zero_copy_only=False))
+        pos = starts.flatten().to_numpy(zero_copy_only=False)
+        hit = (np.repeat(np.arange(len(sizes)) * span, sizes) + (pos >> 1)) * 2 + (pos & 1)
+        hit = np.unique(_windows_of(hit))
 
         def has(at):
             return np.isin(found.text[ok] * span + at[ok] - zero[ok], hit)
 
         done = has(found.first) & has(found.last)
         rest, done = ok[~done], ok[done]
-        yield *between(rest, found.first[rest], found.last[rest] + 1), True
-        yield *between(done, found.first[done], found.last[done] + 1), False
+        done = done[sketch.maybe(left.value, flat.mix(found.core[done] >> np.uint64(32), 6), second_bits)]
+        for runs_, mine in ((rest, True), (done, False)):
+            run, p = between(runs_, found.first[runs_], found.last[runs_] + 1)
+            first, second = found.roll(p, p + half), found.roll(p + half, p + length, 10)
+            yield run, flat.mix(first * np.uint64(3) + second, 11), low(second), np.zeros(len(p), np.uint64), 2 * (p - zero[run]) if mine else np.full(len(p), -1), np.zeros(len(p), np.int64)
 
     # the same columns and join key as in remove_repeats, so that the texts' exchange is made once
     joined = docs.select("doc_id", "text").join(_starts(at_ends), "doc_id", "left").select("doc_id", "text", "starts")
-    at_inner = _ruled(joined.mapInArrow(lambda batches: name(batches, inner), _PAIR))
+    at_inner = _decided(joined.mapInArrow(lambda batches: named(batches, inner), _ROW))
     return _starts(at_ends.union(at_inner))
 
 
@@ -242,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, fi
                 n_bytes.append(len(raw))
                 gone = removed = 0
                 if at.is_valid:
-                    at = np.unique(at.values.to_numpy(zero_copy_only=False))
+                    at = np.unique(_windows_of(at.values.to_numpy(zero_copy_only=False)))
                     mask = flat.covered(at[at + length <= len(raw)], length, len(raw))
                     removed = int(mask.sum())
                     gone = int((mask & ~np.append(False, mask[:-1])).sum())
