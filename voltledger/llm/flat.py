@@ -61,7 +61,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, ...]:
     """Low 31 and high 30 bits of base**i, and base**-i, modulo 2**61 - 1, for i < n at least."""
     have = _POWERS.get(int(base))
     if have is None or len(have[0]) < n:
-        size = max((1 << 20) + (1 << 18), n)
+        size = max((1 << 19) + (1 << 17), n + (n >> 2))
         prime = int(PRIME)
         tables = []
         for b in (int(base), pow(int(base), -1, prime)):

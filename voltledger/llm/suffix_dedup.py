@@ -39,7 +39,7 @@ from voltledger.llm.shared import saved
 
 LENGTH, REACH, GRAM = 400, 48, 16
 FIRST_BITS, SECOND_BITS = 28, 27
-_GATHER = 1 << 19
+_GATHER, _SLICE = 1 << 19, 1 << 19
 
 
 @dataclass
@@ -198,7 +198,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
     half = length // 2
 
     def cores(batch):
-        for _, data, offsets in flat.text_slices(batch):
+        for _, data, offsets in flat.text_slices(batch, limit=_SLICE):
             yield runs(data, offsets, length, reach).core
 
     one = sc.broadcast(sketch.repeated(texts, cores, first_bits))
@@ -206,7 +206,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
 
     def alive(batch):
         """(rows, runs, start of each run's text, indices of the runs that round 0 leaves)."""
-        for rows, data, offsets in flat.text_slices(batch):
+        for rows, data, offsets in flat.text_slices(batch, limit=_SLICE):
             found = runs(data, offsets, length, reach)
             ok = sketch.maybe(one.value, found.core, first_bits)
             ok[ok] = sketch.maybe(two.value, flat.mix(found.core[ok], 5), second_bits)
