@@ -39,7 +39,7 @@ from voltledger.llm.shared import saved
 
 LENGTH, REACH, GRAM = 400, 48, 16
 FIRST_BITS, SECOND_BITS = 28, 27
-_GATHER, _SLICE = 1 << 19, 1 << 19
+_GATHER, _SLICE = 1 << 18, 1 << 18
 
 
 @dataclass
@@ -103,9 +103,12 @@ def _rows(state, a, b, more, often, doc, pos, cores) -> pa.RecordBatch:
 
 def _gathered(held: list[tuple]) -> pa.RecordBatch:
     """Rows of one flush. Of a string met more than once: its occurrences as decided, and one open row."""
-    a, b, more, doc, pos, cores = map(np.concatenate, zip(*held, strict=True))
-    order = np.lexsort((-pos, more, b, a))
-    a, b, more, doc, pos, cores = (x[order] for x in (a, b, more, doc, pos, cores))
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    held.clear()
+    order = np.lexsort((-columns[4], columns[2], columns[1], columns[0]))
+    for i, x in enumerate(columns):
+        columns[i] = x[order]
+    a, b, more, doc, pos, cores = columns
     at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (more[1:] != more[:-1])))
     size = np.diff(np.append(at, len(a)))
     often = np.repeat(size > 1, size)
@@ -224,7 +227,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
                         n += len(run)
                 if n > _GATHER:
                     yield _gathered(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield _gathered(held)
 
