@@ -141,6 +141,29 @@ def test_suffix_dedup(spark, length, reach):
     assert suffix_dedup.remove_repeats(empty(spark), length, reach, 16, 16).count() == 0
 
 
+def test_shared_blocks_are_counted_exactly(spark):
+    """n_shared against a plain count: cores of windows of ``short`` bytes, by the anchors of the operator, that another document holds."""
+    import numpy as np
+
+    length, short, reach = 120, 60, 16
+    got = {r.doc_id: r.n_shared for r in suffix_dedup.remove_repeats(frame(spark), length, reach, 20, 20, short).collect() if r.doc_id is not None}
+    held, cores = defaultdict(set), {}
+    for i, t in ROWS:
+        raw = (t or "").encode()
+        found = suffix_dedup.runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), short, reach)
+        cores[i] = [raw[a : a + short - reach + 1] for a in found.anchor.tolist()]
+        for c in cores[i]:
+            held[c].add(i)
+    want = {i: sum(len(held[c]) > 1 for c in cores[i]) for i, _ in ROWS}
+    want[ROWS[0][0]] *= 2  # the row that the frame repeats
+    assert got == want and sum(v > 0 for v in want.values()) > 30
+    # any passage of ``short`` bytes in two documents is seen
+    passage = "".join(random.Random(2).choice("abcdefgh ") for _ in range(60))
+    rows = [(1, "x" * 100 + passage + "y" * 3), (2, passage), (3, "z" * 70 + passage + "w" * 90), (4, "nothing of that " * 1)]
+    found = {r.doc_id: (r.n_shared > 0, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length, reach, 20, 20, short).collect()}
+    assert found == {1: (True, 0), 2: (True, 0), 3: (True, 0), 4: (False, 0)}
+
+
 def test_line_dedup(spark):
     key = lambda line: low(line.strip(" \t\n\x0b\f\r"))
     docs = defaultdict(set)

@@ -53,7 +53,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_shared")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ place for every byte of text (20 times the input's disk), so the rounds below ke
 
 * Reduction. A window of ``length`` bytes has an anchor: the least hash of the 16-byte strings at its first ``reach`` positions. Windows with
   one anchor form a run and share a *core*, the length - reach + 1 bytes from the anchor on. Equal windows have equal cores, so
-  runs whose core is unique are out. That is estimated by two merged sketches (never too low), without a shuffle of positions.
+  runs whose core is unique are out. That is estimated without a shuffle of positions by two merged sketches (never too low): one of the cores of
+  windows of ``short`` bytes, which begin every core, then one of the whole cores that are left.
 * Ends. Two remaining runs side by side have a *joint*: the last window of one and the first of the other, one string of length + 1 bytes;
   where a run has no such neighbour, its end is a window alone. Equal windows have equal anchors, so equal joints are joints in all their texts.
   Round 1 sorts all joints and ends by their prefix of length / 4 and the name of the next length / 4 bytes; Spark's sort ranks them, unique ones
@@ -16,11 +17,14 @@ place for every byte of text (20 times the input's disk), so the rounds below ke
   repeated is known, so a shorter prefix would drop next to nothing. They are met by witnesses, one per map task and distinct
   window, from all runs with such a run's core.
 
+Repeats of less than ``length`` bytes are not removed, but reported: ``n_shared`` counts the cores of windows of ``short`` bytes that another
+document holds too. A passage of ``short`` bytes has one at least. (Those that the first sketch leaves are grouped exactly.)
+
 Names are hashes of 64 bits, in a sort with 32 bits more of another one. A map task sends one witness of a string it saw often and reports its
 occurrences as decided, so a hot string costs a reducer no more rows than there are map tasks.
 
 Defined results: a null or empty text has 0 bytes and loses nothing, like any text shorter than ``length``; a null doc_id takes no part
-and is returned whole; a repeated row repeats its strings, so both rows lose them, and rows that repeat a doc_id should carry one text; other columns are ignored; an empty
+and is returned whole; a repeated row repeats its strings, so both rows lose them (their ``n_shared`` counts the blocks of both), and rows that repeat a doc_id should carry one text; other columns are ignored; an empty
 table gives an empty result. Matches never cross documents.
 """
 
@@ -37,18 +41,19 @@ from pyspark.sql import functions as F
 from voltledger.llm import flat, sketch
 from voltledger.llm.shared import saved
 
-LENGTH, REACH, GRAM = 400, 48, 16
+LENGTH, SHORT, REACH, GRAM = 400, 256, 48, 16
 FIRST_BITS, SECOND_BITS = 28, 27
 _GATHER, _SLICE = 1 << 18, 1 << 18
 
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: text, first and last window start (bytes, in the slice), hash of the core."""
+    """Runs of windows with one anchor: text, first and last window start (bytes, in the slice), anchor, hash of the core."""
 
     text: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    anchor: np.ndarray
     core: np.ndarray
     roll: flat.Rolling
 
@@ -66,13 +71,12 @@ def _grams(data: np.ndarray, gram: int) -> np.ndarray:
     return (whole * np.uint64(0x94D049BB133111EB))[: max(len(data) - gram + 1, 0)]
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, reach: int = REACH) -> Runs:
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, reach: int = REACH, gram: int = GRAM) -> Runs:
     n = len(data)
     roll = flat.Rolling(data)
     none = np.zeros(0, np.int64)
-    gram = min(GRAM, length - reach)
     if n < length:
-        return Runs(none, none, none, none.view(np.uint64), roll)
+        return Runs(none, none, none, none, none.view(np.uint64), roll)
     least = _grams(data, gram)
     least = least >> np.uint64(32) << np.uint64(32) | np.arange(len(least), dtype=np.uint64)
     width = 1
@@ -87,7 +91,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, reach: int
     anchor = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lead = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else none
     tail = np.append(lead[1:], len(anchor)) - 1 if len(lead) else none
-    return Runs(text[lead], start[lead], start[tail], roll(anchor[lead], anchor[lead] + length - reach + 1), roll)
+    return Runs(text[lead], start[lead], start[tail], anchor[lead], roll(anchor[lead], anchor[lead] + length - reach + 1), roll)
 
 
 #: Rows of the rounds. state: 0 open, 1 decided (repeated), 2 unique. a, b: what is sorted. more: the name of the second half, for the next
@@ -188,33 +192,104 @@ def _starts(ruled: DataFrame) -> DataFrame:
     return ruled.where("pos is not null").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
 
 
+def _blocks(core: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Rows (state, core, doc_id, n, often) of one flush: n blocks of a document with a core. If two documents here hold the core, they are decided
+    (state 1, summed by document), and one row stands for them elsewhere."""
+    order = np.lexsort((doc, core))
+    core, doc = core[order], doc[order]
+    new = np.append(True, (core[1:] != core[:-1]) | (doc[1:] != doc[:-1]))
+    n = np.diff(np.append(np.flatnonzero(new), len(core)))
+    core, doc = core[new], doc[new]
+    at = np.flatnonzero(np.append(True, core[1:] != core[:-1]))
+    size = np.diff(np.append(at, len(core)))
+    shared = np.repeat(size > 1, size)
+    own, where = np.unique(doc[shared], return_inverse=True)
+    sums = np.bincount(where, weights=n[shared], minlength=len(own)).astype(np.int64)
+    lead, alone = at[size > 1], ~shared
+    parts = (
+        (np.full(len(own), 1), flat.mix(own.view(np.uint64)), own, sums, np.ones(len(own), bool)),
+        (np.zeros(len(lead)), core[lead], doc[lead], np.zeros(len(lead)), np.ones(len(lead), bool)),
+        (np.zeros(alone.sum()), core[alone], doc[alone], n[alone], np.zeros(alone.sum(), bool)),
+    )
+    state, core, doc, n, often = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(doc), pa.array(n.astype(np.int64)), pa.array(often)], ["state", "core", "doc_id", "n", "often"])
+
+
+def _counted(batches):
+    """Of such rows sorted by state, core, doc_id: (doc_id, n) of the blocks that two documents or more hold."""
+    known, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        if held is not None:
+            columns = [np.append(h, c) for h, c in zip(held, columns, strict=True)]
+            held = None
+        state, core, doc, n, often = columns
+        at = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (state[1:] != state[:-1])))
+        end = np.append(at[1:], len(core)) - 1
+        shared = (doc[at] != doc[end]) | np.logical_or.reduceat(often, at) | (state[at] == 1)
+        shared[0] |= known == (state[0], core[0])
+        known = (state[-1], core[-1]) if shared[-1] else None
+        if not shared[-1]:  # rows of one document so far
+            held = [state[-1:], core[-1:], doc[-1:], n[at[-1] :].sum(keepdims=True), often[-1:]]
+        use = np.repeat(shared, end - at + 1) & (n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(n[use])], ["doc_id", "n"])
+
+
 def _windows_of(pos: np.ndarray) -> np.ndarray:
     """Places of all windows that ``pos`` stands for: one, or two of a joint."""
     at = pos >> 1
     return np.concatenate((at, at[pos & 1 == 1] + 1))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
-    """doc_id, starts array<long>: windows that occur elsewhere too (see ``_windows_of``), enough of them to cover every such byte."""
+def repeated_starts(docs: DataFrame, length: int = LENGTH, short: int = SHORT, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+    """doc_id, starts array<long>: windows that occur elsewhere too (see ``_windows_of``), enough of them to cover every such byte; n_shared."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     half = length // 2
 
-    def cores(batch):
+    short = min(short, length)
+    gram, block = min(GRAM, short - reach), short - reach + 1
+
+    def short_cores(batch):
         for _, data, offsets in flat.text_slices(batch, limit=_SLICE):
-            yield runs(data, offsets, length, reach).core
+            yield runs(data, offsets, short, reach, gram).core
 
-    one = sc.broadcast(sketch.repeated(texts, cores, first_bits))
-    two = sc.broadcast(sketch.repeated(texts, lambda batch: (flat.mix(h[sketch.maybe(one.value, h, first_bits)], 5) for h in cores(batch)), second_bits, 2))
+    one = sc.broadcast(sketch.repeated(texts, short_cores, first_bits))
 
-    def alive(batch):
-        """(rows, runs, start of each run's text, indices of the runs that round 0 leaves)."""
+    def begun(batch):
+        """(rows, offsets, runs, whether the first sketch leaves them)."""
         for rows, data, offsets in flat.text_slices(batch, limit=_SLICE):
-            found = runs(data, offsets, length, reach)
-            ok = sketch.maybe(one.value, found.core, first_bits)
+            found = runs(data, offsets, length, reach, gram)
+            yield rows, offsets, found, sketch.maybe(one.value, found.roll(found.anchor, found.anchor + block), first_bits)
+
+    two = sc.broadcast(sketch.repeated(texts, lambda batch: (flat.mix(found.core[ok], 5) for _, _, found, ok in begun(batch)), second_bits, 2))
+
+    def alive(batch):
+        """(rows, runs, start of each run's text, indices of the runs that both sketches leave)."""
+        for rows, offsets, found, ok in begun(batch):
             ok[ok] = sketch.maybe(two.value, flat.mix(found.core[ok], 5), second_bits)
             yield rows, found, offsets[found.text], np.flatnonzero(ok)
 
+    def blocks(batches):
+        held, n = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for rows, data, offsets in flat.text_slices(batch, limit=_SLICE):
+                found = runs(data, offsets, short, reach, gram)
+                ok = sketch.maybe(one.value, found.core, first_bits)
+                held.append((found.core[ok], ids[rows][found.text[ok]]))
+                n += len(held[-1][0])
+                if n > _GATHER:
+                    yield _blocks(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+        if n:
+            yield _blocks(*map(np.concatenate, zip(*held, strict=True)))
+
+    rows = texts.mapInArrow(blocks, "state int, core bigint, doc_id bigint, n bigint, often boolean")
+    shared = rows.repartition("core").sortWithinPartitions("state", "core", "doc_id").mapInArrow(_counted, "doc_id bigint, n bigint")
+
     def named(batches, strings):
         held, n = [], 0
         for batch in batches:
@@ -288,15 +363,17 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, reach: int = REACH, f
     # the same columns and join key as in remove_repeats, so that the texts' exchange is made once
     joined = docs.select("doc_id", "text").join(_starts(at_ends), "doc_id", "left").select("doc_id", "text", "starts")
     at_inner = _decided(joined.mapInArrow(lambda batches: named(batches, inner), _ROW))
-    return _starts(at_ends.union(at_inner))
+    places = at_ends.union(at_inner).where("pos is not null").select("doc_id", "pos", F.lit(0).cast("bigint").alias("n"))
+    every = places.union(shared.select("doc_id", F.lit(None).cast("bigint"), "n"))
+    return every.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"), F.sum("n").alias("n_shared"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
-    """doc_id, kept binary (the bytes that stay), n_bytes, n_removed, n_spans: one row per input row.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS, short: int = SHORT) -> DataFrame:
+    """doc_id, kept binary (the bytes that stay), n_bytes, n_removed, n_spans, n_shared (blocks held by another document too): one row per input row.
 
     A byte goes if it lies in a ``length``-byte string that also starts anywhere else, overlaps included.
     """
-    starts = repeated_starts(docs, length, reach, first_bits, second_bits)
+    starts = repeated_starts(docs, length, short, reach, first_bits, second_bits)
 
     def apply(batches):
         for batch in batches:
@@ -314,7 +391,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, fi
                 kept.append(raw)
                 n_removed.append(removed)
                 n_spans.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            numbers = (*(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.compute.fill_null(batch.column(3), 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *numbers], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "n_shared"])
 
-    joined = docs.select("doc_id", "text").join(starts, "doc_id", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(apply, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    joined = docs.select("doc_id", "text").join(starts, "doc_id", "left").select("doc_id", "text", "starts", "n_shared")
+    return joined.mapInArrow(apply, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, n_shared bigint")
