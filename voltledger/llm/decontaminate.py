@@ -36,7 +36,7 @@ from voltledger.llm import flat
 MAX_EDITS = 0.2
 RECALL, SAMPLES, WIDTH = 0.98, 8, 3
 MAX_WALKS, TRIALS = 16, 300
-WALK_CELLS = 1 << 21
+WALK_CELLS = 1 << 20
 BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 _BETWEEN = np.ones(256, bool)

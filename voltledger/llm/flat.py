@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 PRIME = np.uint64((1 << 61) - 1)
 #: The bases for bytes and for word hashes.
@@ -82,16 +82,19 @@ class Rolling:
     def __init__(self, values: np.ndarray, base: np.uint64 = _P):
         n = len(values)
         low, high, self.down = powers(base, n + 1)
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        a, b = self.low[1:], self.high[1:]
+        v = values >> np.uint64(3) if values.dtype == np.uint64 else values.astype(np.uint64)
+        v += np.uint64(1)
         if values.dtype == np.uint8 and n < 1 << 24:  # the sums of both halves stay below 2**64
-            v = values.astype(np.uint64) + np.uint64(1)
-            low, high = v * low[:n], v * high[:n]
+            np.multiply(v, low[:n], out=a)
+            np.multiply(v, high[:n], out=b)
         else:
-            v = values >> np.uint64(3) if values.dtype == np.uint64 else values.astype(np.uint64)
-            term = _times(v + np.uint64(1), low[:n] | (high[:n] << _31))
-            low, high = term & _LOW31, term >> _31
-        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
-        np.cumsum(low, out=self.low[1:])
-        np.cumsum(high, out=self.high[1:])
+            term = _times(v, low[:n] | (high[:n] << _31))
+            np.bitwise_and(term, _LOW31, out=a)
+            np.right_shift(term, _31, out=b)
+        np.cumsum(a, out=a)
+        np.cumsum(b, out=b)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
         whole = _mod(_mod(self.low[ends] - self.low[starts]) + _turn(_mod(self.high[ends] - self.high[starts])))
