@@ -95,16 +95,22 @@ def test_ngram_join_keeps_repeated_rows_apart(spark):
 
 
 def test_all_pairs_of_a_common_ngram_are_dealt_to_many_keys(spark, monkeypatch):
-    """Pairs across components, of an n-gram that all documents share, against a plain double loop."""
+    """Pairs across components, of n-grams that many documents share, against a plain double loop over their prefixes."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rnd = random.Random(1)
-    rows = [(i, rnd.randint(20, 30), 0, h, rnd.randint(1, 5), i % 3 if i < 60 else i) for i in range(90) for h in (7, 100 + i % 2, 200 + i)]
-    got = ngram_join._all_pairs(spark.createDataFrame(rows, "id bigint, n bigint, alone bigint, h bigint, pos bigint, comp bigint"))
-    pairs = {(min(r.x, r.y), max(r.x, r.y)) for r in got.collect()}
-    hope = lambda a, b: a[5] != b[5] and 4 * min(a[1], b[1]) >= 3 * max(a[1], b[1]) and 175 * (1 + min(a[1] - a[4] - 1, b[1] - b[4] - 1)) >= 75 * (a[1] + b[1])
-    top = {h: Counter(r[5] for r in rows if r[3] == h).most_common(1)[0][1] for h in (7, 100, 101)}
-    assert top[7] == 20
-    assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] == b[3] and hope(a, b)}
+    sets, comp = {}, {}
+    for i in range(90):
+        own = rnd.choice([0, 3, 5, 9])
+        sets[i] = sorted({*rnd.sample(range(40), 36 - own), *range(1000 * (i + 1), 1000 * (i + 1) + own)}, key=lambda h: (h < 1000, h))
+        comp[i] = i % 3 if i < 60 else i
+    prefix = {i: x[: len(x) - -(-3 * len(x) // 4) + 1] for i, x in sets.items()}
+    rows = [(i, len(sets[i]), 0, h, p, comp[i]) for i, x in prefix.items() for p, h in enumerate(x)]
+    got = ngram_join._all_pairs(spark.createDataFrame(rows, "id bigint, n bigint, alone bigint, h bigint, pos bigint, comp bigint")).collect()
+    pairs = {(min(r.x, r.y), max(r.x, r.y)): r.k for r in got}
+    links = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert len(links) > 100 and links <= set(pairs)
+    assert all(k == len(set(prefix[a]) & set(prefix[b])) for (a, b), k in pairs.items())
+    assert len(pairs) < sum(comp[a] != comp[b] and bool(set(prefix[a]) & set(prefix[b])) for a in sets for b in sets if a < b)
 
 
 def test_substring_dedup(spark):

@@ -36,7 +36,7 @@ from voltledger.llm import flat
 MAX_EDITS = 0.2
 RECALL, SAMPLES, WIDTH = 0.98, 8, 3
 MAX_WALKS, TRIALS = 16, 300
-WALK_CELLS = 1 << 20
+WALK_CELLS = 1 << 21
 BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 _BETWEEN = np.ones(256, bool)
@@ -246,7 +246,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_
         def find(batches, held=held):
             for batch in batches:
                 out = []
-                for rows, data, offsets in flat.text_slices(batch):
+                for rows, data, offsets in flat.text_slices(batch, limit=1 << 20):
                     w, firsts = tokens(data, offsets)
                     for text, item, start, end, edits in held.value.hits(w, firsts):
                         out.append((batch.column(0)[rows.start + text].as_py(), held.value.ids[item], int(start - firsts[text]), int(end - firsts[text]), edits, int(held.value.size[item])))

@@ -30,12 +30,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.llm import flat, sketch
 from voltledger.llm.components import components
 from voltledger.llm.shared import saved
+from voltledger.llm.spans import let
 
 N = 5
 BITS, SECOND_BITS = 28, 27
@@ -176,29 +177,55 @@ def _once(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(either(k + "x", k + "y") for k in ("", "n", "c")), *(either(k + "y", k + "x") for k in ("", "n", "c"))).distinct()
 
 
+def _counted(met: Column) -> Column:
+    """array<struct<x, nx, cx, k, most>>: each partner of an array once, how often it is there, and the best bound. Linear after a sort."""
+    items = F.sort_array(F.transform(met, lambda e: F.struct(e["x"].alias("x"), (-e["most"]).alias("less"), e["nx"].alias("nx"), e["cx"].alias("cx"))))
+
+    def runs(xs: Column) -> Column:
+        at = lambda i: F.element_at(xs, i)
+        starts = F.filter(F.sequence(F.lit(1), F.size(xs)), lambda i: (i == 1) | (at(i)["x"] != at(F.greatest(i - 1, F.lit(1)))["x"]))
+
+        def pairs(begin: Column) -> Column:
+            end = F.concat(F.slice(begin, F.lit(2), F.size(begin)), F.array(F.size(xs) + 1))
+            return F.zip_with(begin, end, lambda a, b: F.struct(at(a)["x"].alias("x"), at(a)["nx"].alias("nx"), at(a)["cx"].alias("cx"), (b - a).alias("k"), (-at(a)["less"]).alias("most")))
+
+        return let(starts, pairs)
+
+    return let(items, runs)
+
+
+#: A pair whose sets have their first common n-gram early enough, and which share no more than k prefix n-grams and what follows one of the prefixes.
+_ENOUGH = "175 * e.most >= 75 * (e.nx + ny) and 175 * (e.k + greatest((3 * e.nx + 3) div 4, (3 * ny + 3) div 4) - 1) >= 75 * (e.nx + ny)"
+
+
 def _all_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs across components that can link, and in how many prefix n-grams (k) they meet.
+    """All pairs across components that can link (x in the smaller component by name), and in how many prefix n-grams (k) they meet.
 
-    Of an n-gram only the entries outside its largest component look for partners. They travel as arrays, in blocks of about ``BLOCK``
-    documents, so that a pair that meets in many n-grams is one element of its partner's array before it becomes a row. Those they look
-    among are dealt by ``SALTS * BLOCK`` documents. A key is an n-gram with a block and a deal, so that no n-gram, however common, is one task.
+    The entries of an n-gram that look for partners travel as arrays, in blocks of about ``BLOCK``
+    documents where there are more. Those they look among are dealt by ``SALTS * BLOCK`` documents. A key is an n-gram with a block and a
+    deal, so that no n-gram, however common, is one task. The partners of a document are counted in its arrays, by block, before they are rows.
     """
-    groups = postings.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.count(F.lit(1)).alias("comps"), F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("top"))
-    blocks = (1 + (F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("blocks")
-    deals = (1 + F.col("all") / (SALTS * BLOCK)).cast("int").alias("deals")
-    split = groups.where("comps > 1").select("h", F.col("top.comp").alias("top"), blocks, deals, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    split = postings.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("all")).where("lo <> hi")
+    split = saved(split)
+    total = 1 + (split.agg(F.max("all")).first()[0] or 0) // BLOCK
+    blocks, deals = F.when(F.col("all") > BLOCK, total).otherwise(1).cast("int"), (1 + F.col("all") / (SALTS * BLOCK)).cast("int")
+    split = split.select("h", "lo", "hi", blocks.alias("blocks"), deals.alias("deals"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     mixed = saved(postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(split.hint("merge"), ["h", "salt"]).drop("salt"))
-    own = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.col(n)).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = mixed.where("comp <> top").select("h", "deals", own("id", "blocks", 1).alias("block"), F.struct(*(F.col(c).alias(k + "x") for c, k in _SIDE)).alias("e"))
+    entry = F.struct(*(F.col(c).alias(k + "x") for c, k in _SIDE), own(F.lit(total), 1).alias("gx"))
+    x = mixed.where("comp < hi").select("h", "deals", F.when(F.col("blocks") > 1, own(F.lit(total), 1)).otherwise(0).alias("block"), entry.alias("e"))
     lists = x.groupBy("h", "block", "deals").agg(F.collect_list("e").alias("xs")).select("h", "block", "xs", every("deals").alias("deal"))
-    y = mixed.select("h", own("id", "deals", 2).alias("deal"), every("blocks").alias("block"), *(F.col(c).alias(k + "y") for c, k in _SIDE))
+    y = mixed.where("comp > lo").select("h", own(F.col("deals"), 2).alias("deal"), every("blocks").alias("block"), *(F.col(c).alias(k + "y") for c, k in _SIDE))
     met = lists.join(y.hint("merge"), ["h", "block", "deal"])
-    can = F.expr(f"transform(filter(xs, e -> {_HOPE.format(nx='e.nx', px='e.px', cx='e.cx')}), e -> struct(e.x, e.nx, e.cx))")
-    per_y = met.select("y", "ny", "cy", "block", can.alias("xs")).where("size(xs) > 0").groupBy("y", "ny", "cy", "block").agg(F.flatten(F.collect_list("xs")).alias("met"))
-    often = F.transform(F.array_distinct("met"), lambda e: F.struct(e["x"].alias("x"), e["nx"].alias("nx"), e["cx"].alias("cx"), F.size(F.filter("met", lambda m: m["x"] == e["x"])).alias("k")))
-    per_y = per_y.select("y", "ny", "cy", often.alias("xs"))
-    return per_y.select("y", "ny", "cy", F.inline("xs"))
+    can = F.expr("transform(filter(xs, e -> e.cx < cy and 4 * least(e.nx, ny) >= 3 * greatest(e.nx, ny)), e -> struct(e.x as x, e.nx as nx, e.cx as cx, e.gx as gx, least(e.nx - e.px, ny - py) as most))")
+    met = met.select("y", "ny", "cy", can.alias("xs")).where("size(xs) > 0")
+    if total > 1:
+        met = met.select("*", F.explode(F.array_distinct(F.transform("xs", lambda e: e["gx"]))).alias("g")).select("y", "ny", "cy", "g", F.expr("filter(xs, e -> e.gx = g)").alias("xs"))
+    else:
+        met = met.withColumn("g", F.lit(0))
+    per_y = met.groupBy("y", "ny", "cy", "g").agg(_counted(F.flatten(F.collect_list("xs"))).alias("xs"))
+    return per_y.select("y", "ny", "cy", F.expr(f"filter(xs, e -> {_ENOUGH})").alias("xs")).select("y", "ny", "cy", F.inline("xs")).drop("most")
 
 
 def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -208,19 +235,32 @@ def _joined(labels: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _rest(pairs: DataFrame, segments: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labels after all pairs. As long as that finds links, each document's best partner goes first, and pairs inside a component drop out."""
-    while not pairs.isEmpty():
-        best = pairs.groupBy("x").agg(F.max(F.struct("k", "y", "nx", "cx", "ny", "cy")).alias("p")).select("x", "p.nx", "p.cx", "p.y", "p.ny", "p.cy")
-        found = saved(_verified(_once(best), segments))
-        if found.isEmpty():
+    """The labels after all pairs. Each document's best partner goes first, and pairs inside a component drop out, as long as
+    that takes away a third of the pairs at least: each such round rewrites the others. Then all that are left are verified."""
+    left = pairs.count()
+    while left:
+        found = _joining(pairs, segments)
+        if found is not None:
+            labels = _joined(labels, found)
+            cx, cy = (labels.select(F.col("node").alias(s), F.col("root").alias("c" + s)) for s in "xy")
+            pairs = saved(pairs.drop("cx", "cy").join(cx, "x").join(cy, "y").where("cx <> cy"))
+        had, left = left, pairs.count()
+        if 3 * left > 2 * had:
             found = saved(_verified(_once(pairs), segments))
             return labels if found.isEmpty() else _joined(labels, found)
-        labels = _joined(labels, found)
-        cx, cy = (labels.select(F.col("node").alias(s), F.col("root").alias("c" + s)) for s in "xy")
-        pairs = saved(pairs.drop("cx", "cy").join(cx, "x").join(cy, "y").where("cx <> cy"))
     return labels
 
 
+def _joining(pairs: DataFrame, segments: DataFrame) -> DataFrame | None:
+    """The links among the best partners of all documents, none if there is no link."""
+    best, rest = [], ("nx", "cx", "ny", "cy")
+    for own, other in (("x", "y"), ("y", "x")):
+        top = pairs.groupBy(own).agg(F.max(F.struct("k", other, *rest)).alias("p"))
+        best.append(top.select(own, f"p.{other}", *(f"p.{c}" for c in rest)).select("x", "nx", "cx", "y", "ny", "cy"))
+    found = saved(_verified(_once(best[0].union(best[1])), segments))
+    return None if found.isEmpty() else found
+
+
 def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """node, root over all representatives.
 
