@@ -195,7 +195,7 @@ def a_scee(spark, sf):
 @query("""WITH l AS (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) v, translate(CAST(l_partkey AS VARCHAR), '0123456789', 'KLMNOQSTUV') name FROM lineitem)
 SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 'CONSUMO ' || name WHEN 1 THEN 'ENERGIA ATIVA FORNECIDA HR' WHEN 2 THEN 'MULTA ' || name ELSE 'ENERGIA ' || name END item,
 CASE WHEN l_linenumber % 4 = 2 THEN 'ITENS FINANCEIROS' ELSE 'FORNECIMENTO' END tipo, CASE WHEN l_linenumber % 4 <> 2 THEN 'kWh' END unidade, CASE WHEN l_linenumber % 4 <> 2 THEN l_quantity END quantidade, v valor,
-CASE WHEN l_linenumber % 4 IN (1, 3) THEN 0.4 END tarifa FROM l UNION ALL SELECT l_orderkey, 'CIP RETROATIVA', 'ITENS FINANCEIROS', NULL, NULL, 15.88, NULL FROM l WHERE l_linenumber % 4 = 3""")
+CASE WHEN l_linenumber % 4 IN (1, 3) THEN CAST(0.4 AS DOUBLE) END tarifa FROM l UNION ALL SELECT l_orderkey, 'CIP RETROATIVA', 'ITENS FINANCEIROS', NULL, NULL, 15.88, NULL FROM l WHERE l_linenumber % 4 = 3""")
 def a_old_items(spark, sf):
     """The old layout of A: items with unit and rate, an anagram of a known name, counted and plain amounts, and a second item on the line."""
     k = F.col("l_linenumber") % 4
@@ -341,7 +341,7 @@ def glossary_items(spark, sf):
     return done[glossary.SHEET].where("Categoria in ('Item de fatura', 'Valor', 'Aba')").groupBy(F.col("Categoria").alias("categoria")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'p_name' name, greatest(max(length(p_name)), 6) width FROM part UNION ALL SELECT 'p_retailprice', 13 UNION ALL SELECT 'p_partkey', 9")
+@query("SELECT 'p_name' name, CAST(greatest(max(length(p_name)), 6) AS INTEGER) width FROM part UNION ALL SELECT 'p_retailprice', 13 UNION ALL SELECT 'p_partkey', 9")
 def widest_texts(spark, sf):
     """The widest text of each column, its heading included: one aggregate."""
     from voltledger.sources import workbook
