@@ -107,14 +107,24 @@ def shingle_sets(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int
     return texts.mapInArrow(emit, "doc_id bigint, n_shingles bigint, fp1 bigint, fp2 bigint, grams array<bigint>")
 
 
+def _pieces(batch: pa.RecordBatch, limit: int = 1 << 18):
+    """The batch in slices of about ``limit`` n-grams (column 2), one row at least, which bounds the temporaries."""
+    ends = np.cumsum(pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _shared(reps: DataFrame, bits: int) -> DataFrame:
     """reps without the n-grams that a sketch of the representatives alone calls single, and without sets that lost too many."""
     arrays = lambda b: b.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    parts = lambda b: (flat.mix(x, 3) for h in [arrays(b)] for x in np.array_split(h, 1 + (len(h) >> 18)))
+    parts = lambda b: (flat.mix(arrays(x), 3) for x in _pieces(b))
     seen = reps.sparkSession.sparkContext.broadcast(sketch.repeated(reps, parts, bits))
 
     def keep(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             h = arrays(batch)
             ok = sketch.maybe(seen.value, flat.mix(h, 3), bits)
             lists = batch.column(2)
