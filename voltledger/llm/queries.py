@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltledger.llm import personal_data, secrets
+from voltledger.llm import ball_kmeans, personal_data, secrets
 from voltledger.llm.decontaminate import contamination
+from voltledger.llm.fingerprints import edited, likeness
 from voltledger.llm.language_id import predict
 from voltledger.llm.line_crf import quality
 from voltledger.llm.line_dedup import remove_lines
 from voltledger.llm.ngram_join import near_duplicates
+from voltledger.llm.periodic_runs import periodic_runs
 from voltledger.llm.piece_bpe import encode_decode
 from voltledger.llm.spans import of_kind, rendered
 from voltledger.llm.substring_dedup import remove_repeated_windows
@@ -74,9 +76,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op9_personal_data, op10_line_dedup)}
-# ---- The same results in DuckDB SQL, where SQL can express them. Learned or library results (3, 5, 6, 9), edit distances (4), components (1) and
-# ---- byte windows (7) are tested against brute force instead.
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = edited(_table(spark, sf_dir, "documents"))
+    own, near = F.col("fingerprint"), likeness(F.col("fingerprint"), F.col("edited_fingerprint"))
+    return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near.alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"), "common_chars")
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """The texts with the runs that the contract plants: behind word a, one document in ten repeats the next p words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    plant = F.col("__h").isNotNull() & (F.col("__h") % 10 == 0) & (F.size("__x") > 0)
+    n, shift = F.size("__x"), F.col("__g")
+    a = shift % n
+    p = 1 + F.floor((n - a) / (3 + shift % 8))
+    source = lambda i: F.when(i < F.col("__a"), i).otherwise(F.col("__a") + (i - F.col("__a")) % F.col("__p"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.get(F.col("__x"), source(i).cast("int"))), " ")
+    rows = docs.select("doc_id", "text", h.alias("__h"), g.alias("__g"), F.when(h % 10 == 0, words).alias("__x"))
+    rows = rows.withColumns({"__a": F.when(plant, a), "__p": F.when(plant, p)})
+    return rows.select("doc_id", F.when(plant, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic_runs(_planted(_table(spark, sf_dir, "documents")))
+    # exact comparison of length / period: of two runs the one with the greater cross product
+    ahead = lambda x, y: F.coalesce(y["length"] * x["period"] - x["length"] * y["period"], F.lit(0))
+    order = lambda x, y: F.when(ahead(x, y) != 0, F.signum(ahead(x, y))).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int")
+    best = F.get(F.array_sort("runs", order), F.lit(0))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    done = done.withColumn("best", best)
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period"))
+    return done.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        milli.alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ball_kmeans.ball_kmeans(_table(spark, sf_dir, "embeddings"))
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scans, op3_quality_rules, op4_benchmark_decontamination, op5_language_id, op6_sentencepiece, op7_suffix_array_dedup, op8_substring_dedup, op9_personal_data, op10_line_dedup, op11_document_fingerprints, op12_periodic_runs, op13_ball_kmeans)}
+# ---- The same results in DuckDB SQL, where SQL can express them. Learned or library results (3, 6, 9), edit distances (4), components (1) and
+# ---- byte windows (7), fingerprints (11) and runs at every lag (12: a third of the square of a text's words) are tested against brute force, the
+# ---- classifier (5) by held-out accuracy.
 
 _LINES = r"""WITH l AS (SELECT doc_id, unnest(x) line, generate_subscripts(x, 1) n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) x FROM documents)),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key FROM l),
@@ -107,4 +152,20 @@ FROM (SELECT doc_id, p, x, unnest(range(1, len(x) + 1)) i FROM (SELECT doc_id, s
     return f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {counts}, sha256({joined(f'no < {base}')}) base_sha256, {joined('no IS NOT NULL')} spans, count(no) n_spans FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"
 
 
-ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_substring_dedup": _WINDOWS, "op10_line_dedup": _LINES}
+def _kmeans_sql(k: int = ball_kmeans.K, rounds: int = ball_kmeans.ROUNDS, dims: int = ball_kmeans.DIMS) -> str:
+    """Rounds of comparing every vector with all centroids, written out one after the other."""
+    finite = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+    apart = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    parts = [f"v AS MATERIALIZED (SELECT row_number() OVER () r, vec_id, embedding, list_transform(embedding, lambda e: CAST(floor({ball_kmeans.SCALE} * CAST(e AS DOUBLE)) AS BIGINT)) x FROM embeddings WHERE len(embedding) = {dims} AND {finite})"]
+    parts += [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, embedding) - 1 j, x FROM (SELECT sha256('{ball_kmeans.SALT}' || vec_id) h, embedding, x FROM v WHERE vec_id IS NOT NULL ORDER BY h, embedding LIMIT {k}))"]
+    for n in range(rounds + 1):
+        parts += [f"a{n} AS MATERIALIZED (SELECT v.r, min(struct_pack(d := CAST({apart} AS BIGINT), j := c.j)) m FROM v CROSS JOIN c{n} c GROUP BY v.r)"]
+        if n < rounds:
+            parts += [f"s{n} AS (SELECT a.m.j j, i, CAST(sum(v.x[i]) AS BIGINT) s, count(*) n FROM v JOIN a{n} a USING (r) CROSS JOIN range(1, {dims + 1}) t(i) GROUP BY ALL)"]
+            parts += [f"m{n} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) x FROM s{n} GROUP BY j)"]
+            parts += [f"c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) x FROM c{n} c LEFT JOIN m{n} m USING (j))"]
+    last = f"SELECT v.vec_id, a.m.j j, a.m.d d, c.x FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.j = a.m.j"
+    return f"WITH {', '.join(parts)} SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) cluster_inertia, CAST(sum(d) OVER () AS BIGINT) inertia, sha256(array_to_string(x, ',')) centroid_sha256 FROM ({last})"
+
+
+ORACLE_SQL: dict[str, str] = {"op2_secret_scans": _secrets_sql(), "op8_substring_dedup": _WINDOWS, "op10_line_dedup": _LINES, "op13_ball_kmeans": _kmeans_sql()}

@@ -33,3 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint(): as saved(), but it also keeps the partitions and the order of their rows."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession) -> str:
+    """A folder of its own, for a table that its owner removes."""
+    return f"{checkpoint_dir(spark)}/saved-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table between steps that no frame reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
