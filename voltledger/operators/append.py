@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import schemas
 from voltledger.functions.text import py_name_key
 from voltledger.operators.derive import enrich
+from voltledger.operators.order import POSITION, keep_first, positioned
 from voltledger.schemas import quoted
 
 Mapping = dict[str, str | None]
@@ -35,22 +36,21 @@ def mapping_of_meta(meta: dict | None, sheet: str) -> Mapping | None:
     return {c["exibido"]: c.get("canonico") for c in info.get("colunas", [])} if info else None
 
 
-def keep_first(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys equal each other. A minimum with partial aggregation, so that a key with many rows (null, say) is one row a map task."""
-    row = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
-    first = df.groupBy(*(k.alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min(row).alias("__first"))
-    return first.select("__first.row.*")
-
-
-def stack(old: DataFrame, new: DataFrame, keys: list[str] | None) -> DataFrame:
-    """Old rows before new ones, duplicates gone: by keys, or by the whole row (keys None). Column names must agree."""
-    both = old.withColumn("__src", F.lit(0)).unionByName(new.withColumn("__src", F.lit(1)))
-    columns = [F.col(quoted(c)) for c in old.columns]
-    if keys is None:
-        return both.drop("__src").distinct()
-    if not keys:
-        return both.drop("__src")
-    return keep_first(both, [F.col(quoted(k)) for k in keys], [F.col("__src"), *columns]).drop("__src")
+def stack(old: DataFrame, new: DataFrame, keys: list[str] | None, ordered: bool = False) -> DataFrame:
+    """Old rows before new ones, duplicates gone: by keys, or by the whole row (keys None). Of equal rows the first stays, in the order of the rows
+    (``order.positioned``; either frame may bring its own). Column names must agree. ``ordered``: the result is sorted that way.
+    """
+    columns = [F.col(quoted(c)) for c in old.columns if c != POSITION]
+    # each side has a position of its own type; the other side's is null
+    left = positioned(old).select(*columns, F.lit(0).alias("__src"), F.col(POSITION).alias("__old"))
+    right = positioned(new).select(*columns, F.lit(1).alias("__src"), F.col(POSITION).alias("__new"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    order = [F.col("__src"), F.col("__old"), F.col("__new")]
+    if keys is None and not ordered:
+        return both.select(*columns).distinct()
+    if keys is None or keys:
+        both = keep_first(both, columns if keys is None else [F.col(quoted(k)) for k in keys], order)
+    return (both.orderBy(*order) if ordered else both).select(*columns)
 
 
 @dataclass
@@ -64,8 +64,9 @@ def _meta(columns: Mapping) -> dict:
     return {"incluida": True, "colunas": [{"exibido": k, "canonico": v, "incluida": True} for k, v in columns.items()]}
 
 
-def append(uploaded: dict[str, DataFrame], maps: dict[str, Mapping], new: dict[str, DataFrame], add_columns: bool = False, strict: bool = False) -> Appended:
-    """uploaded: shown names; new: canonical names. New rows take the uploaded layout; unmapped columns are null.
+def append(uploaded: dict[str, DataFrame], maps: dict[str, Mapping], new: dict[str, DataFrame], add_columns: bool = False, strict: bool = False, ordered: bool = False) -> Appended:
+    """uploaded: shown names; new: canonical names. New rows take the uploaded layout; unmapped columns are null. Of rows with one key the first stays: uploaded
+    rows before new ones, each in the order of their source; ``ordered`` sorts the sheets that way.
 
     Duplicates: by the sheet's key where all its columns are shown, by the whole row otherwise. Derived columns, which new rows
     get only afterwards, don't count (``strict`` makes them count), and items and readings of an invoice that is already there are not added again.
@@ -77,14 +78,15 @@ def append(uploaded: dict[str, DataFrame], maps: dict[str, Mapping], new: dict[s
             metas[sheet] = _meta(maps.get(sheet) or dict.fromkeys(uploaded[sheet].columns))
             continue
         if sheet not in uploaded:
-            out[sheet] = new[sheet]
+            out[sheet] = new[sheet].drop(POSITION)
             metas[sheet] = _meta({c: c for c in new[sheet].columns})
             notes.append(f"{sheet}: created")
             continue
-        old, fresh = uploaded[sheet], new[sheet]
-        mapping = dict(maps.get(sheet) or dict.fromkeys(old.columns))
+        old, fresh = positioned(uploaded[sheet]), positioned(new[sheet])
+        layout = [c for c in old.columns if c != POSITION]
+        mapping = dict(maps.get(sheet) or dict.fromkeys(layout))
         shown = {c: s for s, c in mapping.items() if c}
-        laid = fresh.select(*((F.col(quoted(mapping[s])) if mapping.get(s) in fresh.columns else F.lit(None)).cast(old.schema[s].dataType).alias(s) for s in old.columns), *(F.col(quoted(c)) for c in fresh.columns if c not in shown and c not in old.columns))
+        laid = fresh.select(*((F.col(quoted(mapping[s])) if mapping.get(s) in fresh.columns else F.lit(None)).cast(old.schema[s].dataType).alias(s) for s in layout), *(F.col(quoted(c)) for c in fresh.columns if c not in shown and c not in layout))
         extra = [c for c in laid.columns if c not in old.columns]
         if add_columns and sheet in schemas.SHEETS:
             old = old.withColumns({c: F.lit(None).cast(laid.schema[c].dataType) for c in extra})
@@ -99,10 +101,11 @@ def append(uploaded: dict[str, DataFrame], maps: dict[str, Mapping], new: dict[s
             if child and not strict:
                 seen = old.select(F.col(quoted(child)).alias("__seen")).distinct()
                 laid = laid.join(seen, F.col(quoted(child)) == F.col("__seen"), "left_anti")
-            compared = [c for c in old.columns if strict or mapping.get(c) not in schemas.DERIVED_COLUMNS]
-            out[sheet] = stack(old, laid, None if len(compared) == len(old.columns) else compared)
+            every = [c for c in old.columns if c != POSITION]
+            compared = [c for c in every if strict or mapping.get(c) not in schemas.DERIVED_COLUMNS]
+            out[sheet] = stack(old, laid, None if len(compared) == len(every) else compared, ordered)
         else:
-            out[sheet] = stack(old, laid, [shown[k] for k in keys])
+            out[sheet] = stack(old, laid, [shown[k] for k in keys], ordered)
         metas[sheet] = _meta({c: mapping.get(c) for c in out[sheet].columns})
     return Appended(out, {"versao_meta": 1, "abas": metas}, notes)
 

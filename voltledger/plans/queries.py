@@ -17,6 +17,7 @@ from voltledger.functions import text as tx
 from voltledger.operators import append as ap
 from voltledger.operators import derive, glossary, layout_a, profile, reconcile, rules, sheets
 from voltledger.operators.items import READING, SUPPLY, TAX, cut_before, item
+from voltledger.operators.order import POSITION, positioned
 from voltledger.sources.documents import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +228,25 @@ def append_dedup_row(spark, sf):
     return ap.append({"itens_fatura": rows.where(k != 0)}, maps, {"itens_fatura": rows.where(k != 2)}).sheets["itens_fatura"]
 
 
+@query("""WITH u AS (SELECT CAST(l_orderkey AS VARCHAR) id_fatura, l_extendedprice v, 0 s FROM lineitem WHERE l_returnflag <> 'N' UNION ALL SELECT CAST(l_orderkey AS VARCHAR), l_extendedprice + 1, 1 FROM lineitem WHERE l_returnflag = 'N'),
+r AS (SELECT *, row_number() OVER (PARTITION BY id_fatura ORDER BY s, v DESC) n FROM u) SELECT id_fatura, v "Valor Total" FROM r WHERE n = 1""")
+def append_keep_first(spark, sf):
+    """Rows of one key in falling order of their values: the first row stays, not the least one."""
+    rows = table(spark, sf, "lineitem").select(_text("l_orderkey").alias("id_fatura"), F.col("l_extendedprice").alias("v"), (F.col("l_returnflag") == "N").alias("is_new"))
+    old = positioned(rows.where("not is_new").select("id_fatura", F.col("v").alias("Valor Total")), [(-F.col("Valor Total")).alias("place")])
+    new = positioned(rows.where("is_new").select("id_fatura", (F.col("v") + 1).alias("valor_total_r$")), [(-F.col("`valor_total_r$`")).alias("place")])
+    return ap.append({"fatura": old}, {"fatura": {"id_fatura": "id_fatura", "Valor Total": "valor_total_r$"}}, {"fatura": new}).sheets["fatura"]
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER () pos FROM orders), u AS (SELECT CAST(o_custkey AS VARCHAR) id_fatura, o_totalprice v, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END s, pos FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY id_fatura ORDER BY s, pos) n FROM u) SELECT id_fatura, v "valor_total_r$" FROM r WHERE n = 1""")
+def append_file_order(spark, sf):
+    """Of the rows of one key the one that stands first in its file stays."""
+    rows = positioned(table(spark, sf, "orders")).select(_text("o_custkey").alias("id_fatura"), F.col("o_totalprice").alias("valor_total_r$"), "o_orderstatus", POSITION)
+    old, new = (rows.where(w).drop("o_orderstatus") for w in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"))
+    return ap.append({"fatura": old}, {"fatura": {c: c for c in ("id_fatura", "valor_total_r$")}}, {"fatura": new}).sheets["fatura"]
+
+
 @query(_OLD_FIRST + ' SELECT id_fatura "ID DA FATURA", v "Valor Total R$" FROM r WHERE n = 1')
 def append_rename(spark, sf):
     old, new = _halves(spark, sf)
