@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,10 +64,14 @@ def py_column_key(name: str) -> str:
     return re.sub(r"[\s_]+", "", plain).upper()
 
 
+#: Letters that Java takes as part of a number (exponents, suffixes, names, hexadecimals); here they make the text no number.
+_NUMBER_LETTERS = "dDfFiInNaAeExXpP"
+
+
 def br_number(c: Column) -> Column:
-    """Brazilian number text to double: points go, the comma becomes the point, trailing % goes; anything else is null."""
-    plain = F.replace(F.replace(F.rtrim(F.trim(c), F.lit("%")), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return F.when(plain.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*$"), F.trim(plain).try_cast("double"))
+    """Brazilian number text to double: points go, the comma becomes the point, trailing % goes; anything else is null. One pass over the text, no regular expression."""
+    plain = F.translate(F.rtrim(F.trim(c), F.lit("%")), f",{_NUMBER_LETTERS}.", "." + "?" * len(_NUMBER_LETTERS))
+    return plain.try_cast("double")
 
 
 def format_br(c: Column, decimals: int = 2) -> Column:
@@ -113,7 +118,13 @@ def month_from_name(path: Column) -> Column:
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, trimmed; null without a match."""
-    return F.when(text.rlike(pattern), F.regexp_replace(F.regexp_extract(text, pattern, group), r"^\s+|\s+$", ""))
+    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, group), F.lit(" \t\n\x0b\f\r")))
+
+
+def cut_right(line: Column, patterns: tuple[str, ...]) -> Column:
+    """The line without what the patterns match, one after the other. Most lines match none: one pattern made of all of them tells."""
+    bare = [re.sub(r"^\(\?[a-z]*\)", "", p).removesuffix(".*$") for p in patterns]
+    return F.when(line.rlike(f"(?iud){'|'.join(bare)}"), reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, line)).otherwise(line)
 
 
 def last(text: Column, pattern: str, group: int = 1) -> Column:
@@ -132,9 +143,19 @@ def shapes(text: Column, *kinds) -> Column:
     return F.coalesce(*(one(*k) for k in kinds))
 
 
+def _whole_line(pattern: str) -> bool:
+    """Does the pattern match a line as a whole or not at all?"""
+    flags, rest = re.fullmatch(r"(?:\(\?([a-z]*)\))?(.*)", pattern, re.S).groups()
+    return rest.startswith("^") and rest.endswith("$") and not rest.endswith("\\$") and "m" not in (flags or "")
+
+
 def groups(text: Column, pattern: str, n: int) -> Column:
-    """All n groups of the first match at once, null without a match; groups that took no part are empty."""
+    """All n groups of the first match at once, null without a match; groups that took no part are empty.
+
+    A pattern of whole lines runs once: the line becomes its groups, or stays in one piece."""
     row = "\x01".join(f"${i}" for i in range(1, n + 1))
+    if n > 1 and _whole_line(pattern):
+        return let(F.split(F.regexp_replace(text, pattern, row), "\x01", -1), lambda g: F.when(F.size(g) == n, g))
     return F.when(text.rlike(pattern), F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, row), "\x01", -1))
 
 

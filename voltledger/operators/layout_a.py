@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions.text import MONTHS_SHORT, all_groups, blank_to_null, br_date, br_number, file_name, file_stem, first, groups, last, let, month_number, shapes, sorted_letters
+from voltledger.functions.text import MONTHS_SHORT, all_groups, blank_to_null, br_date, br_number, cut_right, file_name, file_stem, first, groups, last, let, month_number, shapes, sorted_letters
 from voltledger.operators.items import FINANCIAL, ITEM, READING, SUPPLY, TAX, cut_before, empty, integer, item, num, rate, upper_name
 
 SUPPLIER = "EQUATORIAL"
@@ -101,6 +101,20 @@ _POST, _H = r"(PONTA|FORA PONTA|RESERVADO|INTERMEDI[ÁA]RIO|[ÚU]NICO)", r"[^\S\
 METER_LAST = rf"(?iudm)^{_QUANTITY}{_H}+{_POST}{_H}+(\d+)(?:{_H}+(\d+))?{_H}+{_M}{_H}+{_M}{_H}+(\d+-?\d*)"
 METER_FIRST = rf"(?iudm)^(\d+-?\d*){_H}+{_QUANTITY}{_H}+{_POST}{_H}+(\d+)(?:{_H}+(\d+))?{_H}+{_M}{_H}+{_M}"
 METER_CUT = rf"(?iudm)^(\d+-?\d*){_H}+{_QUANTITY}{_H}+{_POST}{_H}+(\d+){_H}+{_M}{_H}*$"
+STAMP = r"(?iud)Protocolo[^\n]+?(\d{2}/\d{2}/\d{4})\s+[àa]s\s+(\d{2}:\d{2})"
+ISSUED = rf"(?iusd)DATA DE EMISS[ÃA]O:\s*({_DATE})"
+NOTE_NUMBER, NOTE_SERIES = r"(?iusd)NOTA FISCAL N[º°O\s]+(\d+)", r"(?iusd)NOTA FISCAL[^-]+-\s*S[ÉE]RIE\s+(\d+)"
+ACCESS_KEY, PROTOCOL = r"(?iud)chave de acesso:\s*\n?\s*(\d{44})", r"(?iud)Protocolo de autoriza[çc][ãa]o:\s*(\d+)"
+CFOP = "5258"
+SUPPLY_KIND = r"(?iusd)Tipo de [Ff]ornecimento:\s*(\S+)"
+VOLTS = r"(?iusd)Tens[ãa]o Nominal Disp:\s*(\d+)\s*V"
+VOLTS_LEAST, VOLTS_MOST = r"(?iusd)Lim Min:\s*([\d.,]+)\s*V", r"(?iusd)Lim Max:\s*([\d.,]+)\s*V"
+CONTRACTED, CONTRACTED_GENERATION = r"(?iud)DEMANDA\s*-\s*kW\s+(\d+(?:[.,]\d+)?)", r"(?iud)DEMANDA\s+GERA[ÇC][ÃA]O\s*-\s*kW\s+(\d+(?:[.,]\d+)?)"
+LOSSES = r"(?iusd)PERDAS DE TRANSFORMA[ÇC][ÃA]O\s*/\s*RAMAL:\s*([\d.,]+)\s*%"
+TAX_ID = r"(?iusd)CNPJ/CPF:\s*([\d./-]+)"
+LONE_CAPITAL = r"(?<![A-Za-zÀ-ÿ])[A-ZÀ-Þ](?![A-Za-zÀ-ÿ])"
+POST_HINT = (r"\b(FP|HR|P)\s*-\s*PARC", r"\b(FP|HR|P)\s*\.?\s*$")
+NAME_UNIT, GLUED_UNIT = r"\s*-\s*k(?:Wh|W|VArh|Var)\s*$", r"-?\s*(kWh|kW|kVArh|kVar)\s*$"
 # ------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -132,35 +146,33 @@ def header(text: Column, path: Column, forced: Column) -> dict[str, Column]:
     printed_class = _any(text, CLASS)
     old = printed_class.isNull() & head.isNotNull()
     old_days = old & read.isNull() & (head[3] != "")
-    month = F.coalesce(*(F.concat(first(text, p, 2), F.lit("-"), month_number(first(text, p))) for p in MONTH))
-    stamp = r"(?iud)Protocolo[^\n]+?(\d{2}/\d{2}/\d{4})\s+[àa]s\s+(\d{2}:\d{2})"
+    month = F.coalesce(*(F.concat(F.trim(g[1]), F.lit("-"), month_number(F.trim(g[0]))) for g in (groups(text, p, 2) for p in MONTH)))
+    stamp = groups(text, STAMP, 2)
     cycle, total, p, fp, hr = scee(text)
-    contracted = lambda between: F.coalesce(br_number(first(text, rf"(?iud)DEMANDA{between}\s*-\s*kW\s+(\d+(?:[.,]\d+)?)")), F.lit(0.0))
-    volts = lambda label: first(text, rf"(?iusd){label}:\s*([\d.,]+)\s*V")
     return {
         "id_fatura": F.concat(F.lit(f"{SUPPLIER}_"), number),
         "numero_fatura": number,
         "arquivo_pdf": file_name(path),
         "fornecedor": F.lit(SUPPLIER),
         "id_uc": unit_id(text),
-        "data_emissao": br_date(first(text, rf"(?iusd)DATA DE EMISS[ÃA]O:\s*({_DATE})")),
+        "data_emissao": br_date(first(text, ISSUED)),
         "competencia": month,
         "data_vencimento": br_date(_any(text, DUE)),
         "valor_total_r$": br_number(F.coalesce(*(first(text, x) for x in TOTAL))),
-        "numero_nf": first(text, r"(?iusd)NOTA FISCAL N[º°O\s]+(\d+)"),
-        "serie_nf": F.coalesce(first(text, r"(?iusd)NOTA FISCAL[^-]+-\s*S[ÉE]RIE\s+(\d+)"), F.lit("0")),
-        "cfop": F.lit("5258"),
-        "chave_acesso_nfe": first(text, r"(?iud)chave de acesso:\s*\n?\s*(\d{44})"),
-        "protocolo_autorizacao": first(text, r"(?iud)Protocolo de autoriza[çc][ãa]o:\s*(\d+)"),
-        "data_hora_protocolo": F.concat(br_date(first(text, stamp)), F.lit(" "), first(text, stamp, 2)),
+        "numero_nf": first(text, NOTE_NUMBER),
+        "serie_nf": F.coalesce(first(text, NOTE_SERIES), F.lit("0")),
+        "cfop": F.lit(CFOP),
+        "chave_acesso_nfe": first(text, ACCESS_KEY),
+        "protocolo_autorizacao": first(text, PROTOCOL),
+        "data_hora_protocolo": F.concat(br_date(stamp[0]), F.lit(" "), stamp[1]),
         "classificacao_tarifaria": F.coalesce(printed_class, F.when(old, F.concat(head[0], F.lit(" "), F.trim(head[1])))),
-        "tipo_fornecimento": F.coalesce(first(text, r"(?iusd)Tipo de [Ff]ornecimento:\s*(\S+)"), F.when(old, F.upper(head[2]))),
-        "tensao_nominal_v": first(text, r"(?iusd)Tens[ãa]o Nominal Disp:\s*(\d+)\s*V"),
-        "tensao_min_v": volts("Lim Min"),
-        "tensao_max_v": volts("Lim Max"),
-        "demanda_contratada_kw": contracted(""),
-        "demanda_geracao_contratada_kw": contracted(r"\s+GERA[ÇC][ÃA]O"),
-        "perdas_transformacao_pct": br_number(first(text, r"(?iusd)PERDAS DE TRANSFORMA[ÇC][ÃA]O\s*/\s*RAMAL:\s*([\d.,]+)\s*%")),
+        "tipo_fornecimento": F.coalesce(first(text, SUPPLY_KIND), F.when(old, F.upper(head[2]))),
+        "tensao_nominal_v": first(text, VOLTS),
+        "tensao_min_v": first(text, VOLTS_LEAST),
+        "tensao_max_v": first(text, VOLTS_MOST),
+        "demanda_contratada_kw": F.coalesce(br_number(first(text, CONTRACTED)), F.lit(0.0)),
+        "demanda_geracao_contratada_kw": F.coalesce(br_number(first(text, CONTRACTED_GENERATION)), F.lit(0.0)),
+        "perdas_transformacao_pct": br_number(first(text, LOSSES)),
         "scee_geracao_ciclo": cycle,
         "scee_saldo_kwh_total": total,
         "scee_saldo_kwh_P": p,
@@ -179,7 +191,7 @@ def customer(text: Column) -> dict[str, Column]:
         return let(block, lambda b: shapes(b, (PLACE, 3, lambda g: row(g[0], g[1], g[2])), (PLACE_BARE, 2, lambda g: row(F.lit(None).cast("string"), g[0], g[1]))))
 
     at = F.coalesce(place(F.concat(first(text, DELIVERY), F.lit("\n"))), place(first(text, AFTER_TAX_ID)), place(text))
-    return {"razao_social": _any(text, OWNER), "cnpj": first(text, r"(?iusd)CNPJ/CPF:\s*([\d./-]+)"), "cep": at["cep"], "municipio": at["municipio"], "uf": at["uf"]}
+    return {"razao_social": _any(text, OWNER), "cnpj": first(text, TAX_ID), "cep": at["cep"], "municipio": at["municipio"], "uf": at["uf"]}
 
 
 # ---- Items -------------------------------------------------------------------------------------------------------------------------------
@@ -196,7 +208,7 @@ def unscrambled(name: Column) -> Column:
     count = lambda n, c: F.length(n) - F.length(F.replace(n, F.lit(c), F.lit("")))
 
     def contained(n: Column) -> Column:
-        hint = F.coalesce(first(n, r"\b(FP|HR|P)\s*-\s*PARC"), first(n, r"\b(FP|HR|P)\s*\.?\s*$"))
+        hint = F.coalesce(*(first(n, p) for p in POST_HINT))
         found = F.struct(hint.alias("hint"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("size"), F.array(*(count(n, c) for c in letters)).alias("has"))
 
         def holds(x: Column, known: str) -> Column:
@@ -209,13 +221,13 @@ def unscrambled(name: Column) -> Column:
         longest = sorted(OLD_NAMES, key=lambda k: -len(k.replace(" ", "")))
         return let(found, lambda x: F.coalesce(*(holds(x, k) for k in longest)))
 
-    scrambled = lambda n: F.size(F.regexp_extract_all(n, F.lit(r"(?<![A-Za-zÀ-ÿ])[A-ZÀ-Þ](?![A-Za-zÀ-ÿ])"), F.lit(0))) >= 3
+    scrambled = lambda n: F.size(F.regexp_extract_all(n, F.lit(LONE_CAPITAL), F.lit(0))) >= 3
     return let(name, lambda n: F.coalesce(F.try_element_at(exact, sorted_letters(n)), F.when(scrambled(n), contained(n)), n))
 
 
 def old_name(name: Column) -> Column:
     """Name of an old-layout item: without unit and merged meter words, unscrambled."""
-    bare = F.upper(F.trim(F.regexp_replace(F.trim(name), r"\s*-\s*k(?:Wh|W|VArh|Var)\s*$", "")))
+    bare = F.upper(F.trim(F.regexp_replace(F.trim(name), NAME_UNIT, "")))
     return unscrambled(let(bare, lambda b: F.coalesce(blank_to_null(F.regexp_replace(b, _METER_PREFIX, "")), b)))
 
 
@@ -224,7 +236,7 @@ def financial_of(line: Column) -> Column:
     ok = lambda g, value: (upper_name(g[0]) != "") & ~g[0].rlike(OLD_TAX_WORD) & value.isNotNull()
 
     def counted(g: Column) -> Column:
-        unit = first(g[0], r"-?\s*(kWh|kW|kVArh|kVar)\s*$")
+        unit = first(g[0], GLUED_UNIT)
         name, kind = F.when(unit.isNull(), upper_name(g[0])).otherwise(old_name(g[0])), F.when(unit.isNull(), FINANCIAL).otherwise(SUPPLY)
         return F.when(ok(g, num(g, 4)), item(name, kind, unit, num(g, 2), num(g, 3), num(g, 4)))
 
@@ -256,7 +268,7 @@ def old_items(text: Column) -> Column:
 def supply_items(text: Column, sectioned: Column) -> Column:
     """Items of the supply block; where the text has no section of financial items they stand in the same block."""
     end = F.when(sectioned, first(text, r"(?iusd)FORNECIMENTO[^\n]*\n(.+?)ITENS FINANCEIROS")).otherwise(first(text, r"(?iusdm)FORNECIMENTO[^\n]*\n(.+?)^\s*TOTAL\b"))
-    clean = F.transform(_lines(end), lambda x: reduce(lambda c, p: F.regexp_replace(c, p, ""), RIGHT_NEIGHBOURS, x))
+    clean = F.transform(_lines(end), lambda x: cut_right(x, RIGHT_NEIGHBOURS))
 
     name = lambda g: F.upper(F.trim(g[0]))
     full = lambda g: item(F.regexp_replace(name(g), _METER_PREFIX, ""), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), num(g, 9), num(g, 10))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltledger.functions import repair
-from voltledger.functions.text import all_groups, br_date, br_number, date_days, file_name, file_stem, first, groups, last, let, month_from_name, shapes
+from voltledger.functions.text import all_groups, br_date, br_number, cut_right, date_days, file_name, file_stem, first, groups, last, let, month_from_name, shapes
 from voltledger.operators.items import FINANCIAL, READING, SUPPLY, TAX, integer, item, num, rate
 
 SUPPLIER = "CHESP"
@@ -156,7 +156,7 @@ def table_items(lines: Column, in_block: Column) -> Column:
         )
         return F.coalesce(fixed, F.when(in_block, shapes(line, (COUNTED_ITEM, 4, lambda g: item(_name(g[0]), FINANCIAL, None, num(g, 2), num(g, 3), num(g, 4))))))
 
-    clean = F.transform(lines, lambda x: F.trim(reduce(lambda c, p: F.regexp_replace(c, p, ""), RIGHT_NEIGHBOURS, x)))
+    clean = F.transform(lines, lambda x: F.trim(cut_right(x, RIGHT_NEIGHBOURS)))
     return F.filter(F.transform(F.filter(clean, lambda x: (x != "") & ~x.rlike(SKIP_LINE)), of_line), lambda x: x.isNotNull())
 
 

@@ -38,7 +38,7 @@ def extract(texts: DataFrame, suppliers: list[str], held: list[DataFrame] | None
     """(one row per invoice id, error rows) of texts(path, fornecedor, text). ``held`` gets the frame that was cached, if any: unpersist it when the results are written."""
     parts = []
     for n, s in enumerate(dict.fromkeys(suppliers)):
-        found = EXTRACTORS[s](texts.where(F.col("fornecedor") == s).select("path", "text"))
+        found = EXTRACTORS[s](documents.spread(texts.where(F.col("fornecedor") == s).select("path", "text")))
         parts.append(found.withColumn("job", F.lit(n)))
     every = _once(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     if held is not None:

@@ -349,7 +349,7 @@ def item_line_parse(spark, sf):
     name = F.concat(F.lit("Energia "), F.translate(_text("l_partkey"), "0123456789", _LETTERS))
     row = F.concat_ws(" ", name, F.lit("kWh"), _br("l_quantity"), _br("l_discount"), _br("l_extendedprice"), _br("l_tax"), _br("l_extendedprice"), F.concat(_br("l_linenumber"), F.lit("%")), _br("l_tax"), _br("l_discount"))
     docs = line.groupBy(_text("l_orderkey").alias("id_fatura")).agg(F.concat(F.lit("FORNECIMENTO\n"), F.array_join(F.collect_list(row), "\n"), F.lit("\nITENS FINANCEIROS\nTOTAL")).alias("text"))
-    found = docs.select("id_fatura", F.inline(layout_a.supply_items(F.col("text"), F.lit(True))))
+    found = spread(docs).select("id_fatura", F.inline(layout_a.supply_items(F.col("text"), F.lit(True))))
     return found.select("id_fatura", "item", "tipo", "unidade", "quantidade", "valor", "pis_cofins", "aliquota")
 
 

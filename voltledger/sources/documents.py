@@ -34,10 +34,17 @@ def files(spark: SparkSession, jobs: list[Job]) -> DataFrame:
     return reduce(DataFrame.unionByName, scans)
 
 
+#: Texts that Spark estimates below so many bytes a core are dealt over all cores.
+SPREAD_BYTES = 32 << 20
+
+
 def spread(docs: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than the cluster has cores is dealt over all of them: extraction costs much more than moving its texts."""
+    """A few texts in a few partitions are dealt over all cores: extraction costs much more than moving them. Large tables stay as they are read.
+
+    It goes by Spark's estimate of the plan's size, so nothing runs."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * SPREAD_BYTES else docs
 
 
 def count(spark: SparkSession, jobs: list[Job]) -> int:
