@@ -12,6 +12,7 @@ from voltledger import schemas
 from voltledger.functions import text as tx
 from voltledger.operators import append as ap
 from voltledger.operators import derive, glossary, layout_a, layout_b, profile, rules, sheets
+from voltledger.operators.containment import longest_contained
 from voltledger.plans.queries import SQL_INVOICES, SQL_READINGS, _br, _rule, _text, invoices, query, readings, table
 from voltledger.schemas import quoted
 from voltledger.sources.documents import spread
@@ -359,3 +360,15 @@ def run_counters(spark, sf):
     text = F.concat(F.lit("10605788 NOTA FISCAL Nº 1\nMAR/2024 09/03/2024 R$***"), _br("o_totalprice"), F.lit("\nFORNECIMENTO\n"), body, F.lit("\nITENS FINANCEIROS\nTOTAL\n"))
     docs = table(spark, sf, "orders").select(F.concat(F.lit("/in/"), (F.col("o_orderkey") + 2000000000000).cast("string"), F.lit(".pdf")).alias("path"), F.lit(layout_a.SUPPLIER).alias("fornecedor"), text.alias("text"))
     return flows.process_texts(docs, [layout_a.SUPPLIER]).counters()
+
+
+@query("""WITH d AS (SELECT DISTINCT p_name n, replace(p_name, ' ', '') b FROM part), t AS (SELECT c_custkey, lower(reverse(c_mktsegment)) || ' ' || reverse(coalesce(p_name, '')) x FROM customer LEFT JOIN part ON p_partkey = c_custkey),
+h AS (SELECT DISTINCT x, replace(x, ' ', '') y FROM t), m AS (SELECT x, n, row_number() OVER (PARTITION BY x ORDER BY length(b) DESC, n) k FROM h JOIN d ON length(b) * 2 >= length(y) AND length(b) <= length(y)
+AND list_bool_and(list_transform(string_split(b, ''), lambda c: length(b) - length(replace(b, c, '')) <= length(y) - length(replace(y, c, '')))))
+SELECT c_custkey, t.x AS "text", n item FROM t LEFT JOIN m ON m.x = t.x AND k = 1""")
+def contained_names(spark, sf):
+    """Part names as the dictionary: the longest name whose letters a scrambled text holds."""
+    c, p = table(spark, sf, "customer"), table(spark, sf, "part")
+    text = F.concat(F.lower(F.reverse("c_mktsegment")), F.lit(" "), F.reverse(F.coalesce("p_name", F.lit(""))))
+    texts = c.join(p, c.c_custkey == p.p_partkey, "left").select("c_custkey", text.alias("text"))
+    return longest_contained(texts, "text", p, "p_name", "item")
