@@ -14,37 +14,62 @@ from voltledger.schemas import conform, quoted
 METER_COLUMNS = ("medidor", "id_uc_atual", "id_uc_sem_format", "id_uc_atual_medidor", "id_uc_atual_medidor_sem_format")
 
 
+def value_counts(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """key, out, n: how often each value that is not null occurs, compared as text. Counts of parts can be added."""
+    return df.where(F.col(quoted(value)).isNotNull()).groupBy(key, F.col(quoted(value)).cast("string").alias(out)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def most_frequent(counts: DataFrame, key: str, out: str) -> DataFrame:
+    """key, out: the value with the highest count, the smallest of equals."""
+    return counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(out))).alias("__m")).select(key, F.col(f"__m.{out}").alias(out))
+
+
 def mode(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """key, out: the most frequent value that is not null, the smallest of equals (compared as text).
 
     Counts are partial per map task; the second aggregate sees one row per key and value.
     """
-    counts = df.where(F.col(quoted(value)).isNotNull()).groupBy(key, F.col(quoted(value)).cast("string").alias(out)).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.groupBy(key).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(out))).alias("__m")).select(key, F.col(f"__m.{out}").alias(out))
+    return most_frequent(value_counts(df, key, value, out), key, out)
 
 
-def first_and_last(invoices: DataFrame) -> DataFrame:
-    """id_uc, primeira/ultima_competencia, primeira/ultima_fatura. A null month sorts after all months; ties go by id_fatura."""
+def unit_ends(invoices: DataFrame) -> DataFrame:
+    """id_uc, a, b: the first and the last invoice of a unit. A null month sorts after all months; ties go by id_fatura. Ends of parts can be merged."""
     at = F.struct(F.coalesce("competencia", F.lit("None")).alias("k"), F.col("id_fatura").alias("f"), F.col("competencia").alias("m"))
-    ends = invoices.where("id_uc is not null").groupBy("id_uc").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    return invoices.where("id_uc is not null").groupBy("id_uc").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+
+
+def ends_columns(ends: DataFrame) -> DataFrame:
     return ends.select("id_uc", F.col("a.m").alias("primeira_competencia"), F.col("b.m").alias("ultima_competencia"), F.col("a.f").alias("primeira_fatura"), F.col("b.f").alias("ultima_fatura"))
 
 
-def current_unit(readings: DataFrame) -> DataFrame:
-    """medidor, uc: the unit of a meter's latest month; placeholder units don't count."""
+def first_and_last(invoices: DataFrame) -> DataFrame:
+    """id_uc, primeira/ultima_competencia, primeira/ultima_fatura."""
+    return ends_columns(unit_ends(invoices))
+
+
+def meter_latest(readings: DataFrame) -> DataFrame:
+    """medidor, m: the latest reading of a meter, by month and invoice; placeholder units don't count. Parts can be merged."""
     known = readings.where("Medidor is not null and id_uc is not null and not startswith(id_uc, 'NULO_')")
     at = F.struct(F.coalesce("competencia", F.lit("None")).alias("k"), F.col("id_fatura").alias("f"), F.col("id_uc").alias("u"))
-    return known.groupBy(F.col("Medidor").cast("string").alias("medidor")).agg(F.max(at).alias("m")).select("medidor", F.col("m.u").alias("uc"))
+    return known.groupBy(F.col("Medidor").cast("string").alias("medidor")).agg(F.max(at).alias("m"))
+
+
+def current_unit(readings: DataFrame) -> DataFrame:
+    """medidor, uc: the unit of a meter's latest month."""
+    return meter_latest(readings).select("medidor", F.col("m.u").alias("uc"))
 
 
 def _replace(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({k: v for k, v in columns.items()})
 
 
-def with_meters(sheets: Sheets) -> Sheets:
-    """medidor of invoices; id_uc_atual of all sheets but the registry, which gets three columns."""
+def with_meters(sheets: Sheets, facts: dict[str, DataFrame] | None = None) -> Sheets:
+    """medidor of invoices; id_uc_atual of all sheets but the registry, which gets three columns.
+
+    ``facts``: of_invoice (id_fatura, __meter), of_unit (id_uc, __meter) and latest (medidor, uc), where they are not to be taken from the readings here."""
     read = sheets["medicao"]
-    of_invoice, of_unit, latest = mode(read, "id_fatura", "Medidor", "__meter"), mode(read, "id_uc", "Medidor", "__meter"), current_unit(read)
+    facts = facts or {"of_invoice": mode(read, "id_fatura", "Medidor", "__meter"), "of_unit": mode(read, "id_uc", "Medidor", "__meter"), "latest": current_unit(read)}
+    of_invoice, of_unit, latest = facts["of_invoice"], facts["of_unit"], facts["latest"]
     latest = latest.select(F.col("medidor").alias("__key"), F.col("uc").alias("__uc"))
     out = {}
     for name, df in sheets.items():
@@ -102,17 +127,17 @@ def correct_readings(readings: DataFrame, corrections: DataFrame) -> DataFrame:
     return joined.withColumns(new).select(*map(quoted, readings.columns))
 
 
-def enrich(sheets: Sheets, equivalences: DataFrame | None = None, one_row_per_uc: bool = False) -> Sheets:
+def enrich(sheets: Sheets, equivalences: DataFrame | None = None, one_row_per_uc: bool = False, facts: dict[str, DataFrame] | None = None) -> Sheets:
     """All derived columns, canonical order, and the registry without equal rows.
 
-    The registry keeps several rows of a unit if they differ, unless ``one_row_per_uc``.
+    The registry keeps several rows of a unit if they differ, unless ``one_row_per_uc``. ``facts``: as in ``with_meters``, and ends (as from ``unit_ends``).
     """
     out = dict(sheets)
     if {"unidade_consumidora", "fatura"} <= set(out):
         registry = out["unidade_consumidora"].drop("primeira_competencia", "ultima_competencia", "primeira_fatura", "ultima_fatura")
-        out["unidade_consumidora"] = registry.join(first_and_last(out["fatura"]), "id_uc", "left")
+        out["unidade_consumidora"] = registry.join(ends_columns(facts["ends"] if facts else unit_ends(out["fatura"])), "id_uc", "left")
     if "medicao" in out:
-        out = with_meters(out)
+        out = with_meters(out, facts)
     if "itens_fatura" in out:
         out["itens_fatura"] = normalised_items(out["itens_fatura"].drop("item_normalizado"), equivalences)
     for name in ("fatura", "fatura_resumida"):

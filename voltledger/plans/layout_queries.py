@@ -5,17 +5,21 @@ Documents are written from the driver's tables, so that the DuckDB SQL can say w
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltledger import schemas
 from voltledger.functions import text as tx
 from voltledger.operators import append as ap
-from voltledger.operators import derive, glossary, layout_a, layout_b, profile, rules, sheets
+from voltledger.operators import derive, glossary, incremental, layout_a, layout_b, profile, rules, sheets
 from voltledger.operators.containment import longest_contained
-from voltledger.plans.queries import SQL_INVOICES, SQL_READINGS, _br, _rule, _text, invoices, query, readings, table
+from voltledger.plans.queries import ORACLE, SQL_INVOICES, SQL_READINGS, _br, _halves, _rule, _text, invoices, query, readings, table
 from voltledger.schemas import quoted
 from voltledger.sources.documents import spread
+from voltledger.sources.ledger import Ledger
+from voltledger.streaming.ingest import scratch
 
 
 def _day(column: str, n: int):
@@ -372,3 +376,35 @@ def contained_names(spark, sf):
     text = F.concat(F.lower(F.reverse("c_mktsegment")), F.lit(" "), F.reverse(F.coalesce("p_name", F.lit(""))))
     texts = c.join(p, c.c_custkey == p.p_partkey, "left").select("c_custkey", text.alias("text"))
     return longest_contained(texts, "text", p, "p_name", "item")
+
+
+# ---- Appends that read and write only what new rows touch --------------------------------------------------------------------------------
+
+
+@query(ORACLE["append_dedup_key"])
+def append_ledger(spark, sf):
+    """The append of ``append_dedup_key`` onto a ledger: only keys of touched buckets are read, and files are added."""
+    old, new = (df.toDF("id_fatura", "valor_total_r$") for df in _halves(spark, sf))
+    book = Ledger(spark, f"{scratch(spark)}/ledger-{uuid4().hex}")
+    book.write({"fatura": old})
+    book.append({"fatura": new})
+    return book.read()[0]["fatura"].withColumnRenamed("valor_total_r$", "Valor Total")
+
+
+def _refreshed(spark, sf):
+    """Two thirds of the invoices with derived columns and facts; the others are appended."""
+    inv = invoices(spark, sf).withColumn("tipo_fornecimento", F.lit("x"))
+    every = {"fatura": inv, "medicao": readings(spark, sf), "unidade_consumidora": table(spark, sf, "customer").select(_text("c_custkey").alias("id_uc"))}
+    part = lambda is_new: {n: df.where((F.col("id_uc" if n == "unidade_consumidora" else "id_fatura").try_cast("bigint") % 3 == 2) == is_new) for n, df in every.items()}
+    old, new = part(False), part(True)
+    return incremental.refreshed(derive.enrich(old), new, incremental.facts(old), incremental.facts(new))[0]
+
+
+@query(ORACLE["uc_first_last"])
+def incremental_units(spark, sf):
+    return _refreshed(spark, sf)["unidade_consumidora"].select("id_uc", "primeira_competencia", "ultima_competencia", "primeira_fatura", "ultima_fatura")
+
+
+@query(ORACLE["uc_current_id"])
+def incremental_meters(spark, sf):
+    return _refreshed(spark, sf)["fatura"].select("id_fatura", "medidor", "id_uc_atual")

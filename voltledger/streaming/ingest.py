@@ -64,11 +64,13 @@ def append_stream(stream: DataFrame, supplier: str, path: str, checkpoint: str,
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse; a temporary one if all of Spark is this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one if it is unset and all of Spark is this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        found = f"file://{tempfile.mkdtemp(prefix='stream')}"
-    return found or spark.conf.get("spark.sql.warehouse.dir")
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is unset: a folder that driver and executors share is needed")
+    return f"file://{tempfile.mkdtemp(prefix='stream')}"
 
 
 def windowed(events: DataFrame, time: str, key: str, length: str, late: str, **aggregates: Callable[[], object]) -> DataFrame:
