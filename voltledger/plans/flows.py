@@ -21,17 +21,39 @@ EXTRACTORS = {
 }
 
 
+@dataclass
+class Parsed:
+    """What extraction made of the texts, before duplicates go: the frame that is parsed once, and files that could not be read."""
+
+    extracted: DataFrame
+    failed: DataFrame | None = None
+
+    def counters(self) -> DataFrame:
+        """counter, n: texts in all, invoices, error rows. One job over the frame that is parsed once, beside whatever reads it; no sheet is computed for it."""
+        good, bad = sheets.readable(self.extracted)
+        seen = [good.select("path", "id_fatura", F.lit(False).alias("error")), bad.select("path", "id_fatura", F.lit(True).alias("error"))]
+        if self.failed is not None:
+            seen.append(self.failed.select("path", "id_fatura", F.lit(True).alias("error")))
+        named = F.when(~F.col("error"), F.col("id_fatura"))
+        nameless = F.count_if(~F.col("error") & F.col("id_fatura").isNull())
+        row = reduce(DataFrame.unionByName, seen).agg(F.count_distinct("path").alias("total"), (F.count_distinct(named) + nameless).alias("processed"), F.count_if("error").alias("errors"))
+        return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in ("total", "processed", "errors")))))
+
+
 @dataclass
 class Processed:
     sheets: dict[str, DataFrame]
     errors: DataFrame
     report: list[rules.Applied]
-    texts: DataFrame | None = None
+    parsed: Parsed | None = None
 
     def counters(self) -> DataFrame:
         """counter, n: texts in all, invoices, error rows."""
-        counts = (("total", self.texts), ("processed", self.sheets["fatura"]), ("errors", self.errors))
-        return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n") for name, df in counts))
+        return self.parsed.counters()
+
+    def release(self) -> None:
+        """Gives back what the parsed texts hold in memory, when the sheets have been written."""
+        self.parsed.extracted.unpersist()
 
 
 def extract(texts: DataFrame, suppliers: list[str], held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -65,18 +87,19 @@ def base_sheets(extracted: DataFrame) -> dict[str, DataFrame]:
 
 def process_texts(texts: DataFrame, suppliers: list[str], equivalences: DataFrame | None = None, user_rules: list[rules.Rule] = (), link: tuple[str, str | None] = ("search", None)) -> Processed:
     """Texts to enriched sheets: extract, correct, derive, enrich, rules."""
-    extracted, errors = extract(texts, suppliers)
+    held: list[DataFrame] = []
+    extracted, errors = extract(texts, suppliers, held)
     found = sheets.with_derived(base_sheets(extracted))
     found["fatura"] = found["fatura"].withColumn("link_pdf", file_link(F.col("arquivo_pdf"), *link))
     done, report = rules.apply(derive.enrich(found, equivalences), list(user_rules))
-    return Processed(done, errors, report, texts.select("path"))
+    return Processed(done, errors, report, Parsed(held[0]))
 
 
 def process_folders(spark: SparkSession, jobs: list[Job], decode: documents.Decoder = documents.text_pages, recognise: documents.Decoder | None = None, **options) -> Processed:
     """Folders of documents to enriched sheets; files that can't be read are rows of ``errors``."""
     texts, failed = documents.texts(spark, jobs, decode, recognise)
     done = process_texts(texts, [j.fornecedor for j in jobs], **options)
-    return Processed(done.sheets, done.errors.unionByName(failed), done.report, done.texts.unionByName(failed.select("path")))
+    return Processed(done.sheets, done.errors.unionByName(failed), done.report, Parsed(done.parsed.extracted, failed))
 
 
 def append_to(uploaded: dict[str, DataFrame], meta: dict | None, new: dict[str, DataFrame], equivalences: DataFrame | None = None, user_rules: list[rules.Rule] = (), add_columns: bool = False, keep_removed: bool = False, strict: bool = False) -> tuple[dict[str, DataFrame], dict, list[rules.Applied], list[str]]:
