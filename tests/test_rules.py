@@ -87,3 +87,46 @@ def test_target_name():
     from voltledger.plans.flows import default_target
 
     assert default_target("/a/b.xlsx") == "/a/b_hardcodes.xlsx" and default_target("/a/b") == "/a/b_hardcodes"
+
+
+def test_layers_equal_one_rule_after_the_other(spark):
+    """Rules that read what others write, write the same column, change its type, and share conditions."""
+    import random
+
+    rnd = random.Random(3)
+    t = spark.createDataFrame([(i, i % 5, float(i % 3), rnd.choice(["a", "B", "ç", None, " ", "7"])) for i in range(40)], "id int, x int, y double, s string").repartition(2)
+    values = {"x": ["0", "1", "4", "2,5", "t"], "y": ["0", "1", "9", "u"], "s": ["A", "b", "C", "7", "", "z"]}
+    ops = [o for o in rules.OPERATORS]
+    condition = lambda: (c := rnd.choice("xys"), rnd.choice(ops), rnd.choice(["1", "a;b;7", "C", "0;2", "3"]))
+    some = [rule("t", [(rnd.choice(["E", "OU"]), [condition() for _ in range(rnd.randint(1, 3))]) for _ in range(rnd.randint(1, 2))], [(c, rnd.choice(values[c])) for c in rnd.sample("xys", rnd.randint(1, 2))]) for _ in range(14)]
+    one, counts = t, []
+    for r in some:
+        done, report = rules.apply({"t": one}, [r])
+        counts.append(report[0].rows.first().rows)
+        one = done["t"].checkpoint()
+    every, report = rules.apply({"t": t}, some)
+    assert every["t"].dtypes == one.dtypes and sorted(map(tuple, every["t"].collect()), key=str) == sorted(map(tuple, one.collect()), key=str)
+    assert [r.changed for r in rules.report_rows(spark, report).collect()] == counts
+
+
+def test_three_hundred_rules_are_one_shallow_plan(spark):
+    t = spark.range(1000).selectExpr("cast(id % 300 as int) a", "cast(0 as int) b", "'-' c")
+    many = [rule("t", [("E", [("a", "igual", str(i))])], [("b", str(i + 1)), ("c", f"v{i % 7}")], nome=f"r{i}") for i in range(300)]
+    last = rule("t", [("E", [("c", "igual", "v3")])], [("c", "three")], nome="last")
+    done, report = rules.apply({"t": t}, [*many, last])
+    plan = done["t"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") <= 8
+    got = {(r.a, r.b, r.c) for r in done["t"].collect()}
+    assert got == {(i, i + 1, "three" if i % 7 == 3 else f"v{i % 7}") for i in range(300)}
+    changed = {r.rule: r.changed for r in rules.report_rows(spark, report).collect()}
+    assert changed["r0"] == 4 and changed["r299"] == 3 and changed["last"] == sum(1 for i in range(1000) if i % 300 % 7 == 3)
+
+
+def test_literals_are_read_as_cells_are(spark):
+    from pyspark.sql import functions as F
+
+    from voltledger.functions import text as tx
+
+    some = ["", " ", "1", "+1,50", "1.234,5", "1e3", "-2E-1", "1 000", "Ção  ß\tx ", "ǅ é", "٣", "nan", "1d", "\n a\r\n"]
+    rows = spark.createDataFrame([(s,) for s in some], "s string").select("s", tx.text_key(F.col("s")).alias("k"), tx.loose_number(F.col("s")).alias("n")).collect()
+    assert [(r.k, r.n) for r in rows] == [(tx.py_text_key(s), tx.py_loose_number(s)) for s in some]

@@ -68,6 +68,20 @@ def py_column_key(name: str) -> str:
 _NUMBER_LETTERS = "dDfFiInNaAeExXpP"
 
 
+def py_text_key(text: str) -> str:
+    """``text_key`` of a literal."""
+    bare = "".join(c for c in text.translate(str.maketrans(_MARKED, _PLAIN)) if unicodedata.category(c) != "Mn")
+    return re.sub(r"\s+", " ", bare, flags=re.ASCII).strip(" ").upper()
+
+
+def py_loose_number(text: str) -> float | None:
+    """``loose_number`` of a literal."""
+    s = re.sub(r"\s+", "", text, flags=re.ASCII)
+    if re.fullmatch(r"[+-]?\d+([.,]\d+)?", s, re.ASCII):
+        return float(s.replace(",", "."))
+    return float(s) if re.fullmatch(r"[+-]?\d+(\.\d+)?[eE][+-]?\d+", s, re.ASCII) else None
+
+
 def br_number(c: Column) -> Column:
     """Brazilian number text to double: points go, the comma becomes the point, trailing % goes; anything else is null. One pass over the text, no regular expression."""
     plain = F.translate(F.rtrim(F.trim(c), F.lit("%")), f",{_NUMBER_LETTERS}.", "." + "?" * len(_NUMBER_LETTERS))

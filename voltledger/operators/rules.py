@@ -2,6 +2,10 @@
 
 Rules run in order, later ones see earlier effects; the mask of a rule is computed once, before its actions. Groups are joined by AND; inside a group
 conditions fold from the left with the group's link. Predicates are two-valued: a null never makes a mask null.
+
+Hundreds of rules make one plan: rules of a sheet are gathered into layers, as long as no rule reads a column that an earlier rule of its layer
+writes. A layer is three projections: each column that is tested as a number and as a key, once; each different condition, once; the masks and one choice
+of value for each column that is written (the last rule whose mask holds). The depth of the plan follows the chain of effects, not the number of rules.
 """
 
 from __future__ import annotations
@@ -15,14 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltledger.functions.text import is_blank, loose_number, py_column_key, text_key
+from voltledger.functions.text import is_blank, loose_number, py_column_key, py_loose_number, py_text_key, text_key
 from voltledger.schemas import quoted
 
 # Operators and links of the rule format.
 OPERATORS = ("igual", "diferente", "esta_em", "nao_esta_em", "contem", "nao_contem", "maior_que", "menor_que", "vazio", "nao_vazio")
 LINKS = ("E", "OU")
-#: After this many rules on one sheet the plan is cut by a reliable checkpoint, if the session has a checkpoint folder.
-CUT_EVERY = 50
 
 
 @dataclass(frozen=True)
@@ -72,30 +74,45 @@ def dump(rules: list[Rule]) -> str:
     return json.dumps([asdict(r) for r in rules], ensure_ascii=False, indent=1)
 
 
-def equal(cell: Column, value: Column) -> Column:
+@dataclass(frozen=True)
+class Cell:
+    """A column as conditions see it: as it is, as a number and as a text key."""
+
+    raw: Column
+    number: Column
+    key: Column
+
+    @staticmethod
+    def of(c: Column) -> Cell:
+        return Cell(c, loose_number(c), text_key(c.cast("string")))
+
+
+def equal(cell: Column | Cell, value: str) -> Column:
     """Both numbers: equal within 1e-9; else equal text keys. A null equals nothing."""
-    a, b = loose_number(cell), loose_number(value)
-    same = F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) < 1e-9).otherwise(text_key(cell.cast("string")) == text_key(value.cast("string")))
+    cell, number = cell if isinstance(cell, Cell) else Cell.of(cell), py_loose_number(value)
+    same = cell.key == py_text_key(value)
+    if number is not None:
+        same = F.when(cell.number.isNotNull(), F.abs(cell.number - number) < 1e-9).otherwise(same)
     return F.coalesce(same, F.lit(False))
 
 
-def test(cell: Column, operator: str, value: str) -> Column:
-    v = F.lit(value)
-    options = [F.lit(x.strip()) for x in value.split(";") if x.strip()]
-    inside = reduce(lambda a, b: a | b, (equal(cell, x) for x in options), F.lit(False))
-    has = F.contains(F.coalesce(text_key(cell.cast("string")), F.lit("")), text_key(v))
-    over = lambda c: F.coalesce(c, F.lit(False))
+def test(cell: Column | Cell, operator: str, value: str) -> Column:
+    """The literal is taken apart here, not in the plan."""
+    cell = cell if isinstance(cell, Cell) else Cell.of(cell)
+    inside = lambda: reduce(lambda a, b: a | b, (equal(cell, x.strip()) for x in value.split(";") if x.strip()), F.lit(False))
+    has = lambda: F.contains(F.coalesce(cell.key, F.lit("")), F.lit(py_text_key(value)))
+    over = lambda sign: F.coalesce(cell.number * sign > py_loose_number(value) * sign, F.lit(False)) if py_loose_number(value) is not None else F.lit(False)
     return {
-        "igual": lambda: equal(cell, v),
-        "diferente": lambda: ~equal(cell, v),
-        "esta_em": lambda: inside,
-        "nao_esta_em": lambda: ~inside,
-        "contem": lambda: has,
-        "nao_contem": lambda: ~has,
-        "maior_que": lambda: over(loose_number(cell) > loose_number(v)),
-        "menor_que": lambda: over(loose_number(cell) < loose_number(v)),
-        "vazio": lambda: is_blank(cell),
-        "nao_vazio": lambda: ~is_blank(cell),
+        "igual": lambda: equal(cell, value),
+        "diferente": lambda: ~equal(cell, value),
+        "esta_em": inside,
+        "nao_esta_em": lambda: ~inside(),
+        "contem": has,
+        "nao_contem": lambda: ~has(),
+        "maior_que": lambda: over(1),
+        "menor_que": lambda: over(-1),
+        "vazio": lambda: is_blank(cell.raw),
+        "nao_vazio": lambda: ~is_blank(cell.raw),
     }[operator]()
 
 
@@ -106,22 +123,21 @@ def resolve(name: str, names: list[str]) -> str | None:
     return next((n for n in names if py_column_key(n) == py_column_key(name)), None)
 
 
-def mask(rule: Rule, df: DataFrame) -> Column | str:
-    """The rule's mask on df, or why it has none."""
+def conditions(rule: Rule, columns: list[str]) -> list[tuple[str, list[tuple[str, str, str]]]] | str:
+    """The rule's groups as (link, conditions), with resolved columns; or why it has no mask."""
     groups = []
     for g in rule.grupos:
-        folded = None
+        found = []
         for c in g.condicoes:
             if not c.coluna.strip():
                 continue
-            column = resolve(c.coluna, df.columns)
+            column = resolve(c.coluna, columns)
             if column is None:
                 return f"column '{c.coluna}' not found"
-            one = test(F.col(quoted(column)), c.operador, c.valor)
-            folded = one if folded is None else (folded | one if g.operador == "OU" else folded & one)
-        if folded is not None:
-            groups.append(folded)
-    return reduce(lambda a, b: a & b, groups) if groups else "no conditions"
+            found.append((column, c.operador, c.valor))
+        if found:
+            groups.append((g.operador, found))
+    return groups or "no conditions"
 
 
 def typed(value: str):
@@ -138,16 +154,52 @@ def typed(value: str):
         return value
 
 
-def assign(df: DataFrame, column: str, value, where: Column) -> DataFrame:
-    """The value where the mask holds. A text into a number column makes the column text, decided by the literal and the schema alone."""
-    kind = df.schema[column].dataType
-    numeric = isinstance(kind, T.NumericType)
-    if isinstance(value, str) and numeric:
-        kind = T.StringType()
-    elif isinstance(value, float) and isinstance(kind, T.IntegralType):
-        kind = T.DoubleType()
-    literal = F.lit(value).cast(kind)
-    return df.withColumn(column, F.when(where, literal).otherwise(F.col(quoted(column)).cast(kind)))
+def _assigned(kind: T.DataType, value) -> T.DataType:
+    """The type of a column after an assignment: a text into a number column makes it text, decided by the literal and the schema alone."""
+    if isinstance(value, str) and isinstance(kind, T.NumericType):
+        return T.StringType()
+    return T.DoubleType() if isinstance(value, float) and isinstance(kind, T.IntegralType) else kind
+
+
+def _choice(column: str, kind: T.DataType, steps: list[tuple[str, object]]) -> Column:
+    """The column after assignments (mask, value) in order. The last one whose mask holds counts; a value follows the later changes of type."""
+    kinds = [kind]
+    for _, value in steps:
+        kinds.append(_assigned(kinds[-1], value))
+    follow = lambda c, since: reduce(lambda x, t: x.cast(t), [t for before, t in zip(kinds[since:], kinds[since + 1 :], strict=False) if t != before], c)
+    out = None
+    for n in range(len(steps), 0, -1):
+        mask, value = steps[n - 1]
+        literal = follow(F.lit(value).cast(kinds[n]), n)
+        out = F.when(F.col(mask), literal) if out is None else out.when(F.col(mask), literal)
+    return out.otherwise(follow(F.col(quoted(column)), 0))
+
+
+@dataclass
+class _Layer:
+    """Rules of one sheet that see the same state: (mask name, groups, actions)."""
+
+    rules: list[tuple[str, list, list[tuple[str, object]]]] = field(default_factory=list)
+    written: set[str] = field(default_factory=set)
+
+    def on(self, df: DataFrame) -> DataFrame:
+        every = list(dict.fromkeys(c for _, groups, _ in self.rules for _, found in groups for c in found))
+        read = list(dict.fromkeys(c for c, _, _ in every))
+        at = {c: i for i, c in enumerate(read)}
+        cells = {c: Cell.of(F.col(quoted(c))) for c in read}
+        keep = [F.col(quoted(c)) for c in df.columns]
+        df = df.select(*keep, *(cells[c].number.alias(f"__n{at[c]}") for c in read), *(cells[c].key.alias(f"__k{at[c]}") for c in read))
+        seen = {c: Cell(F.col(quoted(c)), F.col(f"__n{at[c]}"), F.col(f"__k{at[c]}")) for c in read}
+        df = df.select(*keep, *(test(seen[c], operator, value).alias(f"__c{i}") for i, (c, operator, value) in enumerate(every)))
+        place = {c: F.col(f"__c{i}") for i, c in enumerate(every)}
+        folded = lambda link, found: reduce(lambda a, b: a | b if link == "OU" else a & b, (place[c] for c in found))
+        df = df.select(*keep, *(reduce(lambda a, b: a & b, (folded(*g) for g in groups)).alias(name) for name, groups, _ in self.rules))
+        steps: dict[str, list[tuple[str, object]]] = {}
+        for name, _, actions in self.rules:
+            for column, value in actions:
+                steps.setdefault(column, []).append((name, value))
+        kinds = {f.name: f.dataType for f in df.schema}
+        return df.select(*(_choice(c, kinds[c], steps[c]).alias(c) if c in steps else F.col(quoted(c)) for c in df.columns))
 
 
 @dataclass(frozen=True)
@@ -171,7 +223,8 @@ def apply(sheets: dict[str, DataFrame], rules: list[Rule]) -> tuple[dict[str, Da
 
     Every mask stays a column beside the sheet until the end, so that a report counts all rules of a sheet in one pass.
     """
-    marked, order, lines, done = dict(sheets), {}, [], {}
+    lines: list[tuple[str, str, str, str | None]] = []
+    layers: dict[str, list[_Layer]] = {}
     for rule in rules:
         if not rule.ativo:
             continue
@@ -180,26 +233,26 @@ def apply(sheets: dict[str, DataFrame], rules: list[Rule]) -> tuple[dict[str, Da
             lines.append((rule.nome, rule.aba, f"sheet '{rule.aba}' not found", None))
             continue
         columns = sheets[sheet].columns
-        m = mask(rule, marked[sheet].select(*map(quoted, columns)))
-        if isinstance(m, str):
-            lines.append((rule.nome, sheet, m, None))
+        groups = conditions(rule, columns)
+        if isinstance(groups, str):
+            lines.append((rule.nome, sheet, groups, None))
             continue
-        name = f"__mask_{len(lines)}"
-        notes, df = [], marked[sheet].withColumn(name, m)
+        name, notes, actions = f"__mask_{len(lines)}", [], []
         for a in rule.acoes:
             column = resolve(a.coluna, columns)
             if column is None:
                 notes.append(f"column '{a.coluna}' not found")
-                continue
-            df = assign(df, column, typed(a.valor), F.col(name))
-        done[sheet] = done.get(sheet, 0) + 1
-        if done[sheet] % CUT_EVERY == 0 and not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            df = df.checkpoint()
-        marked[sheet] = df
-        order.setdefault(sheet, columns)
+            else:
+                actions.append((column, typed(a.valor)))
+        own = layers.setdefault(sheet, [_Layer()])
+        if own[-1].written & {c for _, found in groups for c, _, _ in found}:
+            own.append(_Layer())
+        own[-1].rules.append((name, groups, actions))
+        own[-1].written |= {c for c, _ in actions}
         lines.append((rule.nome, sheet, "; ".join(notes), name))
+    marked = {s: reduce(lambda df, layer: layer.on(df), own, sheets[s]) for s, own in layers.items()}
     report = [Applied(nome, sheet, note, name, marked[sheet] if name else None) for nome, sheet, note, name in lines]
-    return {k: v.select(*map(quoted, order[k])) if k in order else v for k, v in marked.items()}, report
+    return {k: marked[k].select(*map(quoted, v.columns)) if k in marked else v for k, v in sheets.items()}, report
 
 
 def report_rows(spark: SparkSession, report: list[Applied]) -> DataFrame:

@@ -7,6 +7,7 @@ last projection, which casts to double so that both engines hash alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -201,6 +202,28 @@ def rules_sequence(spark, sf):
     return _ruled(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), *(_rule("t", [("E", [("o_orderstatus", "igual", a)])], [("o_orderstatus", b)]) for a, b in steps))
 
 
+def _many_rules() -> list[rules.Rule]:
+    """300 rules that name the parts of a size and a brand, and one that reads what they write."""
+    many = [_rule("t", [("E", [("p_size", "igual", str(i % 50 + 1)), ("p_brand", "igual", f"brand#{i % 25 + 1}")])], [("p_type", f"T{i}")]) for i in range(300)]
+    named = [replace(r, nome=f"rule {i}") for i, r in enumerate(many)]
+    return [*named, replace(_rule("t", [("OU", [("p_type", "igual", "t7"), ("p_type", "igual", "T8")])], [("p_type", "LAST")]), nome="rule 300")]
+
+
+_SQL_MANY = "WITH k AS (SELECT i, CAST(i % 50 + 1 AS INTEGER) s, 'Brand#' || (i % 25 + 1) b FROM range(300) r(i)), m AS (SELECT p_partkey, max(i) i FROM part JOIN k ON p_size = s AND p_brand = b GROUP BY p_partkey)"
+
+
+@query(_SQL_MANY + " SELECT p_partkey, CASE WHEN m.i IN (7, 8) THEN 'LAST' WHEN m.i IS NOT NULL THEN 'T' || m.i ELSE p_type END p_type FROM part LEFT JOIN m USING (p_partkey)")
+def rules_many(spark, sf):
+    return _ruled(table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type"), *_many_rules()).select("p_partkey", "p_type")
+
+
+@query(_SQL_MANY + " SELECT 'rule ' || i AS rule, (SELECT count(*) FROM part WHERE p_size = s AND p_brand = b) changed FROM k UNION ALL SELECT 'rule 300', count(*) FROM m WHERE i IN (7, 8)")
+def rules_many_report(spark, sf):
+    """Rows changed by each of 301 rules, from one pass."""
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type")
+    return rules.report_rows(spark, rules.apply({"t": rows}, _many_rules())[1]).select("rule", "changed")
+
+
 # ---- Append ------------------------------------------------------------------------------------------------------------------------------
 
 
