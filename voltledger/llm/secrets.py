@@ -1,9 +1,11 @@
 """Operator 2: secret scans behind a trigram inverted index, in DataFrame functions only.
 
 1. Each rule's regular expression gives a Boolean trigram query (``trigrams.query``): clauses of trigrams that must all occur.
-2. One pass over the texts writes the inverted index of the trigrams that the rules ask for: (trigram, doc_id).
+2. One pass over the texts writes, for each document, which of the trigrams that the rules ask for it has (the inverted index, by document), and the
+   spans of the rules without mandatory trigrams (``hex``), which scan every text.
 3. Per clause the postings are intersected: a document is a candidate of a rule if all trigrams of one of its clauses list it.
-4. Only candidates are verified, by the regular expression itself. Rules without mandatory trigrams (``hex``) scan every text.
+4. Only the texts of candidates are read again, and verified by the regular expressions themselves. Few candidates (``broadcast_bytes`` at most) are sent to
+   the texts; more are joined by doc_id. The other documents have their result from the first pass: their texts never move.
 
 Spans are in code points, end exclusive; matches are leftmost and non-overlapping per kind, failing ones are dropped without a retry.
 
@@ -50,39 +52,56 @@ RULES = (
 )
 
 
-def postings(docs: DataFrame, grams: list[tuple[str, bool]]) -> DataFrame:
-    """The inverted index: gram int (place in ``grams``), doc_id. A gram is (text, whether it is looked up in lower case)."""
-    texts = docs.select("doc_id", "text", F.lower("text").alias("low")).where("doc_id is not null and text is not null")
-    have = F.array_compact(F.array(*(F.when(F.contains("low" if low else "text", F.lit(g)), F.lit(i)) for i, (g, low) in enumerate(grams))))
-    return texts.select("doc_id", have.alias("grams")).select("doc_id", F.explode("grams").alias("gram"))
+#: Candidates below so many bytes are broadcast; a row counts as CANDIDATE_BYTES.
+BROADCAST_BYTES, CANDIDATE_BYTES = 32 << 20, 128
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, rules array<int>: the indexed rules whose trigram query the document satisfies."""
-    spark = docs.sparkSession
+def _grams(rules: tuple[Rule, ...]) -> tuple[list[tuple[int, bool, frozenset[str]]], list[tuple[str, bool]]]:
+    """(rule, whether it is looked up in lower case, trigrams) of all clauses, and all trigrams that they ask for."""
     clauses = [(k, r.ignore_case, clause) for k, r in enumerate(rules) for clause in trigrams.query(r.pattern, r.ignore_case) or ()]
-    grams = sorted({(g, low) for _, low, clause in clauses for g in clause})
+    return clauses, sorted({(g, low) for _, low, clause in clauses for g in clause})
+
+
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, grams array<int> (places of the trigrams that the text has), spans of the rules that scan every text: one row per row with a doc_id."""
+    _, grams = _grams(rules)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lower("text").alias("low")).where("doc_id is not null")
+    have = F.array_compact(F.array(*(F.when(F.contains("low" if low else "text", F.lit(g)), F.lit(i)) for i, (g, low) in enumerate(grams)))).cast("array<int>")
+    own = [_spans_of(k, r, F.col("text").rlike(r.pattern)) for k, r in enumerate(rules) if trigrams.query(r.pattern, r.ignore_case) is None]
+    return texts.select("doc_id", have.alias("grams"), F.sort_array(F.concat(*own) if own else F.array()).cast(SPAN).alias("spans"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, rules array<int>: the indexed rules whose trigram query the document satisfies. index: as from ``scanned``."""
+    spark = index.sparkSession
+    clauses, grams = _grams(rules)
     if not grams:
         return spark.createDataFrame([], "doc_id bigint, rules array<int>")
-    index = saved(postings(docs, grams))
     wanted = [(n, k, len(clause), grams.index((g, low))) for n, (k, low, clause) in enumerate(clauses) for g in clause]
     asked = spark.createDataFrame(wanted, "clause int, rule int, needed int, gram int")
-    met = index.join(F.broadcast(asked), "gram").groupBy("doc_id", "clause", "rule", "needed").agg(F.countDistinct("gram").alias("n"))
+    postings = index.select("doc_id", F.explode("grams").alias("gram"))
+    met = postings.join(F.broadcast(asked), "gram").groupBy("doc_id", "clause", "rule", "needed").agg(F.countDistinct("gram").alias("n"))
     return met.where("n = needed").groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _spans_of(k: int, r: Rule, gate: Column) -> Column:
+    return _kept(re_spans(F.col("text"), r.pattern, k, gate), r.keep)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, spans array<struct<start, kind, end, value>> sorted by start, then kind (place in ``rules``): one row per input row."""
-    found = candidates(docs, rules)
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(found, "doc_id", "left")
+    first = saved(scanned(docs, rules))
+    found = saved(candidates(first, rules))
+    if found.count() * CANDIDATE_BYTES <= broadcast_bytes:
+        found = F.broadcast(found)
+    others = first.join(found, "doc_id", "left_anti").select("doc_id", "spans")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    again = texts.join(found, "doc_id").union(texts.where("doc_id is null").withColumn("rules", F.sequence(F.lit(0), F.lit(len(rules) - 1))))
     parts = []
     for k, r in enumerate(rules):
         indexed = trigrams.query(r.pattern, r.ignore_case) is not None
-        gate = (F.coalesce(F.array_contains("rules", F.lit(k)), F.lit(False)) | F.col("doc_id").isNull()) if indexed else F.col("text").rlike(r.pattern)
-        spans = re_spans(F.col("text"), r.pattern, k, gate)
-        parts.append(_kept(spans, r.keep))
-    return rows.select("doc_id", F.sort_array(F.concat(*parts)).cast(SPAN).alias("spans"))
+        parts.append(_spans_of(k, r, F.array_contains("rules", F.lit(k)) if indexed else F.col("text").rlike(r.pattern)))
+    return again.select("doc_id", F.sort_array(F.concat(*parts)).cast(SPAN).alias("spans")).union(others)
 
 
 def _kept(spans: Column, keep: Callable[[Column], Column] | None) -> Column:
