@@ -6,6 +6,7 @@ is no explode and no shuffle: the sheets are exploded from the arrays afterwards
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -197,29 +198,25 @@ def customer(text: Column) -> dict[str, Column]:
 # ---- Items -------------------------------------------------------------------------------------------------------------------------------
 
 
-def _letters(c: Column) -> Column:
-    return F.filter(F.split(c, ""), lambda x: (x != " ") & (x != ""))
-
-
 def unscrambled(name: Column) -> Column:
-    """The known name of the same letters; or, for a visibly scrambled name, the longest known one whose letters it holds and that is half of it."""
-    exact = F.create_map(*(F.lit(x) for n in OLD_NAMES for x in ("".join(sorted(n.replace(" ", ""))), n)))
+    """The known name of the same letters; or, for a visibly scrambled name, the longest known one whose letters it holds and that is half of it.
+
+    The known names are one literal, so the expression does not grow with them; for a table of names see ``containment``."""
+    bare = lambda n: n.replace(" ", "")
+    post = lambda n: p if (p := n.removesuffix(" - PARC. TE").rsplit(" ", 1)[-1]) in ("FP", "HR", "P") else None
     letters = sorted(set("".join(OLD_NAMES)) - {" "})
-    count = lambda n, c: F.length(n) - F.length(F.replace(n, F.lit(c), F.lit("")))
+    known = [{"name": n, "post": post(n), "size": len(bare(n)), "need": [bare(n).count(c) for c in letters]} for n in sorted(OLD_NAMES, key=lambda n: -len(bare(n)))]
+    known = F.from_json(F.lit(json.dumps(known, ensure_ascii=False)), "array<struct<name:string,post:string,size:int,need:array<int>>>")
+    exact = F.from_json(F.lit(json.dumps({"".join(sorted(bare(n))): n for n in OLD_NAMES}, ensure_ascii=False)), "map<string,string>")
+    alphabet = F.from_json(F.lit(json.dumps(letters, ensure_ascii=False)), "array<string>")
 
     def contained(n: Column) -> Column:
         hint = F.coalesce(*(first(n, p) for p in POST_HINT))
-        found = F.struct(hint.alias("hint"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("size"), F.array(*(count(n, c) for c in letters)).alias("has"))
-
-        def holds(x: Column, known: str) -> Column:
-            bare = known.replace(" ", "")
-            post = known.removesuffix(" - PARC. TE").rsplit(" ", 1)[-1]
-            agrees = x["hint"].isNull() | (x["hint"] == post) if post in ("FP", "HR", "P") else F.lit(True)
-            enough = reduce(lambda a, b: a & b, (x["has"][letters.index(c)] >= bare.count(c) for c in sorted(set(bare))))
-            return F.when(agrees & (2 * len(bare) >= x["size"]) & enough, F.lit(known))
-
-        longest = sorted(OLD_NAMES, key=lambda k: -len(k.replace(" ", "")))
-        return let(found, lambda x: F.coalesce(*(holds(x, k) for k in longest)))
+        has = F.transform(alphabet, lambda c: F.length(n) - F.length(F.replace(n, c, F.lit(""))))
+        found = F.struct(hint.alias("hint"), F.length(F.replace(n, F.lit(" "), F.lit(""))).alias("size"), has.alias("has"))
+        agrees = lambda x, k: F.coalesce(x["hint"] == k["post"], F.lit(True)) & (2 * k["size"] >= x["size"])
+        enough = lambda x, k: F.forall(F.zip_with(x["has"], k["need"], lambda a, b: a >= b), lambda v: v)
+        return let(found, lambda x: F.try_element_at(F.filter(known, lambda k: agrees(x, k) & enough(x, k)), F.lit(1))["name"])
 
     scrambled = lambda n: F.size(F.regexp_extract_all(n, F.lit(LONE_CAPITAL), F.lit(0))) >= 3
     return let(name, lambda n: F.coalesce(F.try_element_at(exact, sorted_letters(n)), F.when(scrambled(n), contained(n)), n))
