@@ -50,29 +50,27 @@ CONCEPT_TERMS = {
 }
 
 
-#: More different items than this don't fit a dictionary that is read by people.
-MAX_ITEMS = 100_000
+def item_terms(items: DataFrame, definitions: dict[str, str] | None = None) -> DataFrame:
+    """(item, definition) of the different items; an item without a definition of its own gets a general one."""
+    names = items.where(F.trim("item") != "").select(F.trim("item").alias("item")).distinct()
+    own = items.sparkSession.createDataFrame(list((definitions or {}).items()), "item string, definition string")
+    return names.join(own, "item", "left").select("item", F.coalesce("definition", F.lit("Item of an invoice.")).alias("definition"))
 
 
-def item_terms(items: DataFrame, definitions: dict[str, str] | None = None) -> list[tuple[str, str]]:
-    """(item, definition) of the different items, by name; an item without a definition of its own gets a general one. More than ``MAX_ITEMS`` are refused."""
-    rows = items.where(F.trim("item") != "").select(F.trim("item").alias("item")).distinct().orderBy("item").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} different items")
-    return [(r["item"], (definitions or {}).get(r["item"], "Item of an invoice.")) for r in rows]
-
-
-def glossary(spark: SparkSession, items: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Termo, Categoria, Definição. ``items`` adds (item, definition) rows of category 'Item de fatura'."""
+def glossary(spark: SparkSession, items: DataFrame | list[tuple[str, str]] | None = None) -> DataFrame:
+    """Termo, Categoria, Definição. ``items`` adds (item, definition) rows of category 'Item de fatura'; a frame of them (``item_terms``) stays distributed."""
     columns = [(c, f"Coluna ({s})", f"Column {c} of sheet {s}, {t.simpleString()}.") for s, cs in schemas.SHEETS.items() for c, t in cs]
     parts = [
         [(k, "Aba", v) for k, v in SHEET_TERMS.items()],
         columns,
         [(k, "Valor", v) for k, v in VALUE_TERMS.items()],
         [(k, "Conceito", v) for k, v in CONCEPT_TERMS.items()],
-        [(k, "Item de fatura", v) for k, v in items or []],
+        [(k, "Item de fatura", v) for k, v in items] if isinstance(items, list) else [],
     ]
-    return spark.createDataFrame([r for p in parts for r in p], SCHEMA)
+    terms = spark.createDataFrame([r for p in parts for r in p], SCHEMA)
+    if not isinstance(items, DataFrame):
+        return terms
+    return terms.union(items.select(F.col("item"), F.lit("Item de fatura"), F.col("definition")))
 
 
 def with_glossary(sheets: dict[str, DataFrame], table: DataFrame) -> dict[str, DataFrame]:

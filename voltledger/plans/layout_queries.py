@@ -308,13 +308,28 @@ def profile_meta(spark, sf):
     return spark.createDataFrame(found, "sheet string, shown boolean, pos int, name string, included boolean")
 
 
-@query("""SELECT * FROM (VALUES ('suggested', 'ID fatura', 'id_fatura'), ('suggested', 'Valor Total R$', 'valor_total_r$'), ('suggested', 'coluna_inventada', NULL), ('stored', 'Fatura', 'id_fatura'), ('stored', 'Nota livre', NULL), ('stored', 'Total', 'valor_total_r$')) t(source, shown, canonical)""")
+_SQL_BY_META = ORACLE["append_dedup_key"].replace('"Valor Total"', '"Quanto"').replace("SELECT id_fatura, v", 'SELECT id_fatura AS "Nota", v')
+
+
+@query("""SELECT t.*, (SELECT count(*) FROM orders) AS n FROM (VALUES ('suggested', 'ID fatura', 'id_fatura'), ('suggested', 'Valor Total R$', 'valor_total_r$'), ('suggested', 'coluna_inventada', NULL), ('stored', 'Fatura', 'id_fatura'), ('stored', 'Nota livre', NULL), ('stored', 'Total', 'valor_total_r$')) t(source, shown, canonical)""")
 def append_mapping(spark, sf):
-    """The mapping of shown to canonical names: suggested from the names, and read from a workbook's metadata."""
-    suggested = ap.suggest_mapping("fatura", ["ID fatura", "Valor Total R$", "coluna_inventada"])
+    """The mapping of a table's shown names to canonical ones, suggested from the names and read from a workbook's metadata, and how many values each column has."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
     meta = {"abas": {"fatura": {"colunas": [{"exibido": "Fatura", "canonico": "id_fatura"}, {"exibido": "Nota livre", "canonico": None}, {"exibido": "Total", "canonico": "valor_total_r$"}]}}}
-    pairs = [("suggested", *p) for p in suggested.items()] + [("stored", *p) for p in (ap.mapping_of_meta(meta, "fatura") or {}).items()]
-    return spark.createDataFrame(pairs, "source string, shown string, canonical string")
+    tables = {"suggested": rows.toDF("ID fatura", "Valor Total R$", "coluna_inventada"), "stored": rows.toDF("Fatura", "Total", "Nota livre")}
+    maps = {"suggested": ap.suggest_mapping("fatura", tables["suggested"].columns), "stored": ap.mapping_of_meta(meta, "fatura") or {}}
+    found = [df.agg(*(F.count(quoted(c)).alias(c) for c in df.columns)).select(F.inline(F.array(*(F.struct(F.lit(source).alias("source"), F.lit(c).alias("shown"), F.lit(maps[source][c]).cast("string").alias("canonical"), F.col(quoted(c)).alias("n")) for c in df.columns)))) for source, df in tables.items()]
+    return found[0].union(found[1])
+
+
+@query(_SQL_BY_META)
+def append_by_metadata(spark, sf):
+    """An append onto a table whose shown names are told by the metadata that its profile wrote."""
+    old, new = _halves(spark, sf)
+    old = old.toDF("Nota", "Quanto")
+    shown = profile.SheetProfile(True, [profile.Shown("id_fatura", "Nota"), profile.Shown("valor_total_r$", "Quanto")])
+    maps = {"fatura": ap.mapping_of_meta(profile.to_meta({"fatura": shown}), "fatura")}
+    return ap.append({"fatura": old}, maps, {"fatura": new}).sheets["fatura"]
 
 
 @query("""WITH l AS (SELECT CAST(l_orderkey AS VARCHAR) k, l_orderkey % 3 m, l_quantity q FROM lineitem) SELECT DISTINCT k id_fatura, q quantidade FROM l WHERE m <> 2 UNION ALL SELECT DISTINCT k, q + 100 FROM l WHERE m = 2""")

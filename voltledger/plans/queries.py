@@ -499,7 +499,7 @@ def profile_apply(spark, sf):
 @query("SELECT 'Aba' categoria, 8 n UNION ALL SELECT 'Valor', 7 UNION ALL SELECT 'Conceito', 15 UNION ALL SELECT 'Item de fatura', count(*) FROM region")
 def glossary_union(spark, sf):
     """The dictionary: one union of the terms of sheets, values, concepts and the given items."""
-    items = [(r.r_name, "A region.") for r in table(spark, sf, "region").collect()]
+    items = table(spark, sf, "region").select(F.col("r_name").alias("item"), F.lit("A region.").alias("definition"))
     return glossary.glossary(spark, items).where("not startswith(Categoria, 'Coluna')").groupBy(F.col("Categoria").alias("categoria")).agg(F.count(F.lit(1)).alias("n"))
 
 
