@@ -423,3 +423,30 @@ def incremental_units(spark, sf):
 @query(ORACLE["uc_current_id"])
 def incremental_meters(spark, sf):
     return _refreshed(spark, sf)["fatura"].select("id_fatura", "medidor", "id_uc_atual")
+
+
+# ---- The header fields that the other queries don't print --------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(2000000000000 + o_orderkey AS VARCHAR) numero_fatura, CAST(2000000000000 + o_orderkey AS VARCHAR) || '.pdf' arquivo_pdf, 'EQUATORIAL' fornecedor, CAST(o_orderkey % 4 AS VARCHAR) serie_nf, '5258' cfop, lpad(CAST(o_orderkey AS VARCHAR), 44, '7') chave_acesso_nfe,
+CAST(900000 + o_custkey AS VARCHAR) protocolo_autorizacao, strftime(o_orderdate, '%Y-%m-%d') || ' 10:' || CAST(10 + o_orderkey % 50 AS VARCHAR) data_hora_protocolo, CASE WHEN o_orderkey % 2 = 0 THEN 'BIF' ELSE 'TRI' END tipo_fornecimento,
+CAST(CASE WHEN o_orderkey % 3 > 0 THEN 220 + o_orderkey % 160 END AS VARCHAR) tensao_nominal_v, CAST(200 + o_orderkey % 10 AS VARCHAR) tensao_min_v, CAST(230 + o_orderkey % 10 AS VARCHAR) tensao_max_v,
+CAST(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 0.5 ELSE 0 END AS DOUBLE) demanda_contratada_kw, CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE 0 END AS DOUBLE) demanda_geracao_contratada_kw,
+CAST(CASE WHEN o_orderkey % 2 = 0 THEN 2.5 END AS DOUBLE) perdas_transformacao_pct, '2024_0' || (1 + o_orderkey % 9) scee_geracao_ciclo, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey || ',25' END scee_saldo_kwh_total,
+CASE WHEN o_orderkey % 2 = 1 THEN '1,00' END scee_saldo_kwh_p, CASE WHEN o_orderkey % 2 = 1 THEN o_custkey || ',50' END scee_saldo_kwh_fp, CASE WHEN o_orderkey % 2 = 1 THEN '3,75' END scee_saldo_kwh_hr,
+strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') data_leitura_anterior, strftime(o_orderdate + INTERVAL 2 DAY, '%Y-%m-%d') data_leitura_atual, strftime(o_orderdate + INTERVAL 3 DAY, '%Y-%m-%d') data_proxima_leitura FROM orders""")
+def header_fields(spark, sf):
+    o = table(spark, sf, "orders")
+    k, c, given = F.col("o_orderkey"), _text("o_custkey"), lambda when, *parts: F.when(when, F.concat(*parts)).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("NOTA FISCAL Nº "), _text("o_orderkey"), F.lit(" - SÉRIE "), (k % 4).cast("string"), F.lit("\nchave de acesso:\n"), F.lpad(_text("o_orderkey"), 44, "7"), F.lit("\nProtocolo de autorização: "), (F.col("o_custkey") + 900000).cast("string"),
+        F.lit(" - "), _day("o_orderdate", 0), F.lit(" às 10:"), (10 + k % 50).cast("string"), F.lit("\nTipo de Fornecimento: "), F.when(k % 2 == 0, "BIF").otherwise("TRI"), F.lit("\n"),
+        given(k % 3 > 0, F.lit("Tensão Nominal Disp: "), (220 + k % 160).cast("string"), F.lit(" V ")), F.lit("Lim Min: "), (200 + k % 10).cast("string"), F.lit(" V Lim Max: "), (230 + k % 10).cast("string"), F.lit(" V\n"),
+        given(k % 5 == 0, F.lit("DEMANDA - kW "), c, F.lit(",5\n")), given(k % 7 == 0, F.lit("DEMANDA GERAÇÃO - kW "), (F.col("o_custkey") + 1).cast("string"), F.lit("\n")), given(k % 2 == 0, F.lit("PERDAS DE TRANSFORMAÇÃO / RAMAL: 2,5 %\n")),
+        _day("o_orderdate", 1), F.lit(" "), _day("o_orderdate", 2), F.lit(" 30 "), _day("o_orderdate", 3), F.lit("\nGERAÇÃO CICLO ("), (1 + k % 9).cast("string"), F.lit("/2024)\nSALDO KWH: "),
+        F.when(k % 2 == 0, F.concat(c, F.lit(",25"))).otherwise(F.concat(F.lit("P=1,00, FP="), c, F.lit(",50, HR=3,75"))), F.lit(", SALDO A EXPIRAR: 0,00\n"),
+    )
+    docs = o.select(F.concat(F.lit("/in/"), (k + 2000000000000).cast("string"), F.lit(".pdf")).alias("path"), text.alias("text"))
+    h = layout_a.header(F.col("text"), F.col("path"), F.lit(None).cast("string"))
+    names = ("numero_fatura", "arquivo_pdf", "fornecedor", "serie_nf", "cfop", "chave_acesso_nfe", "protocolo_autorizacao", "data_hora_protocolo", "tipo_fornecimento", "tensao_nominal_v", "tensao_min_v", "tensao_max_v", "demanda_contratada_kw", "demanda_geracao_contratada_kw", "perdas_transformacao_pct", "scee_geracao_ciclo", "scee_saldo_kwh_total", "scee_saldo_kwh_P", "scee_saldo_kwh_FP", "scee_saldo_kwh_HR", "data_leitura_anterior", "data_leitura_atual", "data_proxima_leitura")
+    return spread(docs).select(*(h[n].alias(n.lower()) for n in names))
