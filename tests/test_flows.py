@@ -103,6 +103,28 @@ def test_stores(spark, tmp_path):
     assert stores.load_equivalences(spark, tmp_path / "none.json").isEmpty()
 
 
+def test_workbook_rows_are_parsed_on_the_executors(spark, tmp_path):
+    import zipfile
+
+    table = spark.createDataFrame([(i, None if i % 3 == 0 else f"<é{i}>") for i in range(9000)], "id int, `a b` string").coalesce(1)
+    for name in ("x", "y"):
+        workbook.write_xlsx({"t": table, "none": table.limit(0)}, str(tmp_path / f"{name}.xlsx"), {"k": name})
+    rows = workbook.xlsx_rows(spark, str(tmp_path / "*.xlsx"), only="t")
+    assert {(r.n, r.m) for r in rows.groupBy("path").agg({"n": "count", "*": "count"}).toDF("path", "n", "m").collect()} == {(9001, 9001)}
+    back, meta = workbook.read_xlsx(spark, str(tmp_path / "x.xlsx"))
+    assert meta == {"k": "x"} and back["none"].count() == 0 and [tuple(r) for r in back["t"].collect()] == [(str(i), None if i % 3 == 0 else f"<é{i}>") for i in range(9000)]
+    shared = str(tmp_path / "shared.xlsx")
+    with zipfile.ZipFile(str(tmp_path / "x.xlsx")) as old, zipfile.ZipFile(shared, "w") as new:
+        for n in old.namelist():
+            body = old.read(n)
+            if n == "xl/worksheets/sheet1.xml":
+                body = b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="2"><c r="C2"><v>5</v></c></row><row r="3"/></sheetData></worksheet>'
+            new.writestr(n, body)
+        new.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>one</t></si><si><r><t>tw</t></r><r><t>o</t></r></si></sst>')
+    t = workbook.read_xlsx(spark, shared)[0]["t"]
+    assert t.columns == ["one", "None", "two"] and [tuple(r) for r in t.collect()] == [(None, None, "5"), (None, None, None)]
+
+
 def test_glossary_is_added_once(spark):
     table = glossary.glossary(spark, [("CONSUMO", "Energy used.")])
     assert glossary.with_glossary({"Glossário": table}, table).keys() == {"Glossário"}

@@ -1,13 +1,16 @@
-"""Workbooks: a folder of Parquet or CSV tables with metadata (the form that scales), or one .xlsx file (small results, on the driver)."""
+"""Workbooks: a folder of Parquet or CSV tables with metadata (the form that scales), or .xlsx files (read on the executors; written, as small results, on the driver)."""
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,44 +112,85 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str, meta: dict | None = None
             z.writestr(f"xl/worksheets/sheet{i}.xml", body)
 
 
-def _grid(xml: bytes, strings: list[str]) -> list[list[str | None]]:
-    rows = []
-    for row in ElementTree.fromstring(xml).iterfind(".//m:row", _NS):
-        cells: dict[int, str | None] = {}
-        for c in row.iterfind("m:c", _NS):
-            at = 0
-            for ch in re.match("[A-Z]+", c.get("r"))[0]:
-                at = at * 26 + ord(ch) - 64
-            value = c.find("m:v", _NS)
-            if c.get("t") == "inlineStr":
-                cells[at] = "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))
-            elif value is not None:
-                cells[at] = strings[int(value.text)] if c.get("t") == "s" else value.text
-        rows.append([cells.get(i) for i in range(1, max(cells, default=0) + 1)])
-    return rows
+def _cells(row) -> list[tuple[int, str, str | None]]:
+    """(column from 1, kind, text) of a row's cells that have a value."""
+    out = []
+    for c in row.iterfind("m:c", _NS):
+        at = 0
+        for ch in re.match("[A-Z]+", c.get("r"))[0]:
+            at = at * 26 + ord(ch) - 64
+        value = c.find("m:v", _NS)
+        if c.get("t") == "inlineStr":
+            out.append((at, "inline", "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))))
+        elif value is not None:
+            out.append((at, c.get("t") or "n", value.text))
+    return out
 
 
-def read_xlsx(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict | None]:
-    """Every sheet with text columns (cast by ``schemas.conform``), and the metadata; bad metadata is none; a placeholder sheet is empty."""
-    with zipfile.ZipFile(path) as z:
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            strings = ["".join(t.text or "" for t in s.iterfind(".//m:t", _NS)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]
+def _parse(content: bytes, only: str | None, heads: bool) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row number from 1, cells) of all sheets or one; ``heads``: first rows only. Row by row: what is held is one row and the shared texts."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        strings = None
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        tabs = [(s.get("name"), links[s.get(_REL)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", _NS)]
-        grids = {n: _grid(z.read("xl/" + t.removeprefix("/xl/")), strings) for n, t in tabs}
+        for tab in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", _NS):
+            if only is not None and tab.get("name") != only:
+                continue
+            n = 0
+            with z.open("xl/" + links[tab.get(_REL)].removeprefix("/xl/")) as xml:
+                for _, row in ElementTree.iterparse(xml):
+                    if row.tag != f"{{{_NS['m']}}}row":
+                        continue
+                    n += 1
+                    found = {}
+                    for at, kind, text in _cells(row):
+                        if kind == "s":
+                            if strings is None:
+                                strings = ["".join(t.text or "" for t in s.iterfind(".//m:t", _NS)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]
+                            text = strings[int(text)]
+                        found[at] = text
+                    yield tab.get("name"), n, [found.get(i) for i in range(1, max(found, default=0) + 1)]
+                    row.clear()
+                    if heads:
+                        break
+            if not n:
+                yield tab.get("name"), 1, []
+
+
+def xlsx_rows(spark: SparkSession, path: str, only: str | None = None, heads: bool = False) -> DataFrame:
+    """path, sheet, n, cells array<string>: the rows of workbooks (one file, a folder or a pattern), parsed on the executors, a file a task."""
+
+    def rows(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                held = []
+                for found in _parse(content.as_py(), only, heads):
+                    held.append((name.as_py(), *found))
+                    if len(held) == 4096:
+                        yield pa.RecordBatch.from_pylist([dict(zip(("path", "sheet", "n", "cells"), r, strict=True)) for r in held], kind)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pylist([dict(zip(("path", "sheet", "n", "cells"), r, strict=True)) for r in held], kind)
+
+    kind = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("n", pa.int64()), ("cells", pa.list_(pa.string()))])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, sheet string, n bigint, cells array<string>")
+
+
+def read_xlsx(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], dict | None]:
+    """Every sheet with text columns (cast by ``schemas.conform``), and the metadata; bad metadata is none; a placeholder sheet is empty.
+
+    Only headings and metadata come to the driver; rows keep their order within the one partition of a file."""
     meta, out = None, {}
-    for name, grid in grids.items():
-        if name == META_SHEET:
+    for r in xlsx_rows(spark, path, heads=True).collect():  # a row a sheet
+        if r.sheet == META_SHEET:
             try:
-                meta = json.loads(grid[0][0])
+                meta = json.loads(r.cells[0])
             except (ValueError, TypeError, IndexError):
                 meta = None
             continue
-        head = [str(h) for h in grid[0]] if grid else []
+        head = [str(h) for h in r.cells]
         if head in ([], [EMPTY]):
-            out[name] = spark.createDataFrame([], schemas.schema(name) if name in schemas.SHEETS else "empty string")
+            out[r.sheet] = spark.createDataFrame([], schemas.schema(r.sheet) if r.sheet in schemas.SHEETS else "empty string")
             continue
-        kinds = ", ".join(f"{schemas.quoted(h)} string" for h in head)
-        out[name] = spark.createDataFrame([tuple((r + [None] * len(head))[: len(head)]) for r in grid[1:]], kinds)
+        rows = xlsx_rows(spark, path, only=r.sheet).where("n > 1")
+        out[r.sheet] = rows.select(*(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(head)))
     return out, meta
