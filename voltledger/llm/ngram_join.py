@@ -39,7 +39,8 @@ from voltledger.llm.shared import saved
 from voltledger.llm.spans import let
 
 N = 5
-BITS, SECOND_BITS = 28, 27
+#: Sketches: at least 2**bits cells, doubled for larger corpora until there is a cell for so many bytes of text.
+BITS, SECOND_BITS, BYTES_A_CELL = 28, 27, 5
 FRAGMENTS = 4
 STAR_ROUNDS = 5
 BLOCK, SALTS = 256, 4
@@ -305,8 +306,10 @@ def links_by_rounds(sets: DataFrame, fragments: int = FRAGMENTS, star_rounds: in
     return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = N, bits: int = BITS, second_bits: int = SECOND_BITS, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same set)."""
+def near_duplicates(docs: DataFrame, n: int = N, bits: int | None = None, second_bits: int | None = None, fragments: int = FRAGMENTS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), class_id (smallest doc_id with the same set). ``bits``, ``second_bits``: sizes of the sketches, by the texts where not given."""
+    more = sketch.doublings(docs, BITS, BYTES_A_CELL) if bits is None or second_bits is None else 0
+    bits, second_bits = BITS + more if bits is None else bits, SECOND_BITS + more if second_bits is None else second_bits
     sets = saved(shingle_sets(docs, n, bits, second_bits))
     same = ["n_shingles", "fp1", "fp2"]
     held = sets.where("grams is not null")

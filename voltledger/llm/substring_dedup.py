@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from voltledger.llm import flat, sketch
 
 WINDOW = 20
-FIRST_BITS, SECOND_BITS = 28, 28
+#: Sketches: at least 2**bits cells, doubled for larger corpora until there is a cell for so many bytes of text.
+FIRST_BITS, SECOND_BITS, BYTES_A_CELL = 28, 28, 5
 _GATHER = 1 << 20
 
 
@@ -52,10 +53,12 @@ def _earliest(h, doc, pos) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(decided[use]), pa.array(key.view(np.int64)), pa.array(doc[use]), pa.array(pos[use].astype(np.int32))], ["decided", "h", "doc_id", "pos"])
 
 
-def repeated_starts(docs: DataFrame, window: int = WINDOW, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+def repeated_starts(docs: DataFrame, window: int = WINDOW, first_bits: int | None = None, second_bits: int | None = None) -> DataFrame:
     """doc_id, starts array<int>: word positions where a window starts that also starts earlier."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    more = sketch.doublings(texts, FIRST_BITS, BYTES_A_CELL) if first_bits is None or second_bits is None else 0
+    first_bits, second_bits = FIRST_BITS + more if first_bits is None else first_bits, SECOND_BITS + more if second_bits is None else second_bits
     all_hashes = lambda batch: (h for _, _, h in _windows(batch, window))
     one = spark.sparkContext.broadcast(sketch.repeated(texts, all_hashes, first_bits))
     passed = lambda batch: (h[sketch.maybe(one.value, h, first_bits)] for h in all_hashes(batch))
@@ -97,11 +100,11 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, first_bits: int = FIR
     return met.mapInArrow(decide, "doc_id bigint, pos int").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, first_bits: int | None = None, second_bits: int | None = None) -> DataFrame:
     """doc_id, kept string (words that stay, joined by one space), n_words, n_removed: one row per input row.
 
     A word goes if it lies in a window whose word sequence also starts earlier: in a smaller doc_id, or earlier in the
-    same document. ``first_bits`` and ``second_bits`` bound the sketches (2**bits bits each) and affect only speed.
+    same document. ``first_bits`` and ``second_bits`` are the sizes of the sketches (2**bits bits each), by the texts where not given, and affect only speed.
     """
     starts = repeated_starts(docs, window, first_bits, second_bits)
 
