@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from voltledger.llm import ngram_join, sketch, substring_dedup
+from voltledger.llm import ngram_join, sketch, substring_dedup, suffix_dedup
 
 
 def unlike(spark, n=40, words=400):
@@ -24,7 +24,7 @@ def test_repeated_cells(spark, bits):
         assert (np.unpackbits(got[r], bitorder="little")[: 1 << bits] == (count > 1)).all()
 
 
-@pytest.mark.parametrize(("module", "run"), [(ngram_join, ngram_join.near_duplicates), (substring_dedup, substring_dedup.remove_repeated_windows)])
+@pytest.mark.parametrize(("module", "run"), [(ngram_join, ngram_join.near_duplicates), (suffix_dedup, suffix_dedup.remove_repeats), (substring_dedup, substring_dedup.remove_repeated_windows)])
 def test_sketches_grow_with_the_texts(spark, monkeypatch, module, run):
     """Sketches made for a tenth of the texts would be full and let everything through to the exact pass."""
     docs = unlike(spark)

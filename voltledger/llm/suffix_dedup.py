@@ -42,7 +42,8 @@ from voltledger.llm import flat, sketch
 from voltledger.llm.shared import saved
 
 LENGTH, SHORT, REACH, GRAM = 400, 256, 48, 16
-FIRST_BITS, SECOND_BITS = 28, 27
+#: Sketches: at least 2**bits cells, doubled for larger corpora until there is a cell for so many bytes of text.
+FIRST_BITS, SECOND_BITS, BYTES_A_CELL = 28, 27, 10
 _GATHER, _SLICE = 1 << 18, 1 << 18
 
 
@@ -243,11 +244,13 @@ def _windows_of(pos: np.ndarray) -> np.ndarray:
     return np.concatenate((at, at[pos & 1 == 1] + 1))
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, short: int = SHORT, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, short: int = SHORT, reach: int = REACH, first_bits: int | None = None, second_bits: int | None = None) -> DataFrame:
     """doc_id, starts array<long>: windows that occur elsewhere too (see ``_windows_of``), enough of them to cover every such byte; n_shared."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     half = length // 2
+    more = sketch.doublings(texts, FIRST_BITS, BYTES_A_CELL) if first_bits is None or second_bits is None else 0
+    first_bits, second_bits = FIRST_BITS + more if first_bits is None else first_bits, SECOND_BITS + more if second_bits is None else second_bits
 
     short = min(short, length)
     gram, block = min(GRAM, short - reach), short - reach + 1
@@ -368,7 +371,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, short: int = SHORT, r
     return every.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"), F.sum("n").alias("n_shared"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int = FIRST_BITS, second_bits: int = SECOND_BITS, short: int = SHORT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, first_bits: int | None = None, second_bits: int | None = None, short: int = SHORT) -> DataFrame:
     """doc_id, kept binary (the bytes that stay), n_bytes, n_removed, n_spans, n_shared (blocks held by another document too): one row per input row.
 
     A byte goes if it lies in a ``length``-byte string that also starts anywhere else, overlaps included.
