@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 
 from voltledger.llm import flat
 
-SLICE_BYTES = 1 << 20
+#: Text encoded at once: the temporaries take some 110 bytes a byte of it in each worker.
+SLICE_BYTES = 1 << 18
 SPACE = "▁"
 _NONE = np.int64(1 << 40)
 
