@@ -14,6 +14,20 @@ from voltledger.schemas import conform, quoted
 METER_COLUMNS = ("medidor", "id_uc_atual", "id_uc_sem_format", "id_uc_atual_medidor", "id_uc_atual_medidor_sem_format")
 
 
+#: Large tables that are joined by a key are dealt into partitions of about so many bytes, by Spark's estimate.
+DEALT_BYTES = 4 << 20
+
+
+def dealt(key: str, *tables: DataFrame) -> list[DataFrame]:
+    """The tables in equally many partitions by the key, as many as the largest needs; small ones as they are.
+
+    Spark gathers exchanged rows into partitions of 64 MB as written, which are many times that while a task sorts and groups them. It goes by Spark's estimate of the
+    plans' sizes, so nothing runs: give it scans and not joins, whose estimates are products."""
+    size = max(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in tables)
+    n = size // DEALT_BYTES
+    return [df.repartition(n, key) for df in tables] if n > tables[0].sparkSession.sparkContext.defaultParallelism else list(tables)
+
+
 def value_counts(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """key, out, n: how often each value that is not null occurs, compared as text. Counts of parts can be added."""
     return df.where(F.col(quoted(value)).isNotNull()).groupBy(key, F.col(quoted(value)).cast("string").alias(out)).agg(F.count(F.lit(1)).alias("n"))

@@ -409,7 +409,7 @@ def append_ledger(spark, sf):
 def _refreshed(spark, sf):
     """Two thirds of the invoices with derived columns and facts; the others are appended."""
     inv = invoices(spark, sf).withColumn("tipo_fornecimento", F.lit("x"))
-    every = {"fatura": inv, "medicao": readings(spark, sf), "unidade_consumidora": table(spark, sf, "customer").select(_text("c_custkey").alias("id_uc"))}
+    every = {"fatura": inv, "medicao": readings(spark, sf, dealt=False), "unidade_consumidora": table(spark, sf, "customer").select(_text("c_custkey").alias("id_uc"))}
     part = lambda is_new: {n: df.where((F.col("id_uc" if n == "unidade_consumidora" else "id_fatura").try_cast("bigint") % 3 == 2) == is_new) for n, df in every.items()}
     old, new = part(False), part(True)
     return incremental.refreshed(derive.enrich(old), new, incremental.facts(old), incremental.facts(new))[0]

@@ -62,10 +62,12 @@ def taxes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(_text("l_orderkey").alias("id_fatura"), F.when(F.col("l_linestatus") == "F", v).otherwise(F.round(v * t, 2)).cast("decimal(18,2)").alias("Valor (R$)"))
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
+def readings(spark: SparkSession, sf: str, dealt: bool = True) -> DataFrame:
     line, order = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), invoices(spark, sf).select("id_fatura", "id_uc", "competencia")
     uc = F.when(F.col("id_uc").cast("bigint") % 10 == 0, F.concat(F.lit("NULO_"), "id_uc")).otherwise(F.col("id_uc"))
-    return line.select(_text("l_orderkey").alias("id_fatura"), _text("l_suppkey").alias("Medidor")).join(order, "id_fatura").withColumn("id_uc", uc)
+    line = line.select(_text("l_orderkey").alias("id_fatura"), _text("l_suppkey").alias("Medidor"))
+    line, order = derive.dealt("id_fatura", line, order) if dealt else (line, order)
+    return line.join(order, "id_fatura").withColumn("id_uc", uc)
 
 
 SQL_INVOICES = "inv AS (SELECT CAST(o_orderkey AS VARCHAR) id_fatura, CAST(o_custkey AS VARCHAR) id_uc, strftime(o_orderdate, '%Y-%m') competencia, CAST(o_totalprice AS DECIMAL(18,2)) total FROM orders)"
