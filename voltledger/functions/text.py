@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def format_br(c: Column, decimals: int = 2) -> Column:
 
 def br_date(c: Column) -> Column:
     """dd/mm/yyyy to yyyy-mm-dd by place, without a calendar check; other shapes stay; blank is null."""
-    return F.regexp_replace(F.nullif(c, F.lit("")), "^([^/]*)/([^/]*)/([^/]*)$", "$3-$2-$1")
+    return let(c, lambda x: F.when(x != "", F.regexp_replace(x, "^([^/]*)/([^/]*)/([^/]*)$", "$3-$2-$1")))
 
 
 def loose_number(c: Column) -> Column:
@@ -130,15 +131,129 @@ def month_from_name(path: Column) -> Column:
     return F.concat(first(name, pattern, 2), F.lit("-"), month_number(first(name, pattern)))
 
 
-def first(text: Column, pattern: str, group: int = 1) -> Column:
+@dataclass(frozen=True)
+class Scanned:
+    """A text and what ``folded`` makes of it: most patterns are ruled out by a literal that is not in there, without a pass of the regular expression."""
+
+    text: Column
+    folded: Column
+
+
+#: What Java's case-insensitive patterns take for an ASCII letter, beside the letter in both cases.
+_ALIKE = (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k"))
+
+
+def folded(text: Column) -> Column:
+    """Lower case; it holds the ``required`` literals of every pattern that matches the text, whatever its flags."""
+    return F.lower(reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), _ALIKE, text))
+
+
+def _best(clauses: list[tuple[str, ...]]) -> tuple[str, ...]:
+    return max(clauses, key=lambda c: min(map(len, c)), default=())
+
+
+def _branches(pattern: str, at: int) -> tuple[list[tuple[str, ...]], int]:
+    """(clauses of the alternation that starts here, where it ends). Every match holds one literal of each clause."""
+    every, clauses, run = [], [], ""
+    while True:
+        c = pattern[at : at + 1]
+        if c in ("", "|", ")"):
+            every.append(clauses + [(run,)] * bool(run))
+            clauses, run = [], ""
+            if c != "|":
+                either = tuple(x for b in every for x in _best(b))
+                return (every[0] if len(every) == 1 else [either] * all(every)), at + 1
+            at += 1
+            continue
+        literal, inner = "", []
+        if c == "(":
+            kind = re.compile(r"\((\?[a-z]*\)|\?<?[=!]|\?:|(?!\?))").match(pattern, at)
+            if not kind:
+                raise ValueError(f"group of {pattern} at {at}")
+            if kind[1].endswith(")"):
+                at = kind.end()
+                continue
+            inner, at = _branches(pattern, kind.end())
+            inner = [] if kind[1] not in ("", "?:") else inner
+        elif c == "[":
+            at = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(pattern, at).end()
+        elif c == "\\":
+            literal, at = "" if pattern[at + 1].isalnum() else pattern[at + 1], at + 2
+        else:
+            literal, at = "" if c in ".^$" else c, at + 1
+        literal = literal.lower() if literal.isascii() else ""
+        times = re.compile(r"([?*+]|\{(\d+)[^}]*\})[?+]?").match(pattern, at)
+        if times:
+            at = times.end()
+            if times[1] in "?*" or times[2] == "0":
+                literal, inner = "", []
+        run += literal
+        if times or not literal:
+            clauses, run = clauses + [(run,)] * bool(run) + inner, ""
+
+
+@lru_cache(None)
+def required(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """Literals of three letters or more, in lower case: every match of the pattern holds one of each tuple, in any case. Short tuples come first, long ones are left out."""
+    least = lambda c: tuple(x for x in dict.fromkeys(c) if not any(y in x and y != x for y in c))
+    found = dict.fromkeys(c for c in map(least, _branches(pattern, 0)[0]) if min(map(len, c)) >= 3 and len(c) <= 8)
+    return tuple(sorted(found, key=lambda c: (len(c), -min(map(len, c)))))
+
+
+def _may(text: Scanned, pattern: str) -> Column | None:
+    """False if the text can't match; None if nothing tells."""
+    each = [reduce(Column.__or__, (F.contains(text.folded, F.lit(x)) for x in c)) for c in required(pattern)]
+    return reduce(Column.__and__, each) if each else None
+
+
+def may(text: Column | Scanned, pattern: str) -> Column:
+    """False only if the pattern can't match: the literals that it needs are not there."""
+    found = _may(text, pattern) if isinstance(text, Scanned) else None
+    return F.lit(True) if found is None else found
+
+
+def any_may(text: Column | Scanned, patterns: list[str]) -> Column:
+    """False only if none of the patterns can match. A literal that several need is looked for once."""
+    if not isinstance(text, Scanned) or not all(map(required, patterns)):
+        return F.lit(True)
+    need = dict.fromkeys(x for p in patterns for x in max(required(p), key=lambda c: sum(c in required(q) for q in patterns)))
+    return reduce(Column.__or__, (F.contains(text.folded, F.lit(x)) for x in need))
+
+
+def has(text: Column | Scanned, pattern: str) -> Column:
+    """Does the pattern match anywhere?"""
+    if not isinstance(text, Scanned):
+        return text.rlike(pattern)
+    held = _may(text, pattern)
+    if held is None:
+        return text.text.rlike(pattern)
+    whole = re.fullmatch(r"\(\?[a-z]*i[a-z]*u[a-z]*\)([A-Za-z ]+)", pattern)
+    return held if whole and required(pattern) == ((whole[1].lower(),),) else held & text.text.rlike(pattern)
+
+
+def _where(text: Column | Scanned, pattern: str, body):
+    """body(the text), null where the pattern can't match."""
+    if not isinstance(text, Scanned):
+        return body(text)
+    held = _may(text, pattern)
+    return body(text.text) if held is None else F.when(held, body(text.text))
+
+
+def first(text: Column | Scanned, pattern: str, group: int = 1) -> Column:
     """Group of the first match, trimmed; null without a match."""
-    return F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, group), F.lit(" \t\n\x0b\f\r")))
+    bare = lambda c: F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    if isinstance(text, Scanned) and required(pattern):  # most texts that may match do: an empty group alone asks again
+        return _where(text, pattern, lambda t: let(F.regexp_extract(t, pattern, group), lambda x: F.when((x != "") | t.rlike(pattern), bare(x))))
+    return _where(text, pattern, lambda t: F.when(t.rlike(pattern), bare(F.regexp_extract(t, pattern, group))))
 
 
 def cut_right(line: Column, patterns: tuple[str, ...]) -> Column:
-    """The line without what the patterns match, one after the other. Most lines match none: one pattern made of all of them tells."""
+    """The line without what the patterns match, one after the other. Most lines match none: one pattern made of all of them tells, after one space if all begin with some."""
     bare = [re.sub(r"^\(\?[a-z]*\)", "", p).removesuffix(".*$") for p in patterns]
-    return F.when(line.rlike(f"(?iud){'|'.join(bare)}"), reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, line)).otherwise(line)
+    spaced = all(b.startswith(r"\s+") for b in bare)
+    any_of = rf"\s(?:{'|'.join(b.removeprefix(r'\s+') for b in bare)})" if spaced else "|".join(bare)
+    any_of = any_of.replace(r"[\d.,]+\s", r"[\d.,]++\s")  # no number gives back a part of itself to a space
+    return F.when(line.rlike(f"(?iud){any_of}"), reduce(lambda c, p: F.regexp_replace(c, p, ""), patterns, line)).otherwise(line)
 
 
 def last(text: Column, pattern: str, group: int = 1) -> Column:
@@ -151,7 +266,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shapes(text: Column, *kinds) -> Column:
+def shapes(text: Column | Scanned, *kinds) -> Column:
     """The row of the first pattern that matches. kinds: (pattern, number of groups, body from the groups to a row that is not null)."""
     one = lambda p, n, body: let(groups(text, p, n), lambda g: F.when(g.isNotNull(), body(g)))
     return F.coalesce(*(one(*k) for k in kinds))
@@ -163,20 +278,24 @@ def _whole_line(pattern: str) -> bool:
     return rest.startswith("^") and rest.endswith("$") and not rest.endswith("\\$") and "m" not in (flags or "")
 
 
-def groups(text: Column, pattern: str, n: int) -> Column:
-    """All n groups of the first match at once, null without a match; groups that took no part are empty.
+def groups(text: Column | Scanned, pattern: str, n: int) -> Column:
+    """All n groups of the first match at once, null without a match; groups that took no part are empty. The pattern matches no empty text.
 
     A pattern of whole lines runs once: the line becomes its groups, or stays in one piece."""
     row = "\x01".join(f"${i}" for i in range(1, n + 1))
     if n > 1 and _whole_line(pattern):
-        return let(F.split(F.regexp_replace(text, pattern, row), "\x01", -1), lambda g: F.when(F.size(g) == n, g))
-    return F.when(text.rlike(pattern), F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, row), "\x01", -1))
+        return _where(text, pattern, lambda t: let(F.split(F.regexp_replace(t, pattern, row), "\x01", -1), lambda g: F.when(F.size(g) == n, g)))
+    whole = lambda t: F.regexp_extract(t, pattern, 0)
+    return _where(text, pattern, lambda t: F.when(whole(t) != "", F.split(F.regexp_replace(whole(t), pattern, row), "\x01", -1)))
 
 
-def all_groups(text: Column, pattern: str, n: int) -> Column:
+def all_groups(text: Column | Scanned, pattern: str, n: int) -> Column:
     """The groups of every match: array<array<string>>."""
     row = "\x01".join(f"${i}" for i in range(1, n + 1))
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.split(F.regexp_replace(m, pattern, row), "\x01", -1))
+    found = _where(text, pattern, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    if isinstance(text, Scanned) and required(pattern):
+        found = F.when(text.text.isNotNull(), F.coalesce(found, F.array().cast("array<string>")))
+    return F.transform(found, lambda m: F.split(F.regexp_replace(m, pattern, row), "\x01", -1))
 
 
 def url_quote(c: Column) -> Column:

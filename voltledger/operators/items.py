@@ -31,6 +31,11 @@ def num(parts: Column, i: int) -> Column:
     return br_number(parts[i - 1])
 
 
+def plain_num(parts: Column, i: int) -> Column:
+    """``num`` of a group that its pattern keeps to digits, points, commas and a sign."""
+    return F.replace(F.replace(parts[i - 1], F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+
+
 def upper_name(c: Column) -> Column:
     """Trimmed, without a trailing hyphen, upper case."""
     return F.upper(F.regexp_replace(F.trim(c), r"\s*-\s*$", ""))

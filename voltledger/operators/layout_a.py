@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltledger.functions.text import MONTHS_SHORT, all_groups, blank_to_null, br_date, br_number, cut_right, file_name, file_stem, first, groups, last, let, month_number, shapes, sorted_letters
-from voltledger.operators.items import FINANCIAL, ITEM, READING, SUPPLY, TAX, cut_before, empty, integer, item, num, rate, upper_name
+from voltledger.functions.text import MONTHS_SHORT, Scanned, all_groups, any_may, blank_to_null, br_date, br_number, cut_right, file_name, file_stem, first, folded, groups, has, last, let, may, month_number, required, shapes, sorted_letters
+from voltledger.operators.items import FINANCIAL, ITEM, READING, SUPPLY, TAX, cut_before, empty, integer, item, num, plain_num, rate, upper_name
 
 SUPPLIER = "EQUATORIAL"
 
@@ -119,37 +119,49 @@ NAME_UNIT, GLUED_UNIT = r"\s*-\s*k(?:Wh|W|VArh|Var)\s*$", r"-?\s*(kWh|kW|kVArh|k
 # ------------------------------------------------------------------------------------------------------------------------------------------
 
 
-def _any(text: Column, patterns, group: int = 1) -> Column:
-    return F.coalesce(*(blank_to_null(first(text, p, group)) for p in patterns))
+def _plain(text: Column | Scanned) -> Column:
+    return text.text if isinstance(text, Scanned) else text
 
 
-def unit_id(text: Column) -> Column:
-    before = F.when(text.rlike(NOTE), last(F.split(text, NOTE, 2)[0], UNIT_BEFORE_NOTE))
+def _any(text: Column | Scanned, patterns, group: int = 1) -> Column:
+    return F.coalesce(*(let(F.trim(first(text, p, group)), lambda x: F.when(x != "", x)) for p in patterns))
+
+
+def unit_id(text: Column | Scanned) -> Column:
+    before = F.when(has(text, NOTE), last(F.split(_plain(text), NOTE, 2)[0], UNIT_BEFORE_NOTE))
     return F.coalesce(*(before if p is None else first(text, p) for p in UNIT))
 
 
-def scee(text: Column) -> list[Column]:
-    """Cycle, total, P, FP, HR. A balance by tariff post leaves the total empty."""
-    cycle = F.concat(first(text, SCEE_CYCLE, 2), F.lit("_"), F.lpad(first(text, SCEE_CYCLE), 2, "0"))
-    part = F.regexp_replace(first(text, SCEE_BALANCE), r"[,\s]+$", "")
+def balance(text: Column | Scanned) -> Column:
+    return F.regexp_replace(first(text, SCEE_BALANCE), r"[,\s]+$", "")
+
+
+def scee(text: Column | Scanned, part: Column | None = None) -> list[Column]:
+    """Cycle, total, P, FP, HR. A balance by tariff post leaves the total empty. ``part``: the ``balance``, where it has been computed."""
+    at = groups(text, SCEE_CYCLE, 2)
+    cycle = F.concat(at[1], F.lit("_"), F.lpad(at[0], 2, "0"))
+    part = balance(text) if part is None else part
     amount = r"(-?\d[\d.]*,\d{2})"
     p, fp, hr, atv = (first(part, rf"(?iud)\b{k}\s*[:=]\s*{amount}") for k in ("P", "FP", "HR", "ATV"))
     alone = F.when(p.isNull() & fp.isNull() & hr.isNull(), first(part, rf"(?d)^{amount}"))
     return [cycle, F.coalesce(atv, alone), p, fp, hr]
 
 
-def header(text: Column, path: Column, forced: Column) -> dict[str, Column]:
-    stem = file_stem(file_name(path))
-    given = F.coalesce(forced, stem)
+def shared(text: Column | Scanned, path: Column, forced: Column) -> dict[str, Column]:
+    """What several fields are made of. ``extract`` makes columns of it, so that each is found once."""
+    given = F.coalesce(forced, file_stem(file_name(path)))
     number = F.when(given.rlike(r"^\d+$"), given).otherwise(F.coalesce(*(first(text, p) for p in NUMBER), given))
-    head = groups(text, HEADING, 5)
-    read = groups(text, READ_DATES, 4)
-    printed_class = _any(text, CLASS)
+    month = F.coalesce(*(groups(text, p, 2) for p in MONTH))
+    return {"number": number, "head": groups(text, HEADING, 5), "read": groups(text, READ_DATES, 4), "month": month, "printed_class": _any(text, CLASS), "stamp": groups(text, STAMP, 2), "balance": balance(text)}
+
+
+def header(text: Column | Scanned, path: Column, forced: Column, found: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The fields; ``found``: ``shared``, where it has been computed."""
+    number, head, read, printed_month, printed_class, stamp, part = (found or shared(text, path, forced)).values()
     old = printed_class.isNull() & head.isNotNull()
     old_days = old & read.isNull() & (head[3] != "")
-    month = F.coalesce(*(F.concat(F.trim(g[1]), F.lit("-"), month_number(F.trim(g[0]))) for g in (groups(text, p, 2) for p in MONTH)))
-    stamp = groups(text, STAMP, 2)
-    cycle, total, p, fp, hr = scee(text)
+    month = F.concat(F.trim(printed_month[1]), F.lit("-"), month_number(F.trim(printed_month[0])))
+    cycle, total, p, fp, hr = scee(text, part)
     return {
         "id_fatura": F.concat(F.lit(f"{SUPPLIER}_"), number),
         "numero_fatura": number,
@@ -186,12 +198,19 @@ def header(text: Column, path: Column, forced: Column) -> dict[str, Column]:
     }
 
 
-def customer(text: Column) -> dict[str, Column]:
-    def place(block: Column) -> Column:
+def location(text: Column | Scanned) -> Column:
+    """cep, municipio, uf."""
+
+    def place(block: Column | Scanned) -> Column:
         row = lambda cep, town, state: F.struct(cep.alias("cep"), F.trim(town).alias("municipio"), F.upper(state).alias("uf"))
-        return let(block, lambda b: shapes(b, (PLACE, 3, lambda g: row(g[0], g[1], g[2])), (PLACE_BARE, 2, lambda g: row(F.lit(None).cast("string"), g[0], g[1]))))
+        return shapes(block, (PLACE, 3, lambda g: row(g[0], g[1], g[2])), (PLACE_BARE, 2, lambda g: row(F.lit(None).cast("string"), g[0], g[1])))
+
+    return F.coalesce(let(F.concat(first(text, DELIVERY), F.lit("\n")), place), let(first(text, AFTER_TAX_ID), place), place(text))
+
 
-    at = F.coalesce(place(F.concat(first(text, DELIVERY), F.lit("\n"))), place(first(text, AFTER_TAX_ID)), place(text))
+def customer(text: Column | Scanned, at: Column | None = None) -> dict[str, Column]:
+    """``at``: the ``location``, where it has been computed."""
+    at = location(text) if at is None else at
     return {"razao_social": _any(text, OWNER), "cnpj": first(text, TAX_ID), "cep": at["cep"], "municipio": at["municipio"], "uf": at["uf"]}
 
 
@@ -262,15 +281,18 @@ def old_items(text: Column) -> Column:
     return _present(F.flatten(F.transform(windows, of_line)))
 
 
-def supply_items(text: Column, sectioned: Column) -> Column:
+def supply_items(text: Column | Scanned, sectioned: Column) -> Column:
     """Items of the supply block; where the text has no section of financial items they stand in the same block."""
     end = F.when(sectioned, first(text, r"(?iusd)FORNECIMENTO[^\n]*\n(.+?)ITENS FINANCEIROS")).otherwise(first(text, r"(?iusdm)FORNECIMENTO[^\n]*\n(.+?)^\s*TOTAL\b"))
-    clean = F.transform(_lines(end), lambda x: cut_right(x, RIGHT_NEIGHBOURS))
+    # without a neighbour's word in the text, or the / of its dates in the block, there is nothing to cut
+    beside = lambda block: reduce(Column.__or__, (may(text, p) if required(p) else F.contains(block, F.lit("/")) for p in RIGHT_NEIGHBOURS))
+    cut = lambda lines: F.transform(lines, lambda x: cut_right(x, RIGHT_NEIGHBOURS))
+    clean = let(end, lambda block: F.when(beside(block), cut(_lines(block))).otherwise(_lines(block)))
 
     name = lambda g: F.upper(F.trim(g[0]))
-    full = lambda g: item(F.regexp_replace(name(g), _METER_PREFIX, ""), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), num(g, 9), num(g, 10))
-    exempt = lambda g: item(name(g), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), num(g, 7), F.concat(g[7], F.lit("%")), None, num(g, 9))
-    short = lambda g: item(name(g), SUPPLY, g[1], num(g, 3), num(g, 4), num(g, 5), num(g, 6), tarifa=num(g, 7))
+    full = lambda g: item(F.regexp_replace(name(g), _METER_PREFIX, ""), SUPPLY, g[1], plain_num(g, 3), plain_num(g, 4), plain_num(g, 5), plain_num(g, 6), plain_num(g, 7), F.concat(g[7], F.lit("%")), plain_num(g, 9), plain_num(g, 10))
+    exempt = lambda g: item(name(g), SUPPLY, g[1], plain_num(g, 3), plain_num(g, 4), plain_num(g, 5), plain_num(g, 6), plain_num(g, 7), F.concat(g[7], F.lit("%")), None, plain_num(g, 9))
+    short = lambda g: item(name(g), SUPPLY, g[1], plain_num(g, 3), plain_num(g, 4), plain_num(g, 5), plain_num(g, 6), tarifa=plain_num(g, 7))
     benefit = lambda g: item(name(g), SUPPLY, valor=num(g, 2))
 
     def of_line(line: Column) -> Column:
@@ -281,10 +303,10 @@ def supply_items(text: Column, sectioned: Column) -> Column:
     return F.coalesce(_present(F.transform(clean, of_line)), empty(ITEM))
 
 
-def section_items(text: Column) -> Column:
+def section_items(text: Column | Scanned) -> Column:
     """Items of the financial section, up to the first line that ends it."""
     ends = lambda x: reduce(lambda a, b: a | b, (x.rlike(p) for p in SECTION_END))
-    section = cut_before(_lines(first(text, r"(?iusd)ITENS FINANCEIROS(.*)$")), ends)
+    section = let(_lines(first(text, r"(?iusd)ITENS FINANCEIROS(.*)$")), lambda lines: cut_before(lines, ends))
     clean = F.transform(F.filter(section, lambda x: ~x.rlike(SKIP_LINE)), lambda x: F.regexp_replace(F.regexp_replace(x, RIGHT_NEIGHBOURS[2], ""), HISTORY, ""))
 
     def of_line(line: Column) -> Column:
@@ -298,15 +320,16 @@ def section_items(text: Column) -> Column:
     return F.coalesce(_present(F.transform(useful, of_line)), empty(ITEM))
 
 
-def items(text: Column) -> Column:
-    known = _present(F.array(*(F.when(text.rlike(p), item(F.lit(n), FINANCIAL, valor=br_number(first(text, p)))) for n, p in KNOWN_FINANCIAL)))
+def items(text: Column | Scanned) -> Column:
+    known = _present(F.array(*(F.when(has(text, p), item(F.lit(n), FINANCIAL, valor=br_number(first(text, p)))) for n, p in KNOWN_FINANCIAL)))
+    known = F.when(any_may(text, [p for _, p in KNOWN_FINANCIAL]), known).otherwise(empty(ITEM))
     leaks = F.filter(F.transform(all_groups(text, LEAKED, 2), lambda g: item(upper_name(g[0]), FINANCIAL, valor=num(g, 2))), lambda x: x["valor"].isNotNull())
     fresh = lambda found: F.filter(F.array_distinct(leaks), lambda x: ~F.exists(found, lambda y: (y["item"] == x["item"]) & (y["valor"] == x["valor"])))
     modern = lambda sectioned: let(F.concat(supply_items(text, sectioned), known, section_items(text)), lambda found: F.concat(found, fresh(found)))
-    return let(text.rlike("(?iud)ITENS FINANCEIROS"), lambda s: F.when(~s & text.rlike("(?iud)Itens da Fatura"), old_items(text)).otherwise(modern(s)))
+    return let(has(text, "(?iud)ITENS FINANCEIROS"), lambda s: F.when(~s & has(text, "(?iud)Itens da Fatura"), old_items(_plain(text))).otherwise(modern(s)))
 
 
-def taxes(text: Column) -> Column:
+def taxes(text: Column | Scanned) -> Column:
     def of(name: str) -> Column:
         row = shapes(text, (rf"(?iud){name}\s+{_M}\s+{_M}%\s+{_M}", 3, lambda g: F.struct(F.lit(name).alias("Tributo"), num(g, 1).alias("base"), rate(num(g, 2)).alias("aliquota"), num(g, 3).alias("valor")).cast(TAX)))
         zero = F.struct(F.lit(name).alias("Tributo"), F.lit(None).alias("base"), F.lit("0%").alias("aliquota"), F.lit(0.0).alias("valor")).cast(TAX)
@@ -319,7 +342,7 @@ def _reading(quantity, post, before, now, constant, use, meter) -> Column:
     return F.struct(F.upper(quantity).alias("Grandezas"), F.upper(post).alias("posto"), before.alias("anterior"), now.alias("atual"), constant.alias("constante"), use.alias("consumo"), meter.alias("Medidor")).cast(READING)
 
 
-def readings(text: Column) -> Column:
+def readings(text: Column | Scanned) -> Column:
     """A lone reading is the current one; equal rows count once; a cut row counts only if no full row has its quantity, post and meter."""
     two = lambda a, b: (F.when(b != "", integer(a)), integer(F.when(b != "", b).otherwise(a)))
     late = F.transform(all_groups(text, METER_LAST, 7), lambda g: _reading(g[0], g[1], *two(g[2], g[3]), num(g, 5), num(g, 6), g[6]))
@@ -328,7 +351,7 @@ def readings(text: Column) -> Column:
     cut = F.transform(all_groups(text, METER_CUT, 5), lambda g: _reading(g[1], g[2], F.lit(None), integer(g[3]), num(g, 5), F.lit(None), g[0]))
     same = lambda a, b: (a["Grandezas"] == b["Grandezas"]) & (a["posto"] == b["posto"]) & (a["Medidor"] == b["Medidor"])
     add = lambda acc, c: F.when(F.exists(acc, lambda f: same(c, f)), acc).otherwise(F.concat(acc, F.array(c)))
-    return let(full, lambda rows: F.aggregate(cut, rows, add))
+    return F.when(~may(text, _POST), empty(READING)).otherwise(let(full, lambda rows: F.aggregate(cut, rows, add)))
 
 
 def allocated(items: Column, taxes: Column) -> Column:
@@ -345,15 +368,19 @@ def allocated(items: Column, taxes: Column) -> Column:
     share = lambda i: F.round(due * i["valor"] / base, 2)
     others = total(F.filter(F.transform(items, lambda i, n: F.struct(n.alias("n"), i.alias("i"))), lambda x: takes(x["i"]) & (x["n"] != at)), lambda x: share(x["i"]))
     spread = F.transform(items, lambda i, n: F.when(n == at, i.withField("pis_cofins", F.round(due - others, 2))).when(takes(i), i.withField("pis_cofins", share(i))).otherwise(i))
-    return F.when((F.size(supply) > 0) & (F.abs(printed) <= 0.005) & (due > 0.005), spread).otherwise(items)
+    return F.when((due > 0.005) & (F.size(supply) > 0) & (F.abs(printed) <= 0.005), spread).otherwise(items)
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """path, id_fatura, id_uc, competencia, fatura, cliente, itens, impostos, medicao. docs: path, text and optionally numero (forced)."""
-    text, path = F.col("text"), F.col("path")
+    text, path = Scanned(F.col("text"), F.col("__folded")), F.col("path")
     forced = F.col("numero") if "numero" in docs.columns else F.lit(None).cast("string")
-    fields = docs.select("path", "text", F.struct(*(v.alias(k) for k, v in header(text, path, forced).items())).alias("fatura"))
-    people = fields.select("*", F.struct(*(v.alias(k) for k, v in customer(text).items())).alias("cliente"), taxes(text).alias("impostos"), readings(text).alias("medicao"))
+    found = shared(text, path, forced)
+    docs = docs.withColumn("__folded", folded(F.col("text")))
+    docs = docs.select("path", "text", "__folded", forced.alias("__forced"), *(v.alias(f"__{k}") for k, v in found.items()), location(text).alias("__at"))
+    fields = header(text, path, F.col("__forced"), {k: F.col(f"__{k}") for k in found})
+    fields = docs.select("path", "text", "__folded", "__at", F.struct(*(v.alias(k) for k, v in fields.items())).alias("fatura"))
+    people = fields.select("*", F.struct(*(v.alias(k) for k, v in customer(text, F.col("__at")).items())).alias("cliente"), taxes(text).alias("impostos"), readings(text).alias("medicao"))
     rows = people.select("*", items(text).alias("itens"))
     unit = F.coalesce(F.col("fatura.id_uc"), F.concat(F.lit("NULO_"), F.col("fatura.id_fatura")))
     return rows.select("path", F.col("fatura.id_fatura").alias("id_fatura"), unit.alias("id_uc"), F.col("fatura.competencia").alias("competencia"), "fatura", "cliente", allocated(F.col("itens"), F.col("impostos")).alias("itens"), "impostos", "medicao")

@@ -28,7 +28,7 @@ def split_merged(docs: DataFrame) -> DataFrame:
     numbers = F.array_distinct(F.regexp_extract_all("text", F.lit(NUMBER_13), F.lit(1)))
     parts = F.split("text", f"(?={ANCHOR})")
     segments = F.filter(parts, lambda p: p.rlike(f"^{ANCHOR}"))
-    merged = (F.size(numbers) > 1) & (F.size(segments) > 1)
+    merged = F.col("text").rlike(ANCHOR) & (F.size(numbers) > 1) & (F.size(segments) > 1)
     kind = "array<struct<numero:string,text:string>>"
 
     def join(acc: Column, s: Column) -> Column:
